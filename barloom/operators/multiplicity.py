@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import ratio
 from barloom.functions.quantiles import exact_quantile, value_bucket
 from barloom.functions.scans import scan_sum
+from barloom.session import cut
 
 # Gate limits.
 MAX_TOP_DAY_SHARE = 0.40
@@ -114,6 +115,7 @@ def attach_multiplicity(summary: DataFrame, null_t: DataFrame, obs_t: DataFrame,
                         variant: list[str], family: list[str]) -> DataFrame:
     """Family-primary and variant-supplementary corrections joined to the summary."""
     fam_null, fam_obs = family_rollup(null_t, obs_t, family)
+    fam_null = cut(fam_null)
     fam_p = step_down_maxt(fam_null, fam_obs, family).select(
         *family, F.col("t").alias("t_family_obs"), F.col("p_adj").alias("p_adj_maxT"))
     fam_q = permutation_fdr(fam_null, fam_obs, family).select(*family, "q_fdr")

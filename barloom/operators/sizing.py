@@ -66,8 +66,9 @@ def size_by_mode(df: DataFrame, market: Market, max_risk_usd: float = MAX_RISK_U
     zero = F.lit(0).cast("bigint")
     modes = F.array(
         F.struct(F.lit("full").alias("mode"), F.col("_full").alias("n_full"), zero.alias("n_micro")),
-        F.struct(F.lit("micro"), zero, F.col("_micro_only")),
-        F.struct(F.lit("hybrid"), F.col("_full"), F.col("_micro_rest")),
+        F.struct(F.lit("micro").alias("mode"), zero.alias("n_full"), F.col("_micro_only").alias("n_micro")),
+        F.struct(F.lit("hybrid").alias("mode"), F.col("_full").alias("n_full"),
+                 F.col("_micro_rest").alias("n_micro")),
     )
     out = out.withColumn("_m", F.explode(modes)).select("*", "_m.*").drop(
         "_m", "_full", "_micro_only", "_micro_rest", "commission_usd")
