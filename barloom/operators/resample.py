@@ -99,9 +99,10 @@ def iid_bootstrap_ci(values: DataFrame, value: str, order: list[str], draws: int
 
 def mc_p_value(means: DataFrame, observed: DataFrame, keys: list[str], obs: str,
                name: str = "p_value") -> DataFrame:
-    """(1 + draws above + half the ties) / (1 + draws) per key."""
+    """(1 + draws above + half the ties) / (1 + draws) per key; ties are judged at 1e-12."""
     x = means.join(observed.select(*keys, obs), keys)
-    above, tie = F.count_if(F.col("mean_r") > F.col(obs)), F.count_if(F.col("mean_r") == F.col(obs))
+    gap = F.col("mean_r") - F.col(obs)
+    above, tie = F.count_if(gap > 1e-12), F.count_if(F.abs(gap) <= 1e-12)
     return x.groupBy(*keys).agg(
         ((1 + above + 0.5 * tie) / (1 + F.count(F.lit(1)))).alias(name))
 

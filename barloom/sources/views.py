@@ -114,7 +114,7 @@ def order_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     cents = F.round(F.col("o_totalprice") * 100, 0).cast("bigint")
     rr = F.element_at(F.array(*[F.lit(r) for r in RR_LEVELS]), (key % 6 + 1).cast("int"))
     code = F.floor(key / 12) % 10
-    gross = ((cents % 401) - 200) / F.lit(100.0)
+    gross = ((cents % 401) - 200) / F.lit(128.0)
     base = _table(spark, sf_dir, "orders").select(
         key.alias("signal_id"),
         F.when(F.col("o_orderpriority") == "1-URGENT", "ES")
@@ -135,8 +135,8 @@ def order_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(code == 0, "SL_WRONG_SIDE").when(code == 1, "DEGENERATE_R")
         .when(gross >= rr, "TP").when(gross <= -1.0, "SL").otherwise("TIME").alias("exit_reason"),
         gross.alias("raw_gross"),
-        (-(key % 100) / F.lit(100.0)).alias("mae_r"),
-        ((cust % 200) / F.lit(100.0)).alias("mfe_r"),
+        (-(key % 100) / F.lit(128.0)).alias("mae_r"),
+        ((cust % 200) / F.lit(128.0)).alias("mfe_r"),
         (key % 17 == 0).alias("same_bar_ambiguous"),
         (key % 13 == 0).alias("atr_exceeds_cap"),
         (key % 29 == 0).alias("contract_changed_in_session"),

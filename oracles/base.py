@@ -24,7 +24,7 @@ class Book:
         seen: set = set()
         self._collect(select, seen)
         used = [f"{n} AS MATERIALIZED (\n{self.ctes[n]}\n)" for n in self.ctes if n in seen]
-        rep = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in doubles.split())
+        rep = ", ".join(f"floor(floor({c}::DOUBLE * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6 AS {c}" for c in doubles.split())
         body = f"SELECT *{f' REPLACE ({rep})' if rep else ''} FROM (\n{select}\n)"
         return ("WITH " + ",\n".join(used) + "\n" if used else "") + body
 

@@ -41,8 +41,8 @@ SELECT o_orderkey AS signal_id,
   CASE WHEN (o_orderkey // 6) % 2 = 0 THEN 'long' ELSE 'short' END AS direction,
   ({list(RR_LEVELS)}::DOUBLE[])[o_orderkey % 6 + 1] AS rr, CAST(o_orderdate AS DATE) AS date,
   o_orderkey % 120 AS bars_from_open_to_entry, (o_custkey * 7 + o_orderkey) % 60 + 1 AS r_ticks,
-  (o_orderkey // 12) % 10 AS code, ((CAST(round(o_totalprice * 100) AS BIGINT) % 401) - 200) / 100 AS raw,
-  -(o_orderkey % 100) / 100 AS mae_r, (o_custkey % 200) / 100 AS mfe_r,
+  (o_orderkey // 12) % 10 AS code, ((CAST(round(o_totalprice * 100) AS BIGINT) % 401) - 200) / 128 AS raw,
+  -(o_orderkey % 100) / 128 AS mae_r, (o_custkey % 200) / 128 AS mfe_r,
   o_orderkey % 17 = 0 AS same_bar_ambiguous, o_orderkey % 13 = 0 AS atr_exceeds_cap, o_orderkey % 29 = 0 AS changed_in,
   o_orderkey % 31 = 0 AS changed_since, 1 - (o_orderkey % 20) / 100 AS completeness, (o_orderkey % 4) / 4 AS local,
   CAST(year(o_orderdate) - 1995 AS INTEGER) AS regime_window, o_custkey % 40 + 10 AS range_width_ticks,
@@ -130,7 +130,7 @@ add("repriced_modes", "SELECT * FROM rpt",
     "rr afford win_rate exp_net_r total_pnl_usd commission_usd cap_eff mean_full mean_micro sl_med tp_med")
 add("best_sizing_mode", f"""
 SELECT {SET}, mode, total_pnl_usd FROM (SELECT *, row_number() OVER (PARTITION BY {SET}
-  ORDER BY round(total_pnl_usd, 6) DESC, mode) AS r FROM rpt) WHERE r = 1""", "rr total_pnl_usd")
+  ORDER BY round(total_pnl_usd, 8) DESC, mode) AS r FROM rpt) WHERE r = 1""", "rr total_pnl_usd")
 add("population_shift", """
 SELECT mode, count(*) AS setups, count(*) FILTER (tradable) AS tradable, count(*) FILTER (total_pnl_usd > 0) AS net_positive,
   count(*) FILTER (tradable AND total_pnl_usd > 0) AS tradable_positive, max(total_pnl_usd) FILTER (tradable) AS best_pnl
@@ -291,7 +291,7 @@ FROM (SELECT instrument, count(*) AS sessions, min(cov_pct) AS min_cov, quantile
   max(width_ratio) AS max_width_ratio FROM tdr GROUP BY 1)""", "min_cov med_cov max_width_ratio")
 cte("sm", f"SELECT {V}, count(*) AS trade_count, avg(gross_r) AS exp_gross FROM vx GROUP BY ALL")
 cte("sc", f"""
-SELECT {V}, trade_count, exp_gross, (count(*) FILTER (round(gross_r, 9) >= round(exp_gross, 9))) / count(*) AS self_p
+SELECT {V}, trade_count, exp_gross, (count(*) FILTER (gross_r >= exp_gross)) / count(*) AS self_p
 FROM vx JOIN sm USING ({V}) GROUP BY ALL HAVING trade_count >= {MIN_N}""")
 add("self_consistency", f"SELECT {V}, trade_count, exp_gross, self_p FROM sc", "rr exp_gross self_p")
 add("self_p_by_rr", """
@@ -406,7 +406,7 @@ SELECT rr, count(*) AS setups, avg(win_rate) AS win_rate, quantile_cont(total_pn
 add("spearman", f"""
 SELECT count(*) AS setups, corr(a, b) AS spearman FROM (SELECT {avg_rank("round(win_rate, 12)", "1")} AS a,
   {avg_rank("round(capital_eff, 12)", "1")} AS b FROM sg)""", "spearman")
-cte("pa", "SELECT *, round(total_pnl_usd, 6) AS a1, win_rate AS a2, capital_eff AS a3 FROM sg")
+cte("pa", "SELECT *, round(total_pnl_usd, 8) AS a1, win_rate AS a2, capital_eff AS a3 FROM sg")
 add("pareto", f"""
 SELECT {SET}, a1 AS total_pnl_usd, win_rate, capital_eff FROM pa p WHERE NOT EXISTS (SELECT 1 FROM pa q
   WHERE q.a1 >= p.a1 AND q.a2 >= p.a2 AND q.a3 >= p.a3 AND (q.a1 > p.a1 OR q.a2 > p.a2 OR q.a3 > p.a3))""",
@@ -444,7 +444,7 @@ SELECT {V}, CAST(d AS INTEGER) AS draw, sum(ps[st + w + 1] - ps[st + 1]) / sum(p
 FROM nmg GROUP BY {V}, d""")
 add("null_draw_means", f"SELECT {V}, draw, mean_r FROM nmm", "rr mean_r")
 cte("npv", f"""
-SELECT {V}, (1 + count(*) FILTER (mean_r > expectancy_net_r) + 0.5 * count(*) FILTER (mean_r = expectancy_net_r)) / (1 + count(*)) AS p
+SELECT {V}, (1 + count(*) FILTER (mean_r - expectancy_net_r > 1e-12) + 0.5 * count(*) FILTER (abs(mean_r - expectancy_net_r) <= 1e-12)) / (1 + count(*)) AS p
 FROM nmm JOIN vs USING ({V}) GROUP BY {V}""")
 add("mc_pvalues", f"SELECT {V}, p AS p_value FROM npv", "rr p_value")
 add("null_summaries", f"""
@@ -505,7 +505,7 @@ boot_ctes("nf", "fd", V, f"(SELECT {V}, trade_count FROM vs)", NB_OBS, "(SELECT
 cte("nfm", f"""
 SELECT {V}, d AS draw, sum(ps[st + w + 1] - ps[st + 1]) / sum(pn[st + w + 1] - pn[st + 1]) AS mean_r FROM nfg GROUP BY {V}, d""")
 cte("npf", f"""
-SELECT {V}, (1 + count(*) FILTER (mean_r > expectancy_net_r) + 0.5 * count(*) FILTER (mean_r = expectancy_net_r)) / (1 + count(*)) AS pf
+SELECT {V}, (1 + count(*) FILTER (mean_r - expectancy_net_r > 1e-12) + 0.5 * count(*) FILTER (abs(mean_r - expectancy_net_r) <= 1e-12)) / (1 + count(*)) AS pf
 FROM nfm JOIN vs USING ({V}) GROUP BY {V}""")
 cte("mult", f"""
 SELECT {V}, p AS null_p_broad, pf AS null_p_matched, nx.null_exp_mean, nx.null_exp_p95, pl.null_effective_n, pl.null_pool_trades,
@@ -609,7 +609,7 @@ boot_ctes("hn", "hpd", POOL, f"(SELECT {V}, trade_count FROM hs)", NB_OBS, "(SEL
 cte("hnm", f"""
 SELECT {V}, d AS draw, sum(ps[st + w + 1] - ps[st + 1]) / sum(pn[st + w + 1] - pn[st + 1]) AS mean_r FROM hng GROUP BY {V}, d""")
 cte("hpv", f"""
-SELECT {V}, (1 + count(*) FILTER (mean_r > expectancy_net_r) + 0.5 * count(*) FILTER (mean_r = expectancy_net_r)) / (1 + count(*)) AS null_p_value
+SELECT {V}, (1 + count(*) FILTER (mean_r - expectancy_net_r > 1e-12) + 0.5 * count(*) FILTER (abs(mean_r - expectancy_net_r) <= 1e-12)) / (1 + count(*)) AS null_p_value
 FROM hnm JOIN hs USING ({V}) GROUP BY {V}""")
 cte("hsv", f"""
 SELECT {V}, trade_count, expectancy_net_r, null_p_value FROM hs LEFT JOIN hpv USING ({V})
