@@ -21,50 +21,75 @@ NO_LOSS = 9999.0
 TOP_DAY_SHARE = 0.05
 
 
-def daily_rollup(trades: DataFrame, keys: list[str]) -> DataFrame:
-    """Sums per (keys, window, date): the input of every day-level statistic."""
-    window = ["regime_window"] if "regime_window" in trades.columns and "regime_window" not in keys else []
-    has = set(trades.columns)
+def daily_rollup(marked: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums of eligible rows and rule counts of all rows per (keys, window, date).
 
-    def total(name: str) -> Column:
-        return F.sum(name) if name in has else F.lit(None).cast("double")
+    A day without eligible rows keeps its rule counts, with n = 0 and null sums.
+    """
+    window = ["regime_window"] if "regime_window" in marked.columns and "regime_window" not in keys else []
+    has = set(marked.columns)
+    ok = F.col("eligible")
+
+    def total(c: Column) -> Column:
+        return F.sum(F.when(ok, c))
+
+    def optional(name: str) -> Column:
+        return total(F.col(name)) if name in has else F.lit(None).cast("double")
 
     g, n = F.col("gross_r"), F.col("net_r")
-    return trades.groupBy(*keys, *window, "date").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(g).alias("gross"), F.sum(n).alias("net"),
-        F.count_if(g > 0).alias("wins"), F.count_if(F.col("exit_reason") == "TP").alias("tps"),
-        F.sum(F.when(g > 0, g).otherwise(0.0)).alias("won"),
-        F.sum(F.when(g < 0, g).otherwise(0.0)).alias("lost"),
-        total("mae_r").alias("mae"), total("mfe_r").alias("mfe"),
-        F.sum(F.coalesce("gross_r_optimistic", "gross_r") if "gross_r_optimistic" in has else g).alias("optimistic"),
-        total("pct_bars_from_local").alias("local"),
-    )
+    return marked.groupBy(*keys, *window, "date").agg(
+        F.count_if(ok).alias("n"),
+        total(g).alias("gross"), total(n).alias("net"),
+        F.count_if(ok & (g > 0)).alias("wins"), F.count_if(ok & (F.col("exit_reason") == "TP")).alias("tps"),
+        total(F.greatest(g, F.lit(0.0))).alias("won"), total(F.least(g, F.lit(0.0))).alias("lost"),
+        optional("mae_r").alias("mae"), optional("mfe_r").alias("mfe"),
+        total(F.coalesce("gross_r_optimistic", "gross_r") if "gross_r_optimistic" in has else g).alias("optimistic"),
+        optional("pct_bars_from_local").alias("local"),
+        *[F.count_if(F.col(r)).alias(f"n_{r}") for r in RULES],
+    ).withColumn("_active", F.col("n") > 0)
 
 
 def _day_columns(daily: DataFrame, keys: list[str], breadth: bool) -> DataFrame:
-    whole = Window.partitionBy(*keys)
-    ordered = whole.orderBy("date")
+    """Running figures along the days of each key, all on one sort.
+
+    Months and regime windows are consecutive days, so their sums are differences of the running
+    sum at their last days.
+    """
+    ordered = Window.partitionBy(*keys, "_active").orderBy("date")
     so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    x = daily.withColumn("_cum", F.sum("gross").over(so_far))
-    x = x.withColumn("_dd", F.max("_cum").over(so_far) - F.col("_cum"))
-    x = x.withColumn("_mean_net", F.sum("net").over(whole) / F.sum("n").over(whole))
-    x = x.withColumn("_resid", F.pow(F.col("net") - F.col("n") * F.col("_mean_net"), 2))
+    earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys, "_active")
+    x = daily.withColumns({
+        "_cum": F.sum("gross").over(so_far),
+        "_mean_net": F.sum("net").over(whole) / F.sum("n").over(whole)})
+    x = x.withColumns({
+        "_dd": F.max("_cum").over(so_far) - F.col("_cum"),
+        "_resid": F.pow(F.col("net") - F.col("n") * F.col("_mean_net"), 2)})
     if not breadth:
         return x
-    x = x.withColumn("_days", F.count(F.lit(1)).over(whole))
-    x = x.withColumn("_top", F.row_number().over(whole.orderBy(F.desc("net"), "date"))
-                     <= F.ceil(F.col("_days") * TOP_DAY_SHARE))
-    x = x.withColumn("_month_net", F.sum("net").over(Window.partitionBy(*keys, F.trunc("date", "MM"))))
+
+    def closes(value: Column) -> Column:
+        """Last day of a run of equal values."""
+        return ~F.lead(value).over(ordered).eqNullSafe(value)
+
+    x = x.withColumns({
+        "_pos": F.row_number().over(ordered),
+        "_cum_net": F.sum("net").over(so_far), "_cum_n": F.sum("n").over(so_far),
+        "_month_end": closes(F.trunc("date", "MM"))})
+    calm = F.max(F.when(F.col("net") >= 0, F.col("_pos"))).over(so_far)
+
+    def since(running: str, end: str) -> Column:
+        """Running sum since the previous closed run."""
+        return F.col(running) - F.coalesce(F.last(F.when(F.col(end), F.col(running)), ignorenulls=True).over(earlier), F.lit(0))
+
+    x = x.withColumns({
+        "_streak": F.when(F.col("net") < 0, F.col("_pos") - F.coalesce(calm, F.lit(0))).otherwise(0),
+        "_month_net": F.when(F.col("_month_end"), since("_cum_net", "_month_end"))})
     if "regime_window" in x.columns:
-        win = Window.partitionBy(*keys, "regime_window")
-        x = x.withColumn("_win_mean", F.sum("net").over(win) / F.sum("n").over(win))
-        x = x.withColumn("_win_first", F.row_number().over(win.orderBy("date")) == 1)
-    losing = F.col("net") < 0
-    x = x.withColumn("_island", F.row_number().over(ordered)
-                     - F.row_number().over(Window.partitionBy(*keys, losing).orderBy("date")))
-    x = x.withColumn("_streak", F.when(losing, F.count(F.lit(1)).over(
-        Window.partitionBy(*keys, losing, "_island"))).otherwise(0))
+        x = x.withColumn("_win_end", closes(F.col("regime_window")))
+        x = x.withColumn("_win_mean", F.when(
+            F.col("_win_end") & F.col("_active") & F.col("regime_window").isNotNull(),
+            since("_cum_net", "_win_end") / since("_cum_n", "_win_end")))
     return x
 
 
@@ -87,26 +112,29 @@ def _core(x: DataFrame) -> list[Column]:
         ratio(F.sum("mae"), n).alias("avg_mae_r"), ratio(F.sum("mfe"), n).alias("avg_mfe_r"),
         ratio(F.sum("optimistic"), n).alias("expectancy_gross_r_optimistic"),
         ratio(F.sum("local"), n).alias("pct_trades_from_local"),
+        *[F.sum(f"n_{r}").alias(f"n_{r}") for r in RULES],
     ]
 
 
 def _breadth(x: DataFrame) -> list[Column]:
     up = F.greatest(F.col("net"), F.lit(0.0))
-    gains = F.sum(up)
+    gains = F.sum(F.when(F.col("_active"), up))
+    days = F.count_if("_active")
+    best = F.slice(F.sort_array(F.collect_list("net"), asc=False), 1, F.ceil(days * TOP_DAY_SHARE).cast("int"))
+    top = F.aggregate(best, F.lit(0.0), lambda acc, v: acc + F.greatest(v, F.lit(0.0)))
     out = [
-        F.count(F.lit(1)).alias("n_distinct_days"),
-        ratio(F.max(up), gains).alias("top1_day_pnl_share"),
-        ratio(F.sum(F.when(F.col("_top"), up)), gains).alias("top5pct_day_pnl_share"),
-        ratio(F.max(F.greatest(F.col("_month_net"), F.lit(0.0))), gains).alias("pnl_share_from_single_month"),
+        days.alias("n_distinct_days"),
+        ratio(F.max(F.when(F.col("_active"), up)), gains).alias("top1_day_pnl_share"),
+        F.when(days > 0, ratio(top, gains)).alias("top5pct_day_pnl_share"),
+        ratio(F.greatest(F.max("_month_net"), F.lit(0.0)), gains).alias("pnl_share_from_single_month"),
         F.median("net").alias("median_daily_r"), F.avg("net").alias("mean_daily_r"),
         F.max("_streak").alias("max_consecutive_losing_days"),
     ]
     if "_win_mean" in x.columns:
-        first = F.col("_win_first") & F.col("regime_window").isNotNull()
         out += [
-            F.count_if(first & (F.col("_win_mean") > 0)).alias("n_windows_positive"),
-            F.count_if(first).alias("n_windows_observed"),
-            F.min(F.when(first, F.col("_win_mean"))).alias("worst_window_expectancy"),
+            F.count_if(F.col("_win_mean") > 0).alias("n_windows_positive"),
+            F.count("_win_mean").alias("n_windows_observed"),
+            F.min("_win_mean").alias("worst_window_expectancy"),
         ]
     return out
 
@@ -117,16 +145,14 @@ def variant_summary(marked: DataFrame, keys: list[str] = VARIANT, breadth: bool
     ``marked`` comes from ``mark_eligibility``. ``keys`` plus "regime_window" with
     ``breadth=False`` gives the per-window summary.
     """
-    daily = daily_rollup(marked.filter("eligible"), keys)
-    x = _day_columns(daily, keys, breadth)
-    out = x.groupBy(*keys).agg(*_core(x), *(_breadth(x) if breadth else []))
+    x = _day_columns(daily_rollup(marked, keys), keys, breadth)
+    out = x.groupBy(*keys).agg(*_core(x), *(_breadth(x) if breadth else [])).filter("trade_count > 0")
     if not breadth:
-        return out
-    excluded = marked.groupBy(*keys).agg(*[F.count_if(F.col(r)).alias(f"n_{r}") for r in RULES])
+        return out.drop(*[f"n_{r}" for r in RULES])
     pair = ["instrument", "session"]
     chances = marked.groupBy(*pair).agg(F.countDistinct("date").alias("opportunity_days"))
     return (
-        out.join(excluded, keys).join(chances, pair)
+        out.join(chances, pair)
         .withColumn("frac_days_traded", F.col("n_distinct_days") / F.col("opportunity_days"))
         .withColumn("deployable_trade_count", F.col("trade_count"))
         .drop("opportunity_days")
