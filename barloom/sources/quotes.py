@@ -36,13 +36,19 @@ def normalise_quotes(raw: DataFrame) -> DataFrame:
     ).dropna()
 
 
-def read_quote_months(spark: SparkSession, root: str, months: list[str] | None = None) -> DataFrame:
-    """All normalised quote months under ``root``; raw vendor files are left out by name."""
-    df = spark.read.option("pathGlobFilter", "*_quotes*.parquet").option(
-        "recursiveFileLookup", "true").parquet(root)
-    if months:
-        df = df.filter(F.date_format("ts", "yyyy-MM").isin(months))
-    return df
+def write_quotes(quotes: DataFrame, root: str) -> None:
+    """Normalised quotes under ``root/quotes/instrument=…/month=…``; raw vendor files live elsewhere."""
+    (
+        quotes.withColumn("month", F.date_format("ts", "yyyy-MM"))
+        .repartition("instrument", "month", F.dayofmonth("ts"))
+        .write.mode("append").partitionBy("instrument", "month").parquet(f"{root}/quotes")
+    )
+
+
+def read_quotes(spark: SparkSession, root: str, months: list[str] | None = None) -> DataFrame:
+    """All stored quote months of all instruments, or some months, pruned by directory."""
+    df = spark.read.parquet(f"{root}/quotes")
+    return df.filter(F.col("month").isin(months)) if months else df
 
 
 def launched_months(months: DataFrame, instruments: DataFrame) -> DataFrame:
