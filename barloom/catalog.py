@@ -73,8 +73,8 @@ def _signals(spark, d):
     return price_signals(detect_signals(_days(spark, d), EVENT_GRID), EVENT_GRID)
 
 
-def _event_journal(spark, d):
-    return build_journal(_days(spark, d), EVENT_GRID, EVENT_MARKET)
+def _event_journal(spark, d, days=None):
+    return build_journal(days if days is not None else _days(spark, d), EVENT_GRID, EVENT_MARKET)
 
 
 def _marked(spark, d):
@@ -916,11 +916,16 @@ def stable_seeds(spark, d):
         "first_draw", draw(F.col("seed"), F.lit(1)))
 
 
-def _event_picks(spark, d):
-    j = H.mark_eligibility(_event_journal(spark, d))
+def _event_controls(spark, d, design):
+    """Control events of the event journal's families on the days they fired, and that journal.
+
+    The day rows feed both sides, so they are cut once.
+    """
+    days = cut(_days(spark, d))
+    j = H.mark_eligibility(_event_journal(spark, d, days))
     pools = K.stop_pools(H.valid_exits(j))
-    days = j.select(*FAMILY, F.col("date").alias("local_date")).distinct()
-    return days.join(pools, FAMILY)
+    fired = j.select(*FAMILY, F.col("date").alias("local_date")).distinct()
+    return K.control_events(days, fired.join(pools, FAMILY), EVENT_GRID, design, "fired"), j
 
 
 CONTROL_COLUMNS = [*FAMILY, "local_date", "draw", "entry_idx", "fill_t", "sl_t", "sl_source"]
@@ -928,27 +933,25 @@ CONTROL_COLUMNS = [*FAMILY, "local_date", "draw", "entry_idx", "fill_t", "sl_t",
 
 @query
 def control_events_matched(spark, d):
-    return K.control_events(_days(spark, d), _event_picks(spark, d), EVENT_GRID, "matched", "fired").select(
-        *CONTROL_COLUMNS)
+    return _event_controls(spark, d, "matched")[0].select(*CONTROL_COLUMNS)
 
 
 @query
 def control_events_swing(spark, d):
-    return K.control_events(_days(spark, d), _event_picks(spark, d), EVENT_GRID, "swing", "fired").select(
-        *CONTROL_COLUMNS)
+    return _event_controls(spark, d, "swing")[0].select(*CONTROL_COLUMNS)
 
 
 @query
 def control_pool_days(spark, d):
-    ev = K.control_events(_days(spark, d), _event_picks(spark, d), EVENT_GRID, "matched", "fired")
+    ev, _ = _event_controls(spark, d, "matched")
     return K.control_days(K.label_controls(ev, EVENT_GRID, EVENT_MARKET))
 
 
 @query
 def event_control_mix(spark, d):
-    ev = K.control_events(_days(spark, d), _event_picks(spark, d), EVENT_GRID, "swing", "fired")
+    ev, j = _event_controls(spark, d, "swing")
     controls = H.valid_exits(K.label_controls(ev, EVENT_GRID, EVENT_MARKET))
-    return M.event_mix(H.valid_exits(_event_journal(spark, d)), controls, ["instrument", "session", "direction", "rr"])
+    return M.event_mix(H.valid_exits(j), controls, ["instrument", "session", "direction", "rr"])
 
 
 @query

@@ -17,13 +17,15 @@ def value_bucket(value: Column, low: Column, high: Column, buckets: int = BUCKET
 def exact_quantile(df: DataFrame, value: str, p: float, name: str) -> DataFrame:
     """One row with the linearly interpolated ``p``-quantile of ``value``.
 
-    Bucket counts locate the bucket of the two order statistics; only those buckets are ranked.
+    Equal values are counted first. Bucket counts locate the buckets of the two order statistics,
+    and only those buckets are ranked.
     """
-    x = df.select(F.col(value).cast("double").alias("_v")).dropna()
-    span = x.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("_v").alias("_n"))
+    x = df.select(F.col(value).cast("double").alias("_v")).dropna().groupBy("_v").agg(
+        F.count(F.lit(1)).alias("_w"))
+    span = x.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_w").alias("_n"))
     x = x.crossJoin(F.broadcast(span)).withColumn(
         "_b", value_bucket(F.col("_v"), F.col("_lo"), F.col("_hi")))
-    counts = x.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
+    counts = x.groupBy("_b").agg(F.sum("_w").alias("_c"), F.first("_n").alias("_n"))
     before = F.coalesce(F.sum("_c").over(
         Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.withColumn("_before", before)
@@ -32,8 +34,13 @@ def exact_quantile(df: DataFrame, value: str, p: float, name: str) -> DataFrame:
     after = F.col("_before") + F.col("_c")
     hit = counts.filter(((F.col("_k0") >= F.col("_before")) & (F.col("_k0") < after))
                         | ((F.col("_k1") >= F.col("_before")) & (F.col("_k1") < after)))
-    ranked = x.select("_v", "_b").join(F.broadcast(hit), "_b").withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("_b").orderBy("_v")) - 1 + F.col("_before"))
-    k0, k1 = F.col("_rank") == F.col("_k0"), F.col("_rank") == F.col("_k1")
+    upto = F.sum("_w").over(Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = x.select("_v", "_b", "_w").join(F.broadcast(hit), "_b").withColumn(
+        "_end", upto + F.col("_before")).withColumn("_start", F.col("_end") - F.col("_w"))
+
+    def covers(k):
+        return (F.col(k) >= F.col("_start")) & (F.col(k) < F.col("_end"))
+
+    k0, k1 = covers("_k0"), covers("_k1")
     low_v, high_v = F.max(F.when(k0, F.col("_v"))), F.max(F.when(k1, F.col("_v")))
     return ranked.agg((low_v + (high_v - low_v) * F.max("_frac")).alias(name))

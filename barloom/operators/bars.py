@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import ratio
 from barloom.functions.scans import scan_lag, scan_last_known
 from barloom.operators.calendar import local_wall
+from barloom.session import checked_broadcast
 
 # Volatility settings.
 ATR_PERIOD = 14
@@ -64,24 +65,24 @@ def overlap_report(bars: DataFrame) -> DataFrame:
 
 def fill_contract(bars: DataFrame) -> DataFrame:
     """Missing contract labels take the last known one in time order."""
-    chunked = bars.withColumn("_month", F.trunc(F.col("ts").cast("date"), "MM"))
-    filled = scan_last_known(chunked, ["instrument"], "_month", ["ts"], "contract", "_filled")
-    return filled.withColumn("contract", F.col("_filled")).drop("_filled", "_month")
+    chunked = bars.withColumn("_day", F.col("ts").cast("date"))
+    filled = scan_last_known(chunked, ["instrument"], "_day", ["ts"], "contract", "_filled")
+    return filled.withColumn("contract", F.col("_filled")).drop("_filled", "_day")
 
 
 def with_abs_return(bars: DataFrame) -> DataFrame:
     """abs(close / previous close − 1)."""
-    chunked = bars.withColumn("_month", F.trunc(F.col("ts").cast("date"), "MM"))
-    out = scan_lag(chunked, ["instrument"], "_month", ["ts"], {"_prev_c": "c"})
+    chunked = bars.withColumn("_day", F.col("ts").cast("date"))
+    out = scan_lag(chunked, ["instrument"], "_day", ["ts"], {"_prev_c": "c"})
     return out.withColumn(
         "abs_return", F.abs(F.col("c") / F.when(F.col("_prev_c") != 0, F.col("_prev_c")) - 1)
-    ).drop("_prev_c", "_month")
+    ).drop("_prev_c", "_day")
 
 
 def source_splices(bars: DataFrame) -> DataFrame:
     """Bars whose source differs from the bar before; the first bar is no splice."""
-    chunked = bars.withColumn("_month", F.trunc(F.col("ts").cast("date"), "MM"))
-    out = scan_lag(chunked, ["instrument"], "_month", ["ts"], {"prev_source": "source"})
+    chunked = bars.withColumn("_day", F.col("ts").cast("date"))
+    out = scan_lag(chunked, ["instrument"], "_day", ["ts"], {"prev_source": "source"})
     return out.filter(F.col("prev_source").isNotNull() & (F.col("source") != F.col("prev_source"))).select(
         "instrument", "ts", "prev_source", "source")
 
@@ -161,9 +162,11 @@ def wilder_atr(bars4h: DataFrame, order: str = "bin", period: int = ATR_PERIOD)
 def attach_atr(bars: DataFrame) -> DataFrame:
     """Each bar with the ATR of the last completed 4-hour bin.
 
-    Every bar knows its bin, so the as-of join is an equi-join on (instrument, bin).
+    Every bar knows its bin, so the as-of join is an equi-join on (instrument, bin). The bins are
+    two orders of magnitude fewer than the bars and are broadcast when their count allows.
     """
-    atr = wilder_atr(four_hour_bars(bars)).select("instrument", "bin", F.col("atr_prev").alias("atr_4h"))
+    atr = checked_broadcast(wilder_atr(four_hour_bars(bars)).select(
+        "instrument", "bin", F.col("atr_prev").alias("atr_4h")))
     return bars.withColumn("bin", four_hour_bin(F.col("ts"))).join(atr, ["instrument", "bin"], "left").drop("bin")
 
 
@@ -190,9 +193,9 @@ def daily_features(daily: DataFrame) -> DataFrame:
 
 def enrich_bars(bars: DataFrame, daily: DataFrame) -> DataFrame:
     """Bars with the daily features of their New York date (left join on equality)."""
-    feats = daily_features(daily).select(
+    feats = checked_broadcast(daily_features(daily).select(
         "instrument", F.col("trading_date").alias("_d"), "prev_close",
-        "parkinson_vol_14d", "realized_vol_14d")
+        "parkinson_vol_14d", "realized_vol_14d"))
     ny_date = F.to_date(local_wall(F.col("ts"), F.lit(NEW_YORK)))
     return bars.withColumn("_d", ny_date).join(feats, ["instrument", "_d"], "left").drop("_d")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.rng import draw, stable_seed
 from barloom.params import HOLDOUT_MONTHS, N_WINDOWS, WINDOW_MONTHS, GridSpec
+from barloom.session import checked_broadcast
 
 
 def local_wall(ts: Column, tz: Column) -> Column:
@@ -93,9 +94,10 @@ def bar_span(bars: DataFrame) -> DataFrame:
 def in_windows(bars: DataFrame, windows: DataFrame) -> DataFrame:
     """Bars inside the inclusive date windows, labelled; instrument is the equi key.
 
-    Windows are at most a few rows per instrument, so the planner broadcasts them by size.
+    Windows are a few rows per instrument; they are broadcast once their count is known to be
+    small, since shuffling bars by instrument alone would put a whole history into one task.
     """
-    w = windows.select(
+    w = checked_broadcast(windows).select(
         F.col("instrument"), "regime_window",
         F.col("window_start").cast("timestamp_ntz").alias("_from"),
         F.date_add("window_end", 1).cast("timestamp_ntz").alias("_to"))

@@ -71,12 +71,13 @@ def permutation_fdr(null_t: DataFrame, obs_t: DataFrame, keys: list[str], lam: f
         F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_r"))).alias("_pi0"))
 
     empty = [F.lit(None).cast(obs.schema[k].dataType).alias(k) for k in keys]
-    both = nulls.select("t", F.lit(0).alias("_kind"), *empty).unionByName(
-        obs.select("t", F.lit(1).alias("_kind"), *keys))
+    both = nulls.groupBy("t").agg(F.count(F.lit(1)).alias("_w")).select(
+        "t", "_w", F.lit(0).alias("_kind"), *empty).unionByName(
+        obs.select("t", F.lit(0).cast("bigint").alias("_w"), F.lit(1).alias("_kind"), *keys))
     span = both.agg(F.min("t").alias("_lo"), F.max("t").alias("_hi"))
     both = both.crossJoin(F.broadcast(span)).withColumn(
         "_bucket", -value_bucket(F.col("t"), F.col("_lo"), F.col("_hi"))).withColumn("_down", -F.col("t"))
-    counted = scan_sum(both, [], "_bucket", ["_down", "_kind"], {"_null_ge": 1 - F.col("_kind")})
+    counted = scan_sum(both, [], "_bucket", ["_down", "_kind"], {"_null_ge": F.col("_w")})
     per = counted.filter("_kind = 1").select(*keys, "t", "_null_ge")
     ge = F.count(F.lit(1)).over(Window.orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, 0))
     x = per.withColumn("_rejected", ge).crossJoin(F.broadcast(draws)).crossJoin(F.broadcast(pi0))

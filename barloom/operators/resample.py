@@ -44,14 +44,18 @@ def observed_size_blocks(n_obs: Column, block_days: int) -> Column:
 
 
 def block_bootstrap(prefixes: DataFrame, keys: list[str], draws: int, n_blocks: Column,
-                    seed: Column, block_days: int = BLOCK_DAYS, chunk: int = 250) -> DataFrame:
+                    seed: Column, block_days: int = BLOCK_DAYS, chunk: int = 2500) -> DataFrame:
     """One row per (keys, draw): the mean over blocks of consecutive days.
 
     Block starts are uniform over the days at which a whole block fits.
     """
     x = prefixes.withColumns({"_k": n_blocks.cast("bigint"), "_seed": seed})
     x = x.withColumn("_w", F.greatest(F.lit(1), F.least(F.lit(block_days), F.col("nd"))).cast("int"))
-    x = x.withColumn("_from", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(chunk))))
+    # The rows are few and small but each stands for much arithmetic, so they are spread over a
+    # fixed number of tasks; sizing by bytes would pack them into one.
+    tasks = 2 * prefixes.sparkSession.sparkContext.defaultParallelism
+    x = x.withColumn("_from", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(chunk)))).repartition(
+        tasks, *keys, "_from")
 
     def mean_of(b: Column) -> Column:
         def add(acc: Column, k: Column) -> Column:

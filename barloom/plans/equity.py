@@ -1,6 +1,6 @@
 """Equity curves per setup and their statistics.
 
-A setup's trades are chained chunk by chunk (one chunk per month), so a setup that owns a large
+A setup's trades are chained chunk by chunk (one chunk per day), so a setup that owns a large
 part of the journal still spreads over many tasks.
 """
 
@@ -24,12 +24,12 @@ def with_phase(in_sample: DataFrame, holdout: DataFrame) -> DataFrame:
 
 def equity_curve(trades: DataFrame, keys: list[str] = SETUP) -> DataFrame:
     """Trades in order with cumulative R, cumulative dollars and their running maxima."""
-    x = size_trades(trades).withColumn("_month", F.trunc("date", "MM"))
-    x = scan_sum(x, keys, "_month", ORDER, {
+    x = size_trades(trades).withColumn("_day", F.col("date"))
+    x = scan_sum(x, keys, "_day", ORDER, {
         "seq": F.lit(1).cast("bigint"), "cum_r": F.col("net_r"), "cum_usd": F.col("pnl_usd")})
     for value in ("cum_r", "cum_usd"):
-        x = scan_max(x, keys, "_month", ORDER, value, f"peak_{value}")
-    return x.drop("_month")
+        x = scan_max(x, keys, "_day", ORDER, value, f"peak_{value}")
+    return x.drop("_day")
 
 
 def curve_stats(curve: DataFrame, keys: list[str] = SETUP, holdout_start: str | None = None) -> DataFrame:

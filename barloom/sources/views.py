@@ -59,7 +59,10 @@ def event_bars(spark: SparkSession, sf_dir: str, bar_minutes: int = 60) -> DataF
     slot = F.col("ev_ts").cast("date").cast("timestamp_ntz") + F.make_dt_interval(
         F.lit(0), F.lit(0),
         F.floor((F.hour("ev_ts") * 60 + F.minute("ev_ts")) / bar_minutes).cast("int") * bar_minutes)
-    order = F.struct("ev_ts", "event_id")
+    # One decimal order key per event instead of a struct keeps the aggregate hash-based.
+    minute = (F.hour("ev_ts") * 60 + F.minute("ev_ts")).cast("bigint")
+    micros = minute * 60000000 + (F.extract(F.lit("SECOND"), F.col("ev_ts")) * 1000000).cast("bigint")
+    order = micros.cast("decimal(12,0)") * F.lit("1" + "0" * 19).cast("decimal(20,0)") + F.col("event_id").cast("decimal(19,0)")
     bars = ev.groupBy("instrument", slot.alias("ts")).agg(
         F.min_by("v", order).alias("o"), F.max("v").alias("h"),
         F.min("v").alias("l"), F.max_by("v", order).alias("c"),
@@ -83,7 +86,7 @@ def shipment_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").cast("bigint").alias("q"),
         "l_linestatus", "l_orderkey", "l_linenumber",
     )
-    order = F.struct("l_orderkey", "l_linenumber")
+    order = F.col("l_orderkey") * 1000 + F.col("l_linenumber")
     n_o = F.count_if(F.col("l_linestatus") == "O")
     n_f = F.count_if(F.col("l_linestatus") == "F")
     return li.groupBy("instrument", "trading_date").agg(
