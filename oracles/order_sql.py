@@ -489,7 +489,7 @@ maxt_ctes("fmx", "fnt", "fot", FAM)
 maxt_ctes("vmx", "nt", "ot", V)
 add("maxt_stepdown", f"SELECT {FAM}, rank, t, p_adj FROM fmx", "t p_adj")
 cte("q0", "SELECT quantile_cont(t, 0.5) AS split FROM fnt")
-cte("q1", "SELECT least(1, greatest(0, (count(*) FILTER (t <= split)) / (0.5 * count(*)))) AS pi0 FROM fot CROSS JOIN q0")
+cte("q1", "SELECT least(1, greatest(0, (count(*) FILTER (t <= split)) / (0.5 * count(*)))) AS pi0 FROM fot CROSS JOIN q0 WHERE t IS NOT NULL")
 cte("q2", f"""
 SELECT {FAM}, o.t, least(1, pi0 * ((SELECT count(*) FROM fnt n WHERE n.t >= o.t) / (SELECT count(DISTINCT draw) FROM fnt)) /
   (SELECT count(*) FROM fot z WHERE z.t >= o.t)) AS f FROM fot o CROSS JOIN q1 WHERE o.t IS NOT NULL""")
