@@ -8,7 +8,7 @@ import __spark_entry__ as entry_point
 from barloom.operators.bars import daily_from_bars
 from barloom.operators.eligibility import mark_eligibility
 from barloom.operators.metrics import variant_summary
-from barloom.params import VARIANT, Market
+from barloom.params import VARIANT, GridSpec, Market
 from barloom.plans.inference import NullSpec
 from barloom.plans.sweep import SweepPaths, run_sweep, summarise
 from barloom.sources import sinks
@@ -90,12 +90,30 @@ def test_sweep_end_to_end_and_from_the_stored_journal(spark, tmp_path):
     assert spark.read.parquet(paths.at("null/null_t")).filter("eligible").count() > 0
 
 
-def test_short_history_sweep_yields_no_windows(spark, tmp_path, sf):
-    b = event_bars(spark, sf)
-    from barloom.operators.calendar import bar_span, regime_windows
-    assert regime_windows(bar_span(b)).count() == 0
-    assert daily_from_bars(b).count() > 0
-    assert callable(run_sweep)
+def test_run_sweep_over_windows(spark, tmp_path):
+    """Bars to calibrated summary over eleven months, with windows, volatility and controls."""
+    v = "pmod(xxhash64(d, m), 41) - 20"
+    bars_df = spark.range(330).selectExpr("id AS d").crossJoin(spark.range(210).selectExpr("id AS m")).selectExpr(
+        "'ES' AS instrument",
+        "timestamp_ntz'2023-01-02 13:30:00' + make_dt_interval(CAST(d AS INT), 0, CAST(m AS INT)) AS ts",
+        f"CAST(20000 + 60 * sin((d * 210 + m) / 37.0) + ({v}) AS BIGINT) AS o",
+        f"CAST(20000 + 60 * sin((d * 210 + m + 1) / 37.0) + (pmod(xxhash64(d, m + 1), 41) - 20) AS BIGINT) AS c",
+        "1L AS volume", "'ESH3' AS contract", "'databento' AS source", "m AS ingest_seq").selectExpr(
+        "*", "greatest(o, c) + 8 AS h", "least(o, c) - 8 AS l")
+    grid = GridSpec(sessions=(("NY", "America/New_York", 570, 720),), range_minutes=(30,), closure_tfs={30: (5,)},
+                    rr_levels=(0.5, 1.0))
+    out = run_sweep(bars_df, daily_from_bars(bars_df), grid, Market(), str(tmp_path),
+                    NullSpec(draws=20, sample_days=40, min_days=10), ci_draws=20)
+    windows = spark.read.parquet(str(tmp_path / "windows"))
+    days = spark.read.parquet(str(tmp_path / "days"))
+    journal = spark.read.parquet(str(tmp_path / "journal"))
+    assert windows.count() == 1 and 150 < days.count() < 190
+    assert days.filter("atr_4h IS NULL OR parkinson_vol_14d IS NULL").count() < 30
+    assert journal.filter("date < window_start OR date > window_end").count() == 0
+    rows_ = out.collect()
+    assert rows_ and {r.hypothesis_variants for r in rows_} == {len(rows_)}
+    assert all(r.ci_lo <= r.expectancy_gross_r <= r.ci_hi for r in rows_ if r.trade_count > 60)
+    assert all(0 < r.p_adj_maxT <= 1 and 0 < r.null_p_broad <= 1 for r in rows_ if r.null_p_broad is not None)
 
 
 def test_every_query_has_an_oracle():
