@@ -122,6 +122,18 @@ def pack(block: int, order: int, keys: np.ndarray, values: np.ndarray | None, bu
         "_values": pa.array(cols[4], pa.binary())})
 
 
+def note(block: int, data: bytes) -> pa.Table:
+    """A row of PACKED that a block writes to itself: it comes back among the answers as it is."""
+    whole = lambda x: pa.array([x], pa.int32())
+    return pa.table({"_block": whole(block), "_order": whole(0), "_bucket": whole(-1 - block), "_n": whole(0),
+                     "_width": whole(0), "_keys": pa.array([data], pa.binary()), "_values": pa.array([None], pa.binary())})
+
+
+def without_note(answers: pa.Table) -> tuple[bytes, pa.Table]:
+    own = np.array(answers["_bucket"].to_pylist()) < 0
+    return answers.filter(pa.array(own))["_answers"][0].as_py(), answers.filter(pa.array(~own))
+
+
 def _unpack(n: int, width: int, planes: bytes, lower: int) -> np.ndarray:
     gaps = np.zeros((n, 8), np.uint8)
     gaps[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, n).T
@@ -133,6 +145,8 @@ def compare(packed: DataFrame, buckets: int,
     """ANSWERS: fn(keys, orders, values) of each bucket gives one answer for each key it got."""
 
     def bucket(table: pa.Table) -> pa.Table:
+        if table["_bucket"][0].as_py() < 0:
+            return table.select(["_block", "_bucket", "_n", "_keys"]).rename_columns(["_block", "_bucket", "_n", "_answers"])
         lower = _lower(table["_bucket"][0].as_py(), buckets)
         sizes = table["_n"].to_pylist()
         keys = np.concatenate([_unpack(n, w, k.as_buffer(), lower) for n, w, k in

@@ -95,11 +95,11 @@ def word_windows(hashes: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.
 
 
 def ranges_covered(starts: np.ndarray, size: int, length: int) -> np.ndarray:
-    """Mask of the positions inside any [start, start + size)."""
-    steps = np.zeros(length + 1, np.int32)
-    np.add.at(steps, starts, 1)
-    np.subtract.at(steps, np.minimum(starts + size, length), 1)
-    return np.cumsum(steps[:-1]) > 0
+    """Mask of the positions inside any [start, start + size); starts are distinct, no range passes length."""
+    steps = np.zeros(length + 1, np.int8)
+    steps[starts] += 1
+    steps[starts + size] -= 1
+    return np.cumsum(steps[:-1], dtype=np.int32) > 0
 
 
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,6 +108,13 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order and how often each occurs (by sorting, faster here than hashing)."""
+    ranked = np.sort(keys)
+    starts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1]))) if len(keys) else np.empty(0, np.int64)
+    return ranked[starts], np.diff(np.append(starts, len(keys)))
+
+
 def groups_of(keys: np.ndarray, stable: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sort order of keys, starts of the groups of equal keys in it, and their lengths."""
     order = np.argsort(keys, kind="stable" if stable else None)

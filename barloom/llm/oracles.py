@@ -18,3 +18,35 @@ SELECT n.doc_id, n_words, coalesce(n_removed, 0) AS n_removed,
            words, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
 FROM n LEFT JOIN cut USING (doc_id)
 """
+
+SQL["op8_suffix_dedup"] = r"""
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+suffixes AS (
+    SELECT doc_id, start, md5(substr(x, 2 * start + 1, 200)) AS h
+    FROM d, LATERAL (SELECT unnest(range(0, greatest(length(x) // 2 - 99, 0))) AS start)),
+firsts AS (
+    SELECT h, min(doc_id) AS first, arg_min(start, (doc_id, start)) AS first_start
+    FROM suffixes GROUP BY h HAVING count(*) > 1),
+hits AS (
+    SELECT doc_id, start FROM suffixes JOIN firsts USING (h) WHERE first < doc_id OR first_start < start),
+edges AS (
+    SELECT doc_id, start, lag(start) OVER w AS before, lead(start) OVER w AS after
+    FROM hits WINDOW w AS (PARTITION BY doc_id ORDER BY start)),
+heads AS (
+    SELECT doc_id, start, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS k
+    FROM edges WHERE before IS NULL OR start > before + 100),
+tails AS (
+    SELECT doc_id, start + 100 AS stop, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS k
+    FROM edges WHERE after IS NULL OR after > start + 100),
+spans AS (
+    SELECT doc_id, start, stop, lead(start) OVER (PARTITION BY doc_id ORDER BY start) AS next
+    FROM heads JOIN tails USING (doc_id, k)),
+cut AS (
+    SELECT doc_id, sum(stop - start)::BIGINT AS n_removed, count(*) AS n_spans,
+           substr(any_value(x), 1, 2 * min(start)) || string_agg(
+               substr(x, 2 * stop + 1, 2 * (coalesce(next, length(x) // 2) - stop)), '' ORDER BY start) AS kept
+    FROM spans JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""

@@ -38,7 +38,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def hash_block(table: pa.Table) -> pa.Table:
         block = table["_block"][0].as_py()
         keys, _, _ = _windows(table["_text"].cast(pa.binary()).to_pylist(), window)
-        return B.pack(block, min(block, last), np.unique(keys), None, buckets)
+        return B.pack(block, min(block, last), H.distinct(keys)[0], None, buckets)
 
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
         docs_ = B.Documents(table)
