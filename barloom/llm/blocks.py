@@ -49,8 +49,9 @@ class Blocks:
         ident, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
         rest = [f for f in docs.schema.fields if f.name not in (id_col, text_col)]
         self.rest = T.StructType(rest)
-        size = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
-        wanted = max(1, -(-size // block_bytes), 2 * shuffle_partitions(spark))
+        size = docs.agg(F.sum(F.octet_length(text)).alias("n"), F.count(F.lit(1)).alias("rows")).first()
+        self.bytes, self.rows = size["n"] or 0, size["rows"]
+        wanted = max(1, -(-self.bytes // block_bytes), 2 * shuffle_partitions(spark))
         cuts = docs.select(F.percentile_approx(
             ident, [k / wanted for k in range(1, wanted)] or [0.5], 20 * wanted).alias("cuts")).first()["cuts"]
         self.cuts = sorted(set(cuts or []))
@@ -102,14 +103,15 @@ def lower_bounds(buckets: int) -> np.ndarray:
     return np.array([_lower(b, buckets) for b in range(buckets)], np.uint64)
 
 
-def pack(block: int, order: int, keys: np.ndarray, values: np.ndarray | None, buckets: int) -> pa.Table:
-    """Rows of PACKED from sorted distinct keys and, if given, a byte for each."""
+def pack(block: int, order: int, keys: np.ndarray, values: np.ndarray | None, buckets: int, shift: int = 0) -> pa.Table:
+    """Rows of PACKED from sorted distinct keys and, if given, a value for each. The lowest ``shift`` bits, at
+    most 32, are not sent and must be zero."""
     edges = np.append(np.searchsorted(keys, lower_bounds(buckets)), len(keys))
     rows: list[tuple] = []
     for b in range(buckets):
         part = keys[edges[b]:edges[b + 1]]
         if len(part):
-            gaps = np.diff(part, prepend=np.uint64(_lower(b, buckets)))
+            gaps = np.diff(part, prepend=np.uint64(_lower(b, buckets))) >> np.uint64(shift)
             width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
             planes = gaps.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
             rows.append((b, len(part), width, planes,
@@ -134,14 +136,15 @@ def without_note(answers: pa.Table) -> tuple[bytes, pa.Table]:
     return answers.filter(pa.array(own))["_answers"][0].as_py(), answers.filter(pa.array(~own))
 
 
-def _unpack(n: int, width: int, planes: bytes, lower: int) -> np.ndarray:
+def _unpack(n: int, width: int, planes: bytes, lower: int, shift: int) -> np.ndarray:
     gaps = np.zeros((n, 8), np.uint8)
     gaps[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, n).T
-    return np.cumsum(gaps.view(np.uint64).ravel(), dtype=np.uint64) + np.uint64(lower)
+    return np.cumsum(gaps.view(np.uint64).ravel() << np.uint64(shift), dtype=np.uint64) + np.uint64(lower)
 
 
 def compare(packed: DataFrame, buckets: int,
-            fn: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], bits: bool) -> DataFrame:
+            fn: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], bits: bool, values_as=np.uint8,
+            shift: int = 0) -> DataFrame:
     """ANSWERS: fn(keys, orders, values) of each bucket gives one answer for each key it got."""
 
     def bucket(table: pa.Table) -> pa.Table:
@@ -149,10 +152,10 @@ def compare(packed: DataFrame, buckets: int,
             return table.select(["_block", "_bucket", "_n", "_keys"]).rename_columns(["_block", "_bucket", "_n", "_answers"])
         lower = _lower(table["_bucket"][0].as_py(), buckets)
         sizes = table["_n"].to_pylist()
-        keys = np.concatenate([_unpack(n, w, k.as_buffer(), lower) for n, w, k in
+        keys = np.concatenate([_unpack(n, w, k.as_buffer(), lower, shift) for n, w, k in
                                zip(sizes, table["_width"].to_pylist(), table["_keys"])])
         orders = np.repeat(np.array(table["_order"].to_pylist(), np.int32), sizes)
-        values = np.concatenate([np.frombuffer(v.as_buffer(), np.uint8) if v.is_valid else np.zeros(n, np.uint8)
+        values = np.concatenate([np.frombuffer(v.as_buffer(), values_as) if v.is_valid else np.zeros(n, values_as)
                                  for n, v in zip(sizes, table["_values"])])
         answers = fn(keys, orders, values)
         at = np.concatenate(([0], np.cumsum(sizes)))
@@ -194,5 +197,14 @@ def in_several(keys: np.ndarray, _orders: np.ndarray, values: np.ndarray) -> np.
     return out
 
 
+def in_total(keys: np.ndarray, _orders: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The sum of the values that all lists have for the key."""
+    order, starts, sizes = groups_of(keys)
+    out = np.zeros(len(keys), values.dtype)
+    if len(keys):
+        out[order] = np.repeat(np.add.reduceat(values[order], starts), sizes)
+    return out
+
+
 def rows_between(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(starts.tolist(), ends.tolist())

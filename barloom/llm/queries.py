@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.llm.minhash_dedup import near_duplicates
 from barloom.llm.substring_dedup import substring_dedup
 from barloom.llm.suffix_dedup import suffix_dedup
 
@@ -24,4 +25,9 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op8_suffix_dedup": op8_suffix_dedup}
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op7_minhash_dedup": op7_minhash_dedup,
+           "op8_suffix_dedup": op8_suffix_dedup}
