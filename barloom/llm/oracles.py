@@ -50,3 +50,31 @@ SELECT d.doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed,
        sha256(unhex(coalesce(kept, x))) AS kept_sha256
 FROM d LEFT JOIN cut USING (doc_id)
 """
+
+SQL["op3_decontaminate"] = r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+item_windows AS (
+    SELECT DISTINCT item_id, size, array_to_string(w[start:start + size - 1], ' ') AS h
+    FROM (SELECT item_id, w, least(13, len(w)) AS size FROM i WHERE len(w) > 0),
+         LATERAL (SELECT unnest(range(1, len(w) - size + 2)) AS start)),
+sizes AS (SELECT DISTINCT size FROM item_windows),
+doc_windows AS (
+    SELECT doc_id, size, start, array_to_string(w[start:start + size - 1], ' ') AS h
+    FROM d, sizes, LATERAL (SELECT unnest(range(1, greatest(len(w) - size + 2, 1))) AS start)),
+hits AS (
+    SELECT doc_id, x.size, start, item_id FROM doc_windows AS x JOIN item_windows AS y ON x.size = y.size AND x.h = y.h),
+covered AS (
+    SELECT doc_id, count(DISTINCT pos) AS n_hit
+    FROM (SELECT doc_id, unnest(range(start, start + size)) AS pos FROM hits) GROUP BY doc_id),
+named AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.llm.decontaminate import contamination
 from barloom.llm.minhash_dedup import near_duplicates
 from barloom.llm.substring_dedup import substring_dedup
 from barloom.llm.suffix_dedup import suffix_dedup
@@ -25,9 +26,17 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contamination(_read(spark, sf_dir, "documents", "doc_id", "text"),
+                        _read(spark, sf_dir, "benchmark", "item_id", "text"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+                      F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op7_minhash_dedup": op7_minhash_dedup,
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_decontaminate": op3_decontaminate,
+           "op7_minhash_dedup": op7_minhash_dedup,
            "op8_suffix_dedup": op8_suffix_dedup}
