@@ -78,3 +78,29 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+SQL["op9_warc"] = r"""
+WITH p AS (
+    SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS size,
+           sha256(coalesce(html, '')) AS digest FROM pages),
+firsts AS (
+    SELECT digest, min(page_id) AS first_id, arg_min(url, (page_id, url)) AS first_url
+    FROM p WHERE size >= 100 GROUP BY digest HAVING count(*) > 1),
+l AS (SELECT p.*, first_id, first_url, coalesce(first_id <> page_id, false) AS again FROM p LEFT JOIN firsts USING (digest)),
+ids AS (SELECT *, md5(page_id || ' ' || url) AS h, md5(first_id || ' ' || first_url) AS g FROM l),
+named AS (
+    SELECT *, '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>' AS id,
+           '<urn:uuid:' || g[1:8] || '-' || g[9:12] || '-' || g[13:16] || '-' || g[17:20] || '-' || g[21:32] || '>' AS first_record,
+           chr(13) || chr(10) AS eol FROM ids)
+SELECT page_id, size AS payload_bytes, digest AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN first_id END AS refers_to,
+       sha256('WARC/1.1' || eol || 'WARC-Type: ' || CASE WHEN again THEN 'revisit' ELSE 'response' END || eol
+              || 'WARC-Record-ID: ' || id || eol || 'WARC-Target-URI: ' || url || eol
+              || 'WARC-Date: 2024-01-01T00:00:00Z' || eol || 'WARC-Payload-Digest: sha256:' || digest || eol
+              || CASE WHEN again THEN 'WARC-Refers-To: ' || first_record || eol
+                     || 'WARC-Refers-To-Target-URI: ' || first_url || eol
+                     || 'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest' || eol ELSE '' END
+              || 'Content-Type: text/html' || eol || 'Content-Length: ' || CASE WHEN again THEN 0 ELSE size END || eol || eol
+              || CASE WHEN again THEN '' ELSE html END || eol || eol) AS record_sha256
+FROM named
+"""

@@ -9,6 +9,7 @@ from barloom.llm.decontaminate import contamination
 from barloom.llm.minhash_dedup import near_duplicates
 from barloom.llm.substring_dedup import substring_dedup
 from barloom.llm.suffix_dedup import suffix_dedup
+from barloom.llm.warc import archive_round_trip
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -37,6 +38,13 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = archive_round_trip(_read(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return records.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"),
+                          F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to",
+                          F.sha2("record", 256).alias("record_sha256"))
+
+
 QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_decontaminate": op3_decontaminate,
            "op7_minhash_dedup": op7_minhash_dedup,
-           "op8_suffix_dedup": op8_suffix_dedup}
+           "op8_suffix_dedup": op8_suffix_dedup, "op9_warc": op9_warc}
