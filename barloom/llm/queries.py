@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.decontaminate import contamination
+from barloom.llm.license_scan import license_scan
 from barloom.llm.minhash_dedup import near_duplicates
 from barloom.llm.substring_dedup import substring_dedup
 from barloom.llm.suffix_dedup import suffix_dedup
@@ -34,6 +35,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_read(spark, sf_dir, "documents", "doc_id", "text")).drop("detections")
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -46,5 +51,6 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_decontaminate": op3_decontaminate,
+           "op4_license_scan": op4_license_scan,
            "op7_minhash_dedup": op7_minhash_dedup,
            "op8_suffix_dedup": op8_suffix_dedup, "op9_warc": op9_warc}
