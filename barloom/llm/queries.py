@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.decontaminate import contamination
+from barloom.llm.language_id import fit, identify
 from barloom.llm.license_scan import license_scan
 from barloom.llm.minhash_dedup import near_duplicates
 from barloom.llm.substring_dedup import substring_dedup
@@ -39,6 +40,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_read(spark, sf_dir, "documents", "doc_id", "text")).drop("detections")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return identify(docs.select("doc_id", "text"), fit(docs))
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -52,5 +58,6 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_decontaminate": op3_decontaminate,
            "op4_license_scan": op4_license_scan,
+           "op6_language_id": op6_language_id,
            "op7_minhash_dedup": op7_minhash_dedup,
            "op8_suffix_dedup": op8_suffix_dedup, "op9_warc": op9_warc}
