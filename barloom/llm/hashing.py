@@ -54,6 +54,12 @@ def gram_hashes(sums: np.ndarray, size: int) -> np.ndarray:
     return mix((sums[size:] - sums[:n]) * down[:n])
 
 
+def range_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Mixed hash of each values[start:end], their lengths included."""
+    _, down = _powers(len(sums))
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def word_hashes(texts: list[bytes | None], table: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts in order, and the number of words of each text."""
     hashes, counts, group, size = [], [], [], 0

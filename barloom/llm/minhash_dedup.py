@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = B.compare(blocks.each(count, B.PACKED), buckets, B.in_total, False, np.uint32, shift)
     found = stored(blocks.each_with(
         counts, sample, "id long, node binary, bands array<long>, keys binary, weights binary"), "near")
-    nodes = found.groupBy("node").agg(F.min_by(F.struct("bands", "keys", "weights"), "id").alias("v")) \
+    nodes = found.groupBy("node").agg(F.first(F.struct("bands", "keys", "weights")).alias("v")) \
         .select("node", "v.bands", "v.keys", "v.weights")
 
     # A leader for each bucket of more than one node; which node leads differs from band to band.

@@ -7,8 +7,10 @@ fingerprint order instead of dictionary order; which suffixes are equal, all tha
 Pass 1 sorts by a leading digit of ``digit`` bytes, on sampled suffixes only: of the digits that start in
 the first ``depth - digit + 1`` places of a window, the one with the least fingerprint is its sample, so equal
 windows have equal samples and a window whose sample is alone in the corpus is alone too. This sorts about
-2 in ``depth - digit`` suffixes. Pass 2 sorts all suffixes whose sample is not alone through the full depth. Groups
-of equal suffixes are exactly the repeated windows; all but the first member (by id, then start) go.
+2 in ``depth - digit`` suffixes. Neighbouring suffixes that share their sample then make a run, and pass 2 sorts the runs by all bytes
+that their windows cover: a run that an earlier block has too needs no more sorting, for all its windows start there.
+Pass 3 sorts the suffixes of all other runs through the full depth (the first place of any window is among them).
+Groups of equal suffixes are exactly the repeated windows; all but the first member (by id, then start) go.
 
 Matches never cross documents. Null and empty texts have no bytes; shorter texts than ``depth`` lose nothing.
 Rows with equal ids don't remove each other's bytes, null ids count as the largest id, and bytes repeated inside one
@@ -95,17 +97,43 @@ def _in_sorted(values: np.ndarray, ranked: np.ndarray) -> np.ndarray:
     return np.repeat(ranked[at] == values[heads], np.diff(np.append(heads, len(values))))
 
 
-def _suffixes(texts: list[bytes | None], shared: np.ndarray, depth: int, digit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Full-depth fingerprints of the suffixes whose sample is in ``shared``, and their places."""
-    keys, where = [], []
-    for data, starts, places in _pieces(texts, depth):
-        sums, _, samples = _digits(data, starts, depth, digit)
+class _Runs:
+    """Suffixes of a piece whose sample is in ``shared``, in runs of neighbours of one sample."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, places: np.ndarray, shared: np.ndarray, depth: int, digit: int):
+        self.sums, _, samples = _digits(data, starts, depth, digit)
+        self.depth = depth
         left = _in_sorted(samples, shared)
-        keys.append(H.gram_hashes(sums, depth)[starts[left]])
-        where.append(places[left])
-    if not keys:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.concatenate(keys), np.concatenate(where)
+        self.starts, self.places, samples = starts[left], places[left], samples[left]
+        new = np.concatenate(([True], (samples[1:] != samples[:-1]) | (self.starts[1:] != self.starts[:-1] + 1)))
+        heads = np.flatnonzero(new[:len(samples)])
+        self.sizes = np.diff(np.append(heads, len(samples)))
+        self.keys = H.range_hashes(self.sums, self.starts[heads], self.starts[heads + self.sizes - 1] + depth)
+
+    def windows(self, done: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Fingerprints and places of the suffixes of runs outside ``done`` (sorted), places of those inside."""
+        inside = np.repeat(_in_sorted(self.keys, done), self.sizes)
+        keys = H.gram_hashes(self.sums, self.depth)[self.starts[~inside]]
+        return keys, self.places[~inside], self.places[inside]
+
+
+def _run_keys(texts: list[bytes | None], shared: np.ndarray, depth: int, digit: int) -> np.ndarray:
+    found = [_Runs(*piece, shared, depth, digit).keys for piece in _pieces(texts, depth)]
+    return H.distinct(np.concatenate(found) if found else np.empty(0, np.uint64))[0]
+
+
+def _suffixes(texts: list[bytes | None], shared: np.ndarray, done: np.ndarray, depth: int, digit: int):
+    """_Runs.windows of all pieces."""
+    found = [_Runs(*piece, shared, depth, digit).windows(done) for piece in _pieces(texts, depth)]
+    if not found:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _two(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Two arrays from one note; the first number is the length of the first."""
+    both = np.frombuffer(data, np.uint64)
+    return both[1:1 + int(both[0])], both[1 + int(both[0]):]
 
 
 def _text_without(text: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
@@ -137,25 +165,33 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         keys, several = _samples(table["_text"].cast(pa.binary()).to_pylist(), depth, digit)
         return B.pack(block, min(block, last), keys, several, buckets)
 
-    def shared_samples(docs_: B.Documents, answers: pa.Table) -> np.ndarray:
-        keys, _ = _samples(docs_.texts, depth, digit)
-        return keys[B.answers_of(answers, len(keys))]
-
     def second_pass(table: pa.Table, answers: pa.Table) -> pa.Table:
         block = table["_block"][0].as_py()
-        docs_ = B.Documents(table)
-        shared = shared_samples(docs_, answers)
-        keys, _ = _suffixes(docs_.texts, shared, depth, digit)
+        texts = table["_text"].cast(pa.binary()).to_pylist()
+        keys, _ = _samples(texts, depth, digit)
+        shared = keys[B.answers_of(answers, len(keys))]
         return pa.concat_tables([B.note(block, shared.tobytes()), B.pack(
+            block, min(block, last), _run_keys(texts, shared, depth, digit), None, buckets)])
+
+    def third_pass(table: pa.Table, answers: pa.Table) -> pa.Table:
+        block = table["_block"][0].as_py()
+        texts = table["_text"].cast(pa.binary()).to_pylist()
+        note, answers = B.without_note(answers)
+        shared = np.frombuffer(note, np.uint64)
+        runs = _run_keys(texts, shared, depth, digit)
+        done = runs[B.answers_of(answers, len(runs))]
+        keys, _, _ = _suffixes(texts, shared, done, depth, digit)
+        both = np.concatenate((np.array([len(shared)], np.uint64), shared, done))
+        return pa.concat_tables([B.note(block, both.tobytes()), B.pack(
             block, min(block, last), H.distinct(keys)[0], None, buckets)])
 
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
         docs_ = B.Documents(table)
         note, answers = B.without_note(answers)
-        shared = np.frombuffer(note, np.uint64)
+        shared, done = _two(note)
         sizes = np.array([len(t or b"") for t in docs_.texts], np.int64)
         ends = np.cumsum(sizes)
-        keys, places = _suffixes(docs_.texts, shared, depth, digit)
+        keys, places, repeats = _suffixes(docs_.texts, shared, done, depth, digit)
         order, at, members = H.groups_of(keys, stable=True)
         earlier = np.repeat(B.answers_of(answers, len(at)), members)
         row = np.searchsorted(ends, places[order], "right")
@@ -166,7 +202,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             same_row = np.concatenate(([False], row[1:] == row[:-1]))
             same_row[at] = False
             again |= same_row
-        gone = H.ranges_covered(places[order[again]], depth, int(sizes.sum()))
+        gone = H.ranges_covered(np.concatenate((places[order[again]], repeats)), depth, int(sizes.sum()))
         lo, hi = H.runs(gone)
         n_removed, spans, kept, texts = [], [], [], []
         for text, start, end in zip(docs_.texts, ends - sizes, ends):
@@ -198,5 +234,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(span)),
             T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())])
     sampled = B.compare(blocks.each(first_pass, B.PACKED), buckets, B.in_several, True)
-    sorted_ = blocks.each_with(sampled, second_pass, B.PACKED)
-    return blocks.each_with(B.compare(sorted_, buckets, B.in_earlier, True), remove, out)
+    runs = B.compare(blocks.each_with(sampled, second_pass, B.PACKED), buckets, B.in_earlier, True)
+    windows = B.compare(blocks.each_with(runs, third_pass, B.PACKED), buckets, B.in_earlier, True)
+    return blocks.each_with(windows, remove, out)
