@@ -9,6 +9,7 @@ from barloom.llm.decontaminate import contamination
 from barloom.llm.language_id import fit, identify
 from barloom.llm.license_scan import license_scan
 from barloom.llm.minhash_dedup import near_duplicates
+from barloom.llm.sentencepiece import Vocabulary, decode, encode
 from barloom.llm.substring_dedup import substring_dedup
 from barloom.llm.suffix_dedup import suffix_dedup
 from barloom.llm.warc import archive_round_trip
@@ -29,6 +30,17 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = Vocabulary.load()
+    out = decode(encode(_read(spark, sf_dir, "documents", "doc_id", "text"), vocabulary), vocabulary)
+    first, last = min(vocabulary.byte_ids.tolist()), max(vocabulary.byte_ids.tolist())
+    return out.select("doc_id", F.coalesce(F.array_size("token_ids"), F.lit(0)).cast("long").alias("n_tokens"),
+                      F.coalesce(F.array_size(F.filter("token_ids", lambda x: x.between(first, last))), F.lit(0))
+                      .cast("long").alias("n_byte_pieces"),
+                      "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"),
+                      F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(_read(spark, sf_dir, "documents", "doc_id", "text"),
                         _read(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -56,7 +68,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.sha2("record", 256).alias("record_sha256"))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_decontaminate": op3_decontaminate,
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_sentencepiece": op2_sentencepiece, "op3_decontaminate": op3_decontaminate,
            "op4_license_scan": op4_license_scan,
            "op6_language_id": op6_language_id,
            "op7_minhash_dedup": op7_minhash_dedup,
