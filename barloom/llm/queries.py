@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.llm.cluster import cut
 from barloom.llm.decontaminate import contamination
 from barloom.llm.language_id import fit, identify
 from barloom.llm.license_scan import license_scan
 from barloom.llm.minhash_dedup import near_duplicates
 from barloom.llm.sentencepiece import Vocabulary, decode, encode
+from barloom.llm.simhash import fingerprint_edits, likeness, neighbours
 from barloom.llm.substring_dedup import substring_dedup
 from barloom.llm.suffix_dedup import suffix_dedup
 from barloom.llm.warc import archive_round_trip
@@ -52,6 +54,19 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_read(spark, sf_dir, "documents", "doc_id", "text")).drop("detections")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Also, for the documents whose id is divisible by 50, how many rows the block tables find within the radius."""
+    out = fingerprint_edits(_read(spark, sf_dir, "documents", "doc_id", "text"))
+    out = cut(out.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited"))
+    asked = out.where(F.col("doc_id") % 50 == 0).select("doc_id", "fingerprint")
+    near = neighbours(asked, out, "doc_id").select("doc_id", "n_near", "n_exact").distinct()
+    text = lambda c: F.lower(F.lpad(F.hex(c), 16, "0")).alias(c)
+    return out.join(near, "doc_id", "left").select(
+        "doc_id", "n_chars", "edited_sha256", text("fingerprint"), text("edited_fingerprint"),
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"), "n_near", "n_exact")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents", "doc_id", "text", "lang")
     return identify(docs.select("doc_id", "text"), fit(docs))
@@ -70,6 +85,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_sentencepiece": op2_sentencepiece, "op3_decontaminate": op3_decontaminate,
            "op4_license_scan": op4_license_scan,
+           "op5_simhash": op5_simhash,
            "op6_language_id": op6_language_id,
            "op7_minhash_dedup": op7_minhash_dedup,
            "op8_suffix_dedup": op8_suffix_dedup, "op9_warc": op9_warc}
