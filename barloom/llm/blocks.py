@@ -52,7 +52,7 @@ class Blocks:
         size = docs.agg(F.sum(F.octet_length(text)).alias("n"), F.count(F.lit(1)).alias("rows"),
                         F.min(ident).alias("least"), F.count(ident).alias("ids")).first()
         self.bytes, self.rows, self.least, self.nulls = size["n"] or 0, size["rows"], size["least"], size["rows"] - size["ids"]
-        wanted = max(1, -(-self.bytes // block_bytes), 2 * shuffle_partitions(spark))
+        wanted = max(1, -(-self.bytes // block_bytes), shuffle_partitions(spark))
         cuts = docs.select(F.percentile_approx(
             ident, [k / wanted for k in range(1, wanted)] or [0.5], 20 * wanted).alias("cuts")).first()["cuts"]
         self.cuts = sorted(set(cuts or []))
