@@ -14,6 +14,7 @@ from barloom.llm.sentencepiece import Vocabulary, decode, encode
 from barloom.llm.simhash import fingerprint_edits, likeness, neighbours
 from barloom.llm.substring_dedup import substring_dedup
 from barloom.llm.suffix_dedup import suffix_dedup
+from barloom.llm.token_shards import in_training_order
 from barloom.llm.warc import archive_round_trip
 
 
@@ -83,9 +84,14 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.sha2("record", 256).alias("record_sha256"))
 
 
+def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = in_training_order(_read(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.withColumn("tokens_sha256", F.sha2("tokens", 256)).drop("tokens")
+
+
 QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_sentencepiece": op2_sentencepiece, "op3_decontaminate": op3_decontaminate,
            "op4_license_scan": op4_license_scan,
            "op5_simhash": op5_simhash,
            "op6_language_id": op6_language_id,
            "op7_minhash_dedup": op7_minhash_dedup,
-           "op8_suffix_dedup": op8_suffix_dedup, "op9_warc": op9_warc}
+           "op8_suffix_dedup": op8_suffix_dedup, "op9_warc": op9_warc, "op10_token_shards": op10_token_shards}
