@@ -37,12 +37,13 @@ def priority_of(source):
 
 
 def dedup_bars(bars: DataFrame) -> DataFrame:
-    """One bar per (instrument, ts): best source, then latest ingested.
+    """One bar per (instrument, ts): best source, then latest ingested, then the greatest row.
 
-    A max over a struct combines on the map side, so many copies of one bar never meet in a task.
+    The row itself ends the order, so the result never depends on how the copies met. A max over a struct combines on the map side, so many copies of one bar never meet in a task.
     """
     rest = [c for c in bars.columns if c not in ("instrument", "ts")]
-    best = F.max_by(F.struct(*rest), F.struct(priority_of(F.col("source")), F.col("ingest_seq")))
+    best = F.max_by(F.struct(*rest), F.struct(
+        priority_of(F.col("source")).alias("_priority"), F.col("ingest_seq").alias("_seq"), *rest))
     return bars.groupBy("instrument", "ts").agg(best.alias("_b")).select("instrument", "ts", "_b.*")
 
 

@@ -19,6 +19,7 @@ from barloom.operators.metrics import regime_summary, variant_summary
 from barloom.operators.resample import bootstrap_ci
 from barloom.params import BOOTSTRAP_DRAWS, FAMILY, VARIANT, GridSpec, Market
 from barloom.plans.inference import NullSpec, control_pools, enrich_summary
+from barloom.plans.load import load_bars
 from barloom.sources.sinks import (
     run_manifest, write_control_artifacts, write_csv, write_journal, write_table,
 )
@@ -78,6 +79,14 @@ def calibrate(journal: DataFrame, days: DataFrame, summary: DataFrame, grid: Gri
     return enriched
 
 
+def sweep_from_store(spark: SparkSession, store: str, daily: DataFrame, grid: GridSpec, market: Market, root: str,
+                     spec: NullSpec = NullSpec(), ci_draws: int = BOOTSTRAP_DRAWS, skip_corrupt: bool = False) -> DataFrame:
+    """run_sweep from the bar store: the merged bars are stored as a stage of their own."""
+    paths = SweepPaths(root)
+    write_table(load_bars(spark, store, market.instrument_table(spark), skip_corrupt), paths.at("bars"))
+    return run_sweep(spark.read.parquet(paths.at("bars")), daily, grid, market, root, spec, ci_draws)
+
+
 def run_sweep(bars: DataFrame, daily: DataFrame, grid: GridSpec, market: Market, root: str,
               spec: NullSpec = NullSpec(), ci_draws: int = BOOTSTRAP_DRAWS) -> DataFrame:
     """Bars and daily bars in, calibrated summary out; every stage is stored under ``root``."""

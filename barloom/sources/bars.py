@@ -21,6 +21,8 @@ RAW_BAR_SCHEMA = T.StructType([
     T.StructField("close", T.DoubleType()),
     T.StructField("volume", T.LongType()),
     T.StructField("_contract", T.StringType()),
+    T.StructField("_source", T.StringType()),
+    T.StructField("ingest_seq", T.LongType()),
     T.StructField("instrument", T.StringType()),
     T.StructField("roll", T.StringType()),
     T.StructField("vendor", T.StringType()),
@@ -29,8 +31,14 @@ RAW_BAR_SCHEMA = T.StructType([
 
 
 def utc_wall(c: Column) -> Column:
-    """An instant as a zone-less UTC wall clock, whatever the session time zone is."""
-    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), c.cast("timestamp_ntz"))
+    """An instant as a zone-less UTC wall clock, whatever the session time zone is.
+
+    The instant's microseconds are added to the epoch, so no local wall clock, with its repeated hour, is
+    passed on the way. A zone-less timestamp is already one and stays as it is.
+    """
+    seconds = (F.unix_micros(c.cast("timestamp")).cast("decimal(24,0)") / 1000000).cast("decimal(18,6)")
+    shifted = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+    return F.when(F.typeof(c) == "timestamp_ntz", c.cast("timestamp_ntz")).otherwise(shifted)
 
 
 def roll_tag(continuous_symbol: Column) -> Column:
@@ -39,38 +47,58 @@ def roll_tag(continuous_symbol: Column) -> Column:
     return F.when(part.isin("c", "v", "n"), part).otherwise(F.lit("c"))
 
 
-def scan_raw_bars(spark: SparkSession, root: str) -> DataFrame:
-    """Partitioned bar scan; unreadable files are skipped, as a bad month must not stop a sweep."""
+def scan_raw_bars(spark: SparkSession, root: str, skip_corrupt: bool = False) -> DataFrame:
+    """Partitioned bar scan. An unreadable file fails the scan, unless skip_corrupt; see skipped_files."""
     return (
         spark.read.schema(RAW_BAR_SCHEMA)
-        .option("ignoreCorruptFiles", "true")
+        .option("ignoreCorruptFiles", str(skip_corrupt).lower())
         .parquet(root)
     )
 
 
+def skipped_files(spark: SparkSession, root: str) -> DataFrame:
+    """The Parquet files (path) below ``root`` that give no rows to a scan that skips unreadable ones."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true") \
+        .option("pathGlobFilter", "*.parquet").load(root).select("path")
+    read = scan_raw_bars(spark, root, skip_corrupt=True).select(F.col("_metadata.file_path").alias("path")).distinct()
+    return files.join(read, "path", "left_anti")
+
+
 def only_configured_rolls(raw: DataFrame, instruments: DataFrame) -> DataFrame:
     """Keep the files whose roll tag is the one the instrument table asks for."""
     wanted = instruments.select("instrument", roll_tag(F.col("continuous_symbol")).alias("roll"))
     return raw.join(wanted, ["instrument", "roll"], "left_semi")
 
 
+def _known(raw: DataFrame, names: list[str], default: Column) -> Column:
+    """The first non-null of the columns ``raw`` has, else the default."""
+    return F.coalesce(*[F.col(n) for n in names if n in raw.columns], default)
+
+
 def read_bars(raw: DataFrame, instruments: DataFrame, default_source: str = "unknown") -> DataFrame:
-    """Raw OHLCV rows as the bar table: UTC wall clock, integer ticks, NaN as null."""
-    source = F.col("_source") if "_source" in raw.columns else F.lit(default_source)
-    contract = F.col("_contract") if "_contract" in raw.columns else F.lit(None).cast("string")
-    seq = F.col("ingest_seq") if "ingest_seq" in raw.columns else F.lit(0).cast("bigint")
+    """Raw OHLCV rows as the bar table: UTC wall clock, integer ticks, NaN as null.
+
+    A bar's source is its own ``_source``, else the vendor it is stored under. Rows of instruments that the table
+    does not list are left out; ``unlisted_instruments`` counts them.
+    """
     tick = F.col("tick_size")
     return raw.join(instruments.select("instrument", "tick_size"), "instrument").select(
         "instrument",
         utc_wall(F.col("timestamp")).alias("ts"),
         *[to_ticks(nan_to_null(F.col(c)), tick).alias(c[0]) for c in ("open", "high", "low", "close")],
         F.col("volume").cast("bigint").alias("volume"),
-        contract.alias("contract"),
-        source.alias("source"),
-        seq.alias("ingest_seq"),
+        _known(raw, ["_contract"], F.lit(None).cast("string")).alias("contract"),
+        _known(raw, ["_source", "vendor"], F.lit(default_source)).alias("source"),
+        _known(raw, ["ingest_seq"], F.lit(0).cast("bigint")).alias("ingest_seq"),
     )
 
 
+def unlisted_instruments(raw: DataFrame, instruments: DataFrame) -> DataFrame:
+    """Rows of each instrument that ``read_bars`` and ``read_daily`` leave out."""
+    return raw.join(instruments.select("instrument"), "instrument", "left_anti").groupBy("instrument").agg(
+        F.count(F.lit(1)).alias("rows"))
+
+
 def read_daily(raw: DataFrame, instruments: DataFrame) -> DataFrame:
     """Daily bars keyed by an explicit trading date (New York date of the stamp when absent)."""
     if "trading_date" in raw.columns:
@@ -87,12 +115,15 @@ def read_daily(raw: DataFrame, instruments: DataFrame) -> DataFrame:
 
 
 def write_bars(bars: DataFrame, instruments: DataFrame, root: str, vendor: str) -> None:
-    """Store bars under their roll and vendor so that readers prune by directory."""
+    """Store bars under their roll and vendor so that readers prune by directory.
+
+    Only the (instrument, roll, vendor, year) folders that ``bars`` has rows for are replaced.
+    """
     tags = instruments.select("instrument", roll_tag(F.col("continuous_symbol")).alias("roll"))
     (
         bars.join(tags, "instrument")
         .withColumn("vendor", F.lit(vendor))
         .withColumn("year", F.year("ts"))
         .repartition("instrument", "year", F.month("ts"))
-        .write.mode("overwrite").partitionBy("instrument", "roll", "vendor", "year").parquet(root)
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("instrument", "roll", "vendor", "year").parquet(root)
     )

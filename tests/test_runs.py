@@ -12,7 +12,11 @@ from barloom.params import VARIANT, GridSpec, Market
 from barloom.plans.inference import NullSpec
 from barloom.plans.sweep import SweepPaths, run_sweep, summarise
 from barloom.sources import sinks
-from barloom.sources.bars import only_configured_rolls, read_bars, read_daily, roll_tag, scan_raw_bars, write_bars
+from barloom.plans.load import clean_bars, load_bars
+from barloom.sources.bars import (
+    only_configured_rolls, read_bars, read_daily, roll_tag, scan_raw_bars, skipped_files, unlisted_instruments, utc_wall,
+    write_bars,
+)
 from barloom.sources.quotes import normalise_quotes, read_quotes, write_quotes
 from barloom.sources.views import EVENT_GRID, EVENT_MARKET, event_bars
 from tests.helpers import RANGE5, bars, rows
@@ -34,11 +38,65 @@ def test_bar_store_round_trip_and_roll_filter(spark, tmp_path):
     back = scan_raw_bars(spark, root)
     kept = read_bars(only_configured_rolls(back, inst), inst)
     got = rows(kept, "ts")
-    assert len(got) == 5 and got[0]["h"] == 21600 and got[0]["source"] == "unknown"
+    assert len(got) == 5 and got[0]["h"] == 21600 and got[0]["source"] == "db"
     assert read_bars(only_configured_rolls(back.withColumn("roll", F.lit("v")), inst), inst).count() == 0
     assert "PartitionFilters: [isnotnull(instrument" in back.filter("instrument = 'ES'")._jdf.queryExecution().toString()
 
 
+def _raw(spark, *values):
+    """(instant, open, source, seq)"""
+    return spark.createDataFrame(list(values), "t string, open double, _source string, ingest_seq long").selectExpr(
+        "'ES' AS instrument", "timestamp_micros(unix_micros(cast(t AS timestamp))) AS timestamp", "open", "open AS high",
+        "open AS low", "open AS close", "5L AS volume", "'ESH4' AS _contract", "_source", "ingest_seq").withColumn(
+        "ts", F.col("timestamp"))
+
+
+def test_two_vendors_share_a_store(spark, tmp_path):
+    inst, root = Market().instrument_table(spark), str(tmp_path / "bars")
+    write_bars(_raw(spark, ("2024-03-05 15:00:00Z", 10.0, None, 1), ("2024-03-05 15:01:00Z", 11.0, None, 2)), inst, root, "databento")
+    write_bars(_raw(spark, ("2024-03-05 15:00:00Z", 20.0, None, 9), ("2024-03-05 15:02:00Z", 22.0, None, 1)), inst, root, "local")
+    assert scan_raw_bars(spark, root).count() == 4
+    got = rows(load_bars(spark, root, inst), "ts")
+    assert [(r["o"], r["source"], r["ingest_seq"]) for r in got] == [(40, "databento", 1), (44, "databento", 2), (88, "local", 1)]
+    write_bars(_raw(spark, ("2024-03-05 15:02:00Z", 23.0, None, 2)), inst, root, "local")
+    assert [r["o"] for r in rows(load_bars(spark, root, inst), "ts")] == [40, 44, 92]
+
+
+def test_equal_copies_have_one_winner(spark):
+    inst = Market().instrument_table(spark)
+    raw = _raw(spark, ("2024-03-05 15:00:00Z", 10.0, "a", 1), ("2024-03-05 15:00:00Z", 12.0, "b", 1), ("2024-03-05 15:00:00Z", 11.0, "b", 1))
+    for n in (1, 3, 7):
+        assert [(r["o"], r["source"]) for r in rows(clean_bars(raw.repartition(n), inst))] == [(48, "b")]
+
+
+def test_instants_do_not_depend_on_the_session_zone(spark):
+    was = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            df = spark.sql("SELECT timestamp_micros(s * 1000000L + 250000L) AS t, timestamp_ntz'2024-11-03 01:30:00' AS n "
+                           "FROM VALUES (1730611800L), (1730615400L), (-1L) AS v(s)")
+            got = [str(r.w) for r in df.select(utc_wall(F.col("t")).alias("w")).collect()]
+            assert got == ["2024-11-03 05:30:00.250000", "2024-11-03 06:30:00.250000", "1969-12-31 23:59:59.250000"]
+            assert str(df.select(utc_wall(F.col("n")).alias("w")).first().w) == "2024-11-03 01:30:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", was)
+
+
+def test_a_damaged_file_is_not_silent(spark, tmp_path):
+    inst, root = Market().instrument_table(spark), str(tmp_path / "bars")
+    write_bars(_raw(spark, ("2024-03-05 15:00:00Z", 10.0, None, 1)), inst, root, "databento")
+    bad = tmp_path / "bars" / "instrument=ES" / "roll=c" / "vendor=databento" / "year=2023"
+    bad.mkdir(parents=True)
+    (bad / "part-0.parquet").write_bytes(b"not a table")
+    with pytest.raises(Exception, match="part-0.parquet"):
+        scan_raw_bars(spark, root).count()
+    assert scan_raw_bars(spark, root, skip_corrupt=True).count() == 1
+    assert [r.path.split("/")[-2] for r in skipped_files(spark, root).collect()] == ["year=2023"]
+    other = _raw(spark, ("2024-03-05 15:00:00Z", 1.0, None, 1)).withColumn("instrument", F.lit("??"))
+    assert [tuple(r) for r in unlisted_instruments(other, inst).collect()] == [("??", 1)]
+
+
 def test_daily_reader_keys_by_new_york_date(spark):
     df = spark.sql("SELECT 'ES' instrument, timestamp'2024-01-10 22:00:00' timestamp, 1.0D open, 2.0D high, 0.5D low, 1.5D close, 3 volume")
     r = read_daily(df, Market().instrument_table(spark)).first()
