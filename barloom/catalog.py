@@ -530,7 +530,7 @@ def regime_stability(spark, d):
 @query
 def null_section(spark, d):
     enriched, _ = _enriched(spark, d)
-    return L.null_section(enriched.withColumn("null_days_used", F.col("null_effective_n")))
+    return L.null_section(enriched)
 
 
 @query

@@ -46,10 +46,19 @@ def allocate_strata(sizes: DataFrame, keys: list[str], stratum: str, target: int
         *keys, stratum, "size", "n_days", "n_strata", "design", "alloc")
 
 
+def day_seed(keys: list[str], master: int = MASTER_SEED) -> Column:
+    """Seed of the day sample of a key."""
+    return stable_seed(F.lit("days"), *[F.col(k) for k in keys], master=master)
+
+
 def sample_days(days: DataFrame, keys: list[str], stratum: str, target: int, date: str = "local_date",
-                weights: DataFrame | None = None, master: int = MASTER_SEED) -> DataFrame:
+                weights: DataFrame | None = None, master: int = MASTER_SEED,
+                seed_keys: list[str] | None = None) -> DataFrame:
     """Day sample without replacement per key, spread over strata in the observed mix.
 
+    Keys that agree on ``seed_keys`` (all of ``keys`` by default) rank their days alike, so their samples
+    differ only by how many days each stratum gives.
+
     ``days`` holds distinct (keys, date, stratum). Within a stratum the days with the smallest
     hash are taken, so a rerun gives the same sample.
     """
@@ -60,8 +69,7 @@ def sample_days(days: DataFrame, keys: list[str], stratum: str, target: int, dat
         sizes = sizes.join(weights.select(*keys, stratum, F.col("weight").cast("double")),
                            [*keys, stratum], "left").fillna({"weight": 0.0})
     alloc = allocate_strata(sizes, keys, stratum, target)
-    seed = stable_seed(F.lit("days"), *[F.col(k) for k in keys], master=master)
-    order = draw(seed, F.datediff(F.col(date), F.lit("1970-01-01").cast("date")))
+    order = draw(day_seed(keys if seed_keys is None else seed_keys, master), F.datediff(F.col(date), F.lit("1970-01-01").cast("date")))
     ranked = days.withColumn("_rank", F.row_number().over(
         Window.partitionBy(*keys, stratum).orderBy(order, date)))
     return ranked.join(alloc, [*keys, stratum]).filter(F.col("_rank") <= F.col("alloc")).select(

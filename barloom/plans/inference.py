@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.rng import stable_seed
 from barloom.operators.controls import (
-    control_days, control_events, label_controls, observed_weights, sample_days, stop_pools,
+    control_days, control_events, day_seed, label_controls, observed_weights, sample_days, stop_pools,
 )
 from barloom.operators.multiplicity import attach_multiplicity, studentise
 from barloom.operators.resample import (
@@ -22,6 +22,9 @@ from barloom.params import (
 from barloom.session import cut
 
 
+PAIR = ["instrument", "session"]
+
+
 @dataclass(frozen=True)
 class NullSpec:
     draws: int = NULL_DRAWS
@@ -49,11 +52,12 @@ def null_means(summary: DataFrame, pool_days: DataFrame, pool_keys: list[str], s
 
 def enrich_summary(summary: DataFrame, broad: DataFrame, fired: DataFrame, spec: NullSpec,
                    broad_keys: list[str] = VARIANT, fired_keys: list[str] = VARIANT,
-                   obs: str = "expectancy_net_r") -> tuple[DataFrame, DataFrame]:
+                   obs: str = "expectancy_net_r", designs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(summary with null columns and multiplicity, studentised draws).
 
-    ``broad`` and ``fired`` are control days keyed by their pool keys plus date. The draws feed
-    many consumers, so they are cut to the checkpoint folder once.
+    ``broad`` and ``fired`` are control days keyed by their pool keys plus date. ``designs`` says per family how its
+    days were chosen (see null_designs); without it the days used are those with control trades and the rest is
+    unknown. The draws feed many consumers, so they are cut to the checkpoint folder once.
     """
     summary = cut(summary)
     b_means = cut(null_means(summary, broad, broad_keys, spec, "joint-bootstrap"))
@@ -73,11 +77,39 @@ def enrich_summary(summary: DataFrame, broad: DataFrame, fired: DataFrame, spec:
         .withColumn("null_p_value", F.col("null_p_broad"))
         .withColumn("null_unreliable", F.coalesce("null_effective_n", F.lit(0)) < spec.min_days)
     )
+    if designs is None:
+        traded = fired.groupBy(*fired_keys).agg(F.count(F.lit(1)).alias("null_matched_days_used"))
+        out = out.join(traded, fired_keys, "left").withColumns({
+            "null_days_used": F.col("null_effective_n"), "null_days_requested": F.lit(spec.sample_days),
+            **{n: F.lit(None).cast(t) for n, t in (("null_design", "string"), ("null_days_exhausted", "boolean"),
+                                                   ("null_day_sampling", "string"), ("null_seed", "bigint"))}})
+    else:
+        out = out.join(designs, FAMILY, "left")
+    out = out.withColumn("multiplicity_stat", F.lit("bootstrap_studentized_net_mean"))
     null_t, obs_t = studentise(b_means, summary, VARIANT, obs)
     null_t = cut(null_t)
     return attach_multiplicity(out, null_t, obs_t, VARIANT, FAMILY), null_t
 
 
+def null_designs(families: DataFrame, picks: DataFrame, days: DataFrame, fired: DataFrame, pools: DataFrame,
+                 spec: NullSpec) -> DataFrame:
+    """Per family: which design it has, how many days were asked for and used, and the seed of its day sample."""
+    used = picks.groupBy(*FAMILY).agg(F.count(F.lit(1)).alias("null_days_used"), F.first("design").alias("null_day_sampling"))
+    there = days.groupBy("instrument", "session").agg(F.count(F.lit(1)).alias("_days"))
+    traded = fired.join(days.select("instrument", "session", "local_date").distinct(),
+                        ["instrument", "session", "local_date"], "left_semi").groupBy(*FAMILY).agg(
+        F.count(F.lit(1)).alias("null_matched_days_used"))
+    return (
+        families.join(used, FAMILY, "left").join(there, PAIR, "left").join(traded, FAMILY, "left")
+        .join(pools.select(*FAMILY, "pool_size"), FAMILY, "left")
+        .select(*FAMILY,
+                F.when(F.col("pool_size").isNotNull(), "matched-stop").otherwise("swing-fallback").alias("null_design"),
+                F.lit(spec.sample_days).alias("null_days_requested"), F.coalesce("null_days_used", F.lit(0)).alias("null_days_used"),
+                (F.coalesce("_days", F.lit(0)) < spec.sample_days).alias("null_days_exhausted"), "null_day_sampling",
+                day_seed(PAIR, spec.seed).alias("null_seed"),
+                F.coalesce("null_matched_days_used", F.lit(0)).alias("null_matched_days_used")))
+
+
 def control_pools(marked: DataFrame, days: DataFrame, grid: GridSpec, market: Market,
                   spec: NullSpec) -> dict[str, DataFrame]:
     """Broad and fired control days per family and level, with the picks and stop pools used.
@@ -93,7 +125,8 @@ def control_pools(marked: DataFrame, days: DataFrame, grid: GridSpec, market: Ma
     weights = observed_weights(
         eligible.withColumn(stratum, F.coalesce(F.col(stratum), F.lit(0))), FAMILY, stratum)
     per_family = families.join(slim, ["instrument", "session"])
-    broad = sample_days(per_family, FAMILY, stratum, spec.sample_days, weights=weights, master=spec.seed)
+    # Days are ranked by the seed of their pair, so that its families share them and their draws are joint.
+    broad = sample_days(per_family, FAMILY, stratum, spec.sample_days, weights=weights, master=spec.seed, seed_keys=PAIR)
     fired = eligible.select(*FAMILY, F.col("date").alias("local_date")).distinct()
     pools = stop_pools(eligible)
     base = days.drop("regime_window")
@@ -110,4 +143,5 @@ def control_pools(marked: DataFrame, days: DataFrame, grid: GridSpec, market: Ma
     return {
         "broad": control_days(label(broad, "broad")), "fired": control_days(label(fired, "fired")),
         "picks": broad, "stop_pools": pools,
+        "designs": null_designs(families, broad, slim, fired, pools, spec),
     }

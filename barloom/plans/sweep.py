@@ -63,17 +63,18 @@ def calibrate(journal: DataFrame, days: DataFrame, summary: DataFrame, grid: Gri
     """Controls, p-values and multiplicity; writes the control artefacts."""
     spark: SparkSession = journal.sparkSession
     pools = control_pools(mark_eligibility(journal, strict=True), days, grid, market, spec)
-    for name in ("broad", "fired"):
+    for name in ("broad", "fired", "designs"):
         write_table(pools[name], paths.at(f"control_{name}"))
-    broad, fired = (spark.read.parquet(paths.at(f"control_{n}")) for n in ("broad", "fired"))
-    enriched, null_t = enrich_summary(summary, broad, fired, spec)
+    broad, fired, designs = (spark.read.parquet(paths.at(f"control_{n}")) for n in ("broad", "fired", "designs"))
+    enriched, null_t = enrich_summary(summary, broad, fired, spec, designs=designs)
     write_table(enriched, paths.at("summary_null"))
     enriched = spark.read.parquet(paths.at("summary_null"))
     write_control_artifacts(
         paths.at("null"), null_t=null_t, variants=enriched.select(*VARIANT),
         pvalues=enriched.select(*VARIANT, "null_p_broad", "null_p_matched", "p_adj_maxT", "q_fdr",
                                 "maxT_hurdle_95", "breadth_pass", "survivor"),
-        provenance=enriched.select(*FAMILY, "null_pool_trades", "null_effective_n",
+        provenance=enriched.select(*FAMILY, "null_design", "null_days_requested", "null_days_used", "null_days_exhausted",
+                                   "null_day_sampling", "null_seed", "null_matched_days_used", "null_pool_trades", "null_effective_n",
                                    "null_mean_jackknife_se", "null_unreliable"),
         manifest=run_manifest(spark, spec, spec.seed, spec.draws))
     return enriched

@@ -10,6 +10,7 @@ from barloom.operators.eligibility import mark_eligibility
 from barloom.operators.metrics import variant_summary
 from barloom.params import VARIANT, GridSpec, Market
 from barloom.plans.inference import NullSpec
+from barloom.plans.report import null_section
 from barloom.plans.sweep import SweepPaths, run_sweep, summarise
 from barloom.sources import sinks
 from barloom.plans.load import clean_bars, load_bars
@@ -144,6 +145,11 @@ def test_sweep_end_to_end_and_from_the_stored_journal(spark, tmp_path):
     assert out.count() == summary.count()
     assert out.filter("null_p_broad <= 0 OR null_p_broad > 1 OR p_adj_maxT > 1 OR q_fdr > 1").count() == 0
     assert out.filter("null_p_broad IS NOT NULL").count() > 0
+    notes = out.select("null_design", "null_days_requested", "null_days_used", "null_days_exhausted", "null_day_sampling",
+                       "null_seed", "null_matched_days_used", "multiplicity_stat").dropna()
+    assert notes.count() == out.count() and notes.filter("null_days_used > null_days_requested").count() == 0
+    assert out.groupBy("instrument", "session").agg(F.count_distinct("null_seed").alias("n")).filter("n > 1").count() == 0
+    assert null_section(out).first().median_days_used <= 15
     assert sinks.read_verdict(spark, paths.at("null/manifest")).first().completed_draws == 20
     assert spark.read.parquet(paths.at("null/null_t")).filter("eligible").count() > 0
 
