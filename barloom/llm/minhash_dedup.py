@@ -8,9 +8,10 @@ alike. Document counts cover the whole corpus.
 Two documents of similarity s or more share shingles of at least s of each one's weight, so a document
 whose shingles of a count over one have less is a group of its own. This is exact and leaves few
 documents for the sampling. Equal shingle weights make one class of copies, which goes on as one node.
-In each band the nodes of a bucket are compared with one of them, a different one in each band; then, where a bucket
-still has nodes of several groups, those outside its leader's group with all others of the bucket (the triangle
-inequality of the Jaccard distance leaves out pairs that can't pass). Groups are connected components.
+In each band the nodes of a bucket are compared with a leader, the one with the least weight of shingles of its own (of
+a text and its edited copies that is the text). Then, where a bucket still has nodes of several groups, those outside their leader's group are
+compared with all others of the bucket that they can be like: the weights of own shingles, which no other node has, bound a pair's
+similarity, and so does the triangle inequality of the Jaccard distance. Groups are connected components.
 A pair of similarity 0.8 meets in a band with a chance of 1 - (1 - 0.8**4)**16 = 0.9998.
 
 A text of fewer words than ``size`` is one shingle; null texts and texts without words are groups of their own, and
@@ -179,7 +180,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         maybe = (total > 0) & (shared >= (threshold - 1e-6) * total)
         pick = np.flatnonzero(maybe[owner])
         pick = pick[np.argsort(owner[pick], kind="stable")]
-        keys, weights, owner = keys[index[pick]], weights[pick], owner[pick]
+        keys, weights, owner, df = keys[index[pick]], weights[pick], owner[pick], df[pick]
         starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.empty(0, int)
         drawn = band_keys(signatures(keys, weights, starts, bands * rows), bands, rows) if len(starts) else np.empty((0, bands), np.int64)
         ends = np.append(starts[1:], len(owner))
@@ -188,21 +189,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             table["_id"].take(pa.array(owner[starts])),
             pa.array([hashlib.md5(k + w).digest() for k, w in vectors], pa.binary()),
             pa.array(drawn.tolist(), pa.list_(pa.int64())),
-            pa.array([k for k, _ in vectors], pa.binary()), pa.array([w for _, w in vectors], pa.binary())],
-            names=["id", "node", "bands", "keys", "weights"])
+            pa.array([k for k, _ in vectors], pa.binary()), pa.array([w for _, w in vectors], pa.binary()),
+            pa.array([_planes(np.ascontiguousarray(df[s:e]), 4) for s, e in B.rows_between(starts, ends)], pa.binary())],
+            names=["id", "node", "bands", "keys", "weights", "counts"])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Total weight of each node, and that of the shingles that only its copies have."""
+        for batch in batches:
+            total, own = [], []
+            for copies, w, df in zip(batch["copies"].to_pylist(), batch["weights"], batch["counts"]):
+                w, df = _from_planes(w.as_py(), 4, np.float32).astype(np.float64), _from_planes(df.as_py(), 4, np.uint32)
+                total.append(float(w.sum()))
+                own.append(float(w[df <= copies].sum()))
+            yield pa.RecordBatch.from_arrays([*[batch[n] for n in ("node", "copies", "bands", "keys", "weights")],
+                                              pa.array(total, pa.float64()), pa.array(own, pa.float64())],
+                                             names=["node", "copies", "bands", "keys", "weights", "total", "own"])
 
     counts = B.compare(blocks.each(count, B.PACKED), buckets, B.in_total, False, np.uint32, shift)
     found = stored(blocks.each_with(
-        counts, sample, "id long, node binary, bands array<long>, keys binary, weights binary"), "near")
-    nodes = found.groupBy("node").agg(F.first(F.struct("bands", "keys", "weights")).alias("v")) \
-        .select("node", "v.bands", "v.keys", "v.weights")
-
-    # A leader for each bucket of more than one node; which node leads differs from band to band.
-    in_band = found.select("node", F.posexplode("bands").alias("band", "key")).distinct()
-    turn = F.struct(F.xxhash64("node", "band").alias("h"), F.col("node"))
+        counts, sample, "id long, node binary, bands array<long>, keys binary, weights binary, counts binary"), "near")
+    nodes = cut(found.groupBy("node").agg(F.first(F.struct("bands", "keys", "weights", "counts")).alias("v"),
+                                          F.count(F.lit(1)).alias("copies")).select("node", "copies", "v.*")
+                .mapInArrow(measure, "node binary, copies long, bands array<long>, keys binary, weights binary, total double, own double"))
+
+    in_band = nodes.select("node", F.round(F.col("own") / F.col("total"), 3).alias("share"), "copies",
+                           F.posexplode("bands").alias("band", "key"))
+    turn = F.struct("share", -F.col("copies"), F.xxhash64("node", "band"), F.col("node").alias("node"))
     leaders = in_band.groupBy("band", "key").agg(F.min(turn)["node"].alias("leader"), F.count(F.lit(1)).alias("n")) \
         .where("n > 1").select("band", "key", "leader")
-    members = cut(in_band.join(leaders, ["band", "key"]).where("node != leader"))
+    members = cut(in_band.select("node", "band", "key").join(leaders, ["band", "key"]).where("node != leader"))
     pair = [F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")]
     near = cut(_similarities(members.select(*pair).distinct(), nodes, width))
     links = near.where(F.col("similarity") >= threshold).select("a", "b")
@@ -213,15 +228,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = members.join(root("node"), "node", "left").join(root("leader"), "leader", "left") \
         .withColumns({"node_root": F.coalesce("node_root", "node"), "leader_root": F.coalesce("leader_root", "leader")}) \
         .withColumns({"a": pair[0], "b": pair[1]}).join(near, ["a", "b"]) \
-        .select("band", "key", "node", "node_root", F.col("node_root") != F.col("leader_root"), "similarity") \
-        .toDF("band", "key", "node", "root", "outside", "similarity")
-    outside = placed.where("outside").drop("outside").withColumnsRenamed({"node": "x", "root": "x_root", "similarity": "x_s"})
+        .join(nodes.select("node", "bands", "total", "own"), "node") \
+        .select("band", "key", "node", F.col("node_root").alias("root"), (F.col("node_root") != F.col("leader_root")).alias("outside"),
+                "similarity", "bands", "total", "own")
+    outside = placed.where("outside").drop("outside")
+    outside = outside.withColumnsRenamed({c: f"x_{c}" for c in outside.columns if c not in ("band", "key")})
+    bound = F.least((F.col("x_total") - F.col("x_own")) / (F.col("x_total") + F.col("own")),
+                    (F.col("total") - F.col("own")) / (F.col("total") + F.col("x_own")))
+    first_band = F.array_position(F.zip_with("x_bands", "bands", lambda p, q: p == q), True) == F.col("band") + 1
     rest = outside.join(placed, ["band", "key"]).where(
-        (F.col("x_root") != F.col("root")) & (F.abs(F.col("x_s") - F.col("similarity")) <= 1 - threshold + 1e-6)) \
-        .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct() \
+        (F.col("x_root") != F.col("root")) & (~F.col("outside") | (F.col("x_node") < F.col("node"))) & (bound >= threshold - 1e-6)
+        & (F.abs(F.col("x_similarity") - F.col("similarity")) <= 1 - threshold + 1e-6) & first_band) \
+        .select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b")).distinct() \
         .join(near, ["a", "b"], "left_anti")
-    more = _similarities(rest, nodes, width).where(F.col("similarity") >= threshold).select("a", "b")
-    more = cut(more)
+    more = cut(_similarities(rest, nodes, width).where(F.col("similarity") >= threshold).select("a", "b"))
     if not more.isEmpty():
         labels = components(links.union(more))
 
