@@ -27,10 +27,15 @@ _RULE = "array<struct<rank:int,label:string,keyword:string,pattern:string,weight
 _FOUND = "array<struct<start:int,stop:int,rank:int,label:string,weight:double>>"
 
 
-def canonical(text: Column) -> Column:
-    """The words with a space before, between and after; one space if there are none."""
+def canonical(docs: DataFrame, text: Column, *others: Column) -> DataFrame:
+    """``others`` and _form: the words with a space before, between and after; one space if there are none.
+
+    In two steps, so that the words, which both branches of the second use, are made once.
+    """
     words = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
-    return F.when(words == "", " ").otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
+    made = docs.select(*others, words.alias("_words"))
+    form = F.when(F.col("_words") == "", " ").otherwise(F.concat(F.lit(" "), "_words", F.lit(" ")))
+    return made.withColumn("_form", form).drop("_words")
 
 
 def _spaces(c: Column) -> Column:
@@ -70,7 +75,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of ``docs``: id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections."""
     table = F.from_json(F.lit(json.dumps([r._asdict() for r in rules()])), _RULE)
     form = F.col("_form")
-    given = docs.select(F.col(f"`{id_col}`").alias("_id"), canonical(F.col(f"`{text_col}`")).alias("_form"))
+    given = canonical(docs, F.col(f"`{text_col}`"), F.col(f"`{id_col}`").alias("_id"))
     touched = F.lit(False)
     for stem in STEMS:
         touched = touched | F.contains(form, F.lit(stem))
