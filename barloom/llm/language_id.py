@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from barloom.llm.cluster import ship
 
 SAMPLE_ROWS = 3000
-WORDS = 300_000
-GRAMS = 100_000
+WORDS = 200_000
+GRAMS = 80_000
 MAX_N = 5
 MIN_SCORE = 0.5
 UNKNOWN = "und"
@@ -149,17 +149,19 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     table = totals.groupBy("n", "gram").agg(
         F.sum("times").alias("times"), F.map_from_entries(F.collect_list(F.struct("lang", "times"))).alias("by_lang"))
     languages = sorted(per_lang)
-    top = [r for kind, limit in ((F.col("n") == 0, words), (F.col("n") > 0, grams)) for r in
-           table.where(kind).orderBy(F.desc("times"), "n", "gram").limit(limit).collect()]
-    counts = np.array([[r["by_lang"].get(k, 0) for k in languages] for r in top], np.float64).reshape(-1, len(languages))
-    sizes = np.array([r["n"] for r in top], np.int64)
+    by_lang = F.array(*[F.coalesce(F.col("by_lang")[k], F.lit(0)) for k in languages])
+    top = pa.concat_tables([
+        table.where(kind).orderBy(F.desc("times"), "n", "gram").limit(limit).select("n", "gram", by_lang.alias("counts")).toArrow()
+        for kind, limit in ((F.col("n") == 0, words), (F.col("n") > 0, grams))]).combine_chunks()
+    counts = top["counts"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(languages))
+    sizes = top["n"].to_numpy()
     logs = np.zeros(counts.shape, np.float32)
     for n in range(MAX_N + 1):
         own = sizes == n
         logs[own] = np.log((counts[own] + 0.5) / (counts[own].sum(axis=0) + 0.5 * max(1, own.sum())))
     places: list[dict[str, int]] = [{} for _ in range(MAX_N + 1)]
-    for k, r in enumerate(top):
-        places[r["n"]][r["gram"]] = k
+    for k, (n, gram) in enumerate(zip(sizes.tolist(), top["gram"].to_pylist())):
+        places[n][gram] = k
     return Model(languages, places[0], places, logs)
 
 
