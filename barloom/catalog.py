@@ -40,7 +40,9 @@ from barloom.sources.views import (
 # Parameters of the registered queries, sized for sparse tables.
 MIN_N = 10
 HOLDOUT = "2000-01-01"
-DRAWS = 60
+DRAWS = 1000
+CI_DRAWS = 1000
+IID_DRAWS = 10_000
 SPEC = NullSpec(draws=DRAWS, sample_days=60, min_days=100)
 SAMPLE_TARGET = 200
 
@@ -833,7 +835,7 @@ def pooled_holdout_test(spark, d):
 def holdout_verdict(spark, d):
     compared, surv, s = _compared(spark, d)
     fam = HO.best_per_family(compared)
-    ci = R.iid_bootstrap_ci(fam, "ho_net", FAMILY, 200)
+    ci = R.iid_bootstrap_ci(fam, "ho_net", FAMILY, IID_DRAWS)
     ranked = s.filter(F.col("trade_count") >= 3).select(*FAMILY).distinct()
     return L.verdict(fam, HO.survivor_families(surv), ranked, surv, ci, HOLDOUT)
 
@@ -956,7 +958,7 @@ def event_control_mix(spark, d):
 
 @query
 def bootstrap_interval(spark, d):
-    return R.bootstrap_ci(_eligible(spark, d), POOL, 100)
+    return R.bootstrap_ci(_eligible(spark, d), POOL, CI_DRAWS)
 
 
 @query
@@ -1022,7 +1024,7 @@ def multiplicity(spark, d):
 @query
 def iid_bootstrap(spark, d):
     by_custom = _eligible(spark, d).groupBy("instrument", "session").agg(F.avg("net_r").alias("x"))
-    return R.iid_bootstrap_ci(by_custom, "x", ["instrument", "session"], 200)
+    return R.iid_bootstrap_ci(by_custom, "x", ["instrument", "session"], IID_DRAWS)
 
 
 @query

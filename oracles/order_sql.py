@@ -416,7 +416,9 @@ SELECT {SET}, trades, a1 AS total_pnl_usd FROM pa WHERE trades >= {MIN_N} ORDER
 
 # --- resampling --------------------------------------------------------------------------------
 
-DRAWS = 60
+DRAWS = 1000
+CI_DRAWS = 1000
+IID_DRAWS = 10_000
 
 
 def boot_ctes(p: str, days: str, keys: str, groups: str, n_blocks: str, seed_sql: str, draws: int, block: int = 5) -> None:
@@ -452,7 +454,7 @@ SELECT {V}, avg(mean_r) AS null_mean, quantile_cont(mean_r, 0.95) AS null_p95, s
   count(mean_r) AS null_draws FROM nmm GROUP BY {V}""", "rr null_mean null_p95 null_std")
 cte("ci0", f"SELECT {POOL}, date, count(*) AS n, sum(gross_r) AS total FROM el GROUP BY ALL")
 boot_ctes("ci", "ci0", POOL, f"(SELECT DISTINCT {POOL} FROM el)", NB_OWN,
-          seed("instrument || '|' || session || '|' || CAST(rr AS VARCHAR)", SEED), 100)
+          seed("instrument || '|' || session || '|' || CAST(rr AS VARCHAR)", SEED), CI_DRAWS)
 add("bootstrap_interval", f"""
 SELECT {POOL}, quantile_cont(m, 0.025) AS ci_lo, quantile_cont(m, 0.975) AS ci_hi FROM (
   SELECT {POOL}, d, sum(ps[st + w + 1] - ps[st + 1]) / sum(pn[st + w + 1] - pn[st + 1]) AS m FROM cig GROUP BY {POOL}, d)
@@ -593,7 +595,7 @@ add("stratified_variants", f"""
 SELECT {V}, trade_count FROM (SELECT *, row_number() OVER (PARTITION BY instrument, rr ORDER BY h, {V}) AS rk FROM (
   SELECT *, {draw("sd", "1")} AS h FROM (SELECT *, {seed(VTEXT, SEED)} AS sd FROM vs))) WHERE rk <= 2 ORDER BY h, {V} LIMIT 40""", "rr")
 cte("ib0", "SELECT 1 AS one, row_number() OVER (ORDER BY instrument, session) AS date, 1 AS n, avg(net_r) AS total FROM el GROUP BY instrument, session")
-boot_ctes("ib", "ib0", "one", "(SELECT 1 AS one)", "nd", "0", 200, block=1)
+boot_ctes("ib", "ib0", "one", "(SELECT 1 AS one)", "nd", "0", IID_DRAWS, block=1)
 add("iid_bootstrap", """
 SELECT quantile_cont(m, 0.025) AS ci_lo, quantile_cont(m, 0.975) AS ci_hi FROM (
   SELECT d, sum(ps[st + w + 1] - ps[st + 1]) / sum(pn[st + w + 1] - pn[st + 1]) AS m FROM ibg GROUP BY d)""", "ci_lo ci_hi")
@@ -629,7 +631,7 @@ add("pooled_holdout_test", """
 SELECT count(*) AS families, count(*) FILTER (ho_net > 0) AS net_positive, sum(ho_net * ho_trades) / sum(ho_trades) AS weighted_net,
   avg(ho_net) AS simple_net, CAST(sum(ho_trades) AS BIGINT) AS trades FROM hbf""", "weighted_net simple_net")
 cte("hib0", f"SELECT 1 AS one, row_number() OVER (ORDER BY {FAM}) AS date, 1 AS n, ho_net AS total FROM hbf")
-boot_ctes("hib", "hib0", "one", "(SELECT 1 AS one)", "nd", "0", 200, block=1)
+boot_ctes("hib", "hib0", "one", "(SELECT 1 AS one)", "nd", "0", IID_DRAWS, block=1)
 cte("hci", """
 SELECT quantile_cont(m, 0.025) AS ci_lo, quantile_cont(m, 0.975) AS ci_hi FROM (
   SELECT d, sum(ps[st + w + 1] - ps[st + 1]) / sum(pn[st + w + 1] - pn[st + 1]) AS m FROM hibg GROUP BY d)""")
