@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.cluster import ship
+from barloom.llm.cluster import cut, ship
 
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 2000
 WORDS = 200_000
 GRAMS = 80_000
 MAX_N = 5
@@ -146,8 +146,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     totals = sample.mapInArrow(count, "lang string, n int, gram string, times long") \
         .groupBy("n", "gram", "lang").agg(F.sum("times").alias("times"))
-    table = totals.groupBy("n", "gram").agg(
-        F.sum("times").alias("times"), F.map_from_entries(F.collect_list(F.struct("lang", "times"))).alias("by_lang"))
+    table = cut(totals.groupBy("n", "gram").agg(
+        F.sum("times").alias("times"), F.map_from_entries(F.collect_list(F.struct("lang", "times"))).alias("by_lang")))
     languages = sorted(per_lang)
     by_lang = F.array(*[F.coalesce(F.col("by_lang")[k], F.lit(0)) for k in languages])
     top = pa.concat_tables([
