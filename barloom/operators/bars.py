@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import ratio
 from barloom.functions.scans import scan_lag, scan_last_known
 from barloom.operators.calendar import local_wall
-from barloom.session import checked_broadcast
 
 # Volatility settings.
 ATR_PERIOD = 14
@@ -24,7 +23,7 @@ ATR_ANCHOR_HOUR = 18
 VOL_DAYS = 14
 VOL_MIN_DAYS = 7
 TRADING_DAYS = 252
-EWM_FRAME = 512
+EWM_CHUNK = 256
 NEW_YORK = "America/New_York"
 SOURCE_PRIORITY = (("databento", 2), ("local", 1))
 
@@ -147,27 +146,39 @@ def true_range(bars: DataFrame, order: str) -> DataFrame:
 def wilder_atr(bars4h: DataFrame, order: str = "bin", period: int = ATR_PERIOD) -> DataFrame:
     """Wilder average of the true range, and its value at the previous bin.
 
-    The recursion is folded over the last 512 ranges; older ones weigh below double precision.
+    Ranges are cut into chunks of EWM_CHUNK. Inside a chunk the recursion is folded as the affine map
+    (factor, offset) of the value before the chunk; the maps of the earlier chunks, one row each, give that value.
     """
+    keep = F.lit((period - 1) / period)
     w = Window.partitionBy("instrument").orderBy(order)
-    frame = w.rowsBetween(-(EWM_FRAME - 1), 0)
-    tr = true_range(bars4h, order).withColumn("_tr", F.collect_list(F.col("tr").cast("double")).over(frame))
-    seen = F.count("tr").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    fold = F.aggregate(
-        F.slice("_tr", 2, EWM_FRAME), F.get("_tr", F.lit(0)),
-        lambda acc, x: acc * (period - 1) / period + x / period)
-    out = tr.withColumn("atr", F.when(seen >= period, fold)).drop("_tr")
+    running = w.rowsBetween(Window.unboundedPreceding, 0)
+    x = true_range(bars4h, order).withColumn("_seen", F.count("tr").over(running)).withColumn(
+        "_chunk", F.floor((F.greatest(F.col("_seen"), F.lit(1)) - 1) / EWM_CHUNK))
+    own = F.collect_list(F.col("tr").cast("double")).over(
+        Window.partitionBy("instrument", "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    x = x.withColumn("_tr", own).withColumn("_map", F.struct(
+        F.pow(keep, F.size("_tr")).alias("factor"),
+        F.aggregate("_tr", F.lit(0.0), lambda acc, r: acc * keep + r / period).alias("offset")))
+    chunks = x.groupBy("instrument", "_chunk").agg(
+        F.max_by("_map", order).alias("_whole"), F.max_by(F.get("_tr", F.lit(0)), order).alias("_head"))
+    chain = Window.partitionBy("instrument").orderBy("_chunk")
+    earlier = F.collect_list("_whole").over(chain.rowsBetween(Window.unboundedPreceding, -1))
+    start = F.first("_head").over(chain.rowsBetween(Window.unboundedPreceding, 0))
+    chunks = chunks.withColumn("_before", F.aggregate(
+        earlier, start, lambda acc, m: acc * m["factor"] + m["offset"])).select("instrument", "_chunk", "_before")
+    value = F.col("_map.factor") * F.col("_before") + F.col("_map.offset")
+    out = x.join(chunks, ["instrument", "_chunk"]).withColumn(
+        "atr", F.when(F.col("_seen") >= period, value)).drop("_tr", "_map", "_before", "_seen", "_chunk")
     return out.withColumn("atr_prev", F.lag("atr").over(w))
 
 
 def attach_atr(bars: DataFrame) -> DataFrame:
     """Each bar with the ATR of the last completed 4-hour bin.
 
-    Every bar knows its bin, so the as-of join is an equi-join on (instrument, bin). The bins are
-    two orders of magnitude fewer than the bars and are broadcast when their count allows.
+    Every bar knows its bin, so the as-of join is an equi-join on (instrument, bin), whose keys hold at most
+    a bin's bars each.
     """
-    atr = checked_broadcast(wilder_atr(four_hour_bars(bars)).select(
-        "instrument", "bin", F.col("atr_prev").alias("atr_4h")))
+    atr = wilder_atr(four_hour_bars(bars)).select("instrument", "bin", F.col("atr_prev").alias("atr_4h"))
     return bars.withColumn("bin", four_hour_bin(F.col("ts"))).join(atr, ["instrument", "bin"], "left").drop("bin")
 
 
@@ -194,9 +205,9 @@ def daily_features(daily: DataFrame) -> DataFrame:
 
 def enrich_bars(bars: DataFrame, daily: DataFrame) -> DataFrame:
     """Bars with the daily features of their New York date (left join on equality)."""
-    feats = checked_broadcast(daily_features(daily).select(
+    feats = daily_features(daily).select(
         "instrument", F.col("trading_date").alias("_d"), "prev_close",
-        "parkinson_vol_14d", "realized_vol_14d"))
+        "parkinson_vol_14d", "realized_vol_14d")
     ny_date = F.to_date(local_wall(F.col("ts"), F.lit(NEW_YORK)))
     return bars.withColumn("_d", ny_date).join(feats, ["instrument", "_d"], "left").drop("_d")
 

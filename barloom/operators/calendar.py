@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from barloom.functions.rng import draw, stable_seed
 from barloom.params import HOLDOUT_MONTHS, N_WINDOWS, WINDOW_MONTHS, GridSpec
-from barloom.session import checked_broadcast
 
 
 def local_wall(ts: Column, tz: Column) -> Column:
@@ -92,17 +91,18 @@ def bar_span(bars: DataFrame) -> DataFrame:
 
 
 def in_windows(bars: DataFrame, windows: DataFrame) -> DataFrame:
-    """Bars inside the inclusive date windows, labelled; instrument is the equi key.
+    """Bars inside the inclusive date windows, labelled.
 
-    Windows are a few rows per instrument; they are broadcast once their count is known to be
-    small, since shuffling bars by instrument alone would put a whole history into one task.
+    A window is expanded to its months, so bars and windows meet on (instrument, month) and the bars of one
+    instrument are as many keys as it has months.
     """
-    w = checked_broadcast(windows).select(
+    w = windows.select(
         F.col("instrument"), "regime_window",
         F.col("window_start").cast("timestamp_ntz").alias("_from"),
-        F.date_add("window_end", 1).cast("timestamp_ntz").alias("_to"))
-    return bars.join(w, "instrument").filter(
-        (F.col("ts") >= F.col("_from")) & (F.col("ts") < F.col("_to"))).drop("_from", "_to")
+        F.date_add("window_end", 1).cast("timestamp_ntz").alias("_to"),
+        F.explode(F.sequence(F.trunc("window_start", "MM"), F.trunc("window_end", "MM"), F.expr("interval 1 month"))).alias("_month"))
+    return bars.withColumn("_month", F.trunc("ts", "MM")).join(w, ["instrument", "_month"]).filter(
+        (F.col("ts") >= F.col("_from")) & (F.col("ts") < F.col("_to"))).drop("_from", "_to", "_month")
 
 
 def holdout(bars: DataFrame, start: str) -> DataFrame:

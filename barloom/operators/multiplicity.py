@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import ratio
-from barloom.functions.quantiles import exact_quantile, value_bucket
+from barloom.functions.quantiles import exact_quantile, split_bucket, split_points, value_bucket
 from barloom.functions.scans import scan_sum
 from barloom.session import cut
 
@@ -74,9 +74,8 @@ def permutation_fdr(null_t: DataFrame, obs_t: DataFrame, keys: list[str], lam: f
     both = nulls.groupBy("t").agg(F.count(F.lit(1)).alias("_w")).select(
         "t", "_w", F.lit(0).alias("_kind"), *empty).unionByName(
         obs.select("t", F.lit(0).cast("bigint").alias("_w"), F.lit(1).alias("_kind"), *keys))
-    span = both.agg(F.min("t").alias("_lo"), F.max("t").alias("_hi"))
-    both = both.crossJoin(F.broadcast(span)).withColumn(
-        "_bucket", -value_bucket(F.col("t"), F.col("_lo"), F.col("_hi"))).withColumn("_down", -F.col("t"))
+    both = both.crossJoin(F.broadcast(split_points(both, "t", "_splits"))).withColumn(
+        "_bucket", -split_bucket(F.col("t"), F.col("_splits"))).drop("_splits").withColumn("_down", -F.col("t"))
     counted = scan_sum(both, [], "_bucket", ["_down", "_kind"], {"_null_ge": F.col("_w")})
     per = counted.filter("_kind = 1").select(*keys, "t", "_null_ge")
     ge = F.count(F.lit(1)).over(Window.orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, 0))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(app: str = "barloom", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -44,17 +43,3 @@ def cut(df: DataFrame) -> DataFrame:
     """
     _ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-BROADCAST_ROWS = 1_000_000
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it really has at most ``max_rows`` rows, else as it is.
-
-    For narrow derived tables whose size the planner cannot know ahead; they are cut first, so
-    counting does not compute them twice. Larger ones go through an ordinary shuffled join.
-    """
-    staged = cut(df)
-    few = staged.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(staged) if few else staged
