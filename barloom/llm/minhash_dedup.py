@@ -233,8 +233,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 "similarity", "bands", "total", "own")
     outside = placed.where("outside").drop("outside")
     outside = outside.withColumnsRenamed({c: f"x_{c}" for c in outside.columns if c not in ("band", "key")})
-    bound = F.least((F.col("x_total") - F.col("x_own")) / (F.col("x_total") + F.col("own")),
-                    (F.col("total") - F.col("own")) / (F.col("total") + F.col("x_own")))
+    common = F.least(F.col("x_total") - F.col("x_own"), F.col("total") - F.col("own"))  # no pair shares more
+    bound = common / (F.col("x_total") + F.col("total") - common)
     first_band = F.array_position(F.zip_with("x_bands", "bands", lambda p, q: p == q), True) == F.col("band") + 1
     rest = outside.join(placed, ["band", "key"]).where(
         (F.col("x_root") != F.col("root")) & (~F.col("outside") | (F.col("x_node") < F.col("node"))) & (bound >= threshold - 1e-6)
