@@ -29,7 +29,7 @@ SAMPLE_ROWS = 2000
 WORDS = 200_000
 GRAMS = 80_000
 MAX_N = 5
-MIN_SCORE = 0.5
+MIN_SCORE = 0.0
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
