@@ -31,7 +31,9 @@ from barloom.plans import report as L
 from barloom.plans import setups as N
 from barloom.plans import spreads as SP
 from barloom.plans.inference import NullSpec, enrich_summary, null_means
+from barloom.plans.load import clean_bars
 from barloom.session import cut
+from barloom.sources.bars import only_configured_rolls, roll_tag
 from barloom.sources.quotes import launched_months
 from barloom.sources.views import (
     EVENT_GRID, EVENT_MARKET, ORDER_MARKET, event_bars, event_quotes, order_outcomes, shipment_daily,
@@ -239,6 +241,22 @@ def bars_dedup(spark, d):
     return B.dedup_bars(_two_vendors(spark, d))
 
 
+@query
+def bars_ingested(spark, d):
+    """The bars of both vendors as a store hands them out, through roll filter, reader, merge and contract fill.
+    One vendor holds an instrument under another roll rule, and every fourth hour has no contract."""
+    both = _two_vendors(spark, d)
+    inst = EVENT_MARKET.instrument_table(spark)
+    rolls = inst.select("instrument", roll_tag(F.col("continuous_symbol")).alias("roll"))
+    stale = (F.col("source") == "local") & (F.col("instrument") == "view")
+    raw = both.join(rolls, "instrument").select(
+        "instrument", F.col("ts").alias("timestamp"),
+        *[(F.col(c) * 0.01).alias(n) for c, n in zip("ohlc", ("open", "high", "low", "close"))], "volume",
+        F.when(F.hour("ts") % 4 != 0, F.col("contract")).alias("_contract"), F.lit(None).cast("string").alias("_source"),
+        "ingest_seq", F.when(stale, "c").otherwise(F.col("roll")).alias("roll"), F.col("source").alias("vendor"))
+    return clean_bars(only_configured_rolls(raw, inst), inst)
+
+
 @query
 def overlap_report(spark, d):
     return B.overlap_report(_two_vendors(spark, d))
@@ -961,6 +979,16 @@ def bootstrap_interval(spark, d):
     return R.bootstrap_ci(_eligible(spark, d), POOL, CI_DRAWS)
 
 
+@query
+def variant_interval(spark, d):
+    return R.bootstrap_ci(_eligible(spark, d), VARIANT, CI_DRAWS)
+
+
+@query
+def regime_interval(spark, d):
+    return R.bootstrap_ci(_eligible(spark, d), [*POOL, "regime_window"], CI_DRAWS)
+
+
 @query
 def null_draw_means(spark, d):
     return _order_means(spark, d)

@@ -49,12 +49,14 @@ def days_and_journal(bars: DataFrame, daily: DataFrame, grid: GridSpec, market:
 
 
 def summarise(journal: DataFrame, paths: SweepPaths, draws: int = BOOTSTRAP_DRAWS) -> DataFrame:
-    """Summary (with bootstrap interval) and per-window summary, from a stored journal."""
+    """Summary and per-window summary, both with bootstrap intervals, from a stored journal."""
     assert_unique_trades(journal, VARIANT)
     marked = mark_eligibility(journal, strict=True)
     ci = bootstrap_ci(marked.filter("eligible"), VARIANT, draws)
     write_table(variant_summary(marked).join(ci, VARIANT, "left"), paths.at("summary"))
-    write_table(regime_summary(marked), paths.at("regime_summary"))
+    by_window = [*VARIANT, "regime_window"]
+    window_ci = bootstrap_ci(marked.filter("eligible"), by_window, draws)
+    write_table(regime_summary(marked).join(window_ci, by_window, "left"), paths.at("regime_summary"))
     return journal.sparkSession.read.parquet(paths.at("summary"))
 
 

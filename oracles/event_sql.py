@@ -178,6 +178,12 @@ add("bars_dedup", """
 SELECT instrument, ts, o, h, l, c, volume, contract, source, ingest_seq FROM (
   SELECT *, row_number() OVER (PARTITION BY instrument, ts ORDER BY
     CASE source WHEN 'databento' THEN 2 WHEN 'local' THEN 1 ELSE 0 END DESC, ingest_seq DESC) AS r FROM two) WHERE r = 1""")
+add("bars_ingested", """
+SELECT instrument, ts, o, h, l, c, volume, last_value(CASE WHEN hour(ts) % 4 <> 0 THEN contract END IGNORE NULLS) OVER (
+    PARTITION BY instrument ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS contract, source, ingest_seq FROM (
+  SELECT *, row_number() OVER (PARTITION BY instrument, ts ORDER BY
+    CASE source WHEN 'databento' THEN 2 WHEN 'local' THEN 1 ELSE 0 END DESC, ingest_seq DESC) AS r FROM two
+  WHERE NOT (source = 'local' AND instrument = 'view')) WHERE r = 1""")
 add("overlap_report", """
 SELECT instrument, count(*) AS overlap_ts, avg(d) AS mean_close_diff FROM (
   SELECT instrument, ts, max(c) - min(c) AS d FROM two GROUP BY ALL HAVING count(*) > 1) GROUP BY 1""", "mean_close_diff")

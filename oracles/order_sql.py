@@ -455,6 +455,14 @@ SELECT {V}, avg(mean_r) AS null_mean, quantile_cont(mean_r, 0.95) AS null_p95, s
 cte("ci0", f"SELECT {POOL}, date, count(*) AS n, sum(gross_r) AS total FROM el GROUP BY ALL")
 boot_ctes("ci", "ci0", POOL, f"(SELECT DISTINCT {POOL} FROM el)", NB_OWN,
           seed("instrument || '|' || session || '|' || CAST(rr AS VARCHAR)", SEED), CI_DRAWS)
+for _p, _name, _keys in (("cv", "variant_interval", V), ("cr", "regime_interval", f"{POOL}, regime_window")):
+    cte(f"{_p}0", f"SELECT {_keys}, date, count(*) AS n, sum(gross_r) AS total FROM el GROUP BY ALL")
+    boot_ctes(_p, f"{_p}0", _keys, f"(SELECT DISTINCT {_keys} FROM el)", NB_OWN,
+              seed("concat_ws('|', " + ", ".join(f"CAST({k} AS VARCHAR)" for k in _keys.split(", ")) + ")", SEED), CI_DRAWS)
+    add(_name, f"""
+SELECT {_keys}, quantile_cont(m, 0.025) AS ci_lo, quantile_cont(m, 0.975) AS ci_hi FROM (
+  SELECT {_keys}, d, sum(ps[st + w + 1] - ps[st + 1]) / sum(pn[st + w + 1] - pn[st + 1]) AS m FROM {_p}g GROUP BY {_keys}, d)
+GROUP BY ALL""", "rr ci_lo ci_hi")
 add("bootstrap_interval", f"""
 SELECT {POOL}, quantile_cont(m, 0.025) AS ci_lo, quantile_cont(m, 0.975) AS ci_hi FROM (
   SELECT {POOL}, d, sum(ps[st + w + 1] - ps[st + 1]) / sum(pn[st + w + 1] - pn[st + 1]) AS m FROM cig GROUP BY {POOL}, d)
