@@ -21,9 +21,9 @@ FROM n LEFT JOIN cut USING (doc_id)
 
 SQL["op8_suffix_dedup"] = r"""
 WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
-suffixes AS (
-    SELECT doc_id, start, md5(substr(x, 2 * start + 1, 200)) AS h
-    FROM d, LATERAL (SELECT unnest(range(0, greatest(length(x) // 2 - 99, 0))) AS start)),
+suffixes AS MATERIALIZED (
+    SELECT doc_id, start, hash(substr(x, 2 * start + 1, 200)) AS h
+    FROM (SELECT doc_id, x, unnest(range(0, greatest(length(x) // 2 - 99, 0))) AS start FROM d)),
 firsts AS (
     SELECT h, min(doc_id) AS first, arg_min(start, (doc_id, start)) AS first_start
     FROM suffixes GROUP BY h HAVING count(*) > 1),
