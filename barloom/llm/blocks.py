@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from barloom.llm.cluster import ship
 from barloom.llm.hashing import groups_of
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 NULL_ID = np.iinfo(np.int64).max
 
 PACKED = "_block int, _order int, _bucket int, _n int, _width int, _keys binary, _values binary"
@@ -74,13 +74,25 @@ class Blocks:
         return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
             (at + step <= n) & (F.get(cuts, at + step - 1) <= ident), at + step).otherwise(at))
 
+    @staticmethod
+    def _tidy(fn: Callable) -> Callable:
+        """fn, after which a worker hands back the buffers that it no longer needs."""
+
+        def run(*tables: pa.Table) -> pa.Table:
+            out = fn(*tables)
+            pa.default_memory_pool().release_unused()
+            return out
+
+        # Spark tells the forms of a grouped function apart by the number of its parameters.
+        return (lambda docs: run(docs)) if fn.__code__.co_argcount == 1 else (lambda docs, answers: run(docs, answers))
+
     def each(self, fn: Callable[[pa.Table], pa.Table], schema) -> DataFrame:
         """fn over the documents of each block."""
-        return self.frame.groupBy("_block").applyInArrow(fn, schema)
+        return self.frame.groupBy("_block").applyInArrow(self._tidy(fn), schema)
 
     def each_with(self, answers: DataFrame, fn: Callable[[pa.Table, pa.Table], pa.Table], schema) -> DataFrame:
         """fn over the documents of each block and the answers its lists got."""
-        return self.frame.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(fn, schema)
+        return self.frame.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(self._tidy(fn), schema)
 
 
 class Documents:

@@ -135,7 +135,7 @@ def _similarities(pairs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
         F.col("node").alias(name), F.struct("keys", "weights").alias(f"{name}_vector"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(lo, 256) for whole in batches for lo in range(0, whole.num_rows, 256)):
             known: dict[bytes, tuple] = {}
 
             def vector(node, row):
