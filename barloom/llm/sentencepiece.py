@@ -184,23 +184,32 @@ class Encoder:
         best[end, rows], piece[end, rows], start[end, rows] = total[better], value[better], i
 
     def _walk_back(self, text, ends, piece, start) -> list[bytes]:
-        v, n = self.v, len(ends)
-        found: list[list[int]] = [[] for _ in range(n)]
-        values, starts = piece.T.tolist(), start.T.tolist()
-        ids, byte_ids, columns = v.ids.tolist(), v.byte_ids.tolist(), text.T
-        out = []
-        for row, end in enumerate(ends.tolist()):
-            own = found[row]
-            while end > 0:
-                lo, k = starts[row][end], values[row][end]
-                if k >= 0:
-                    own.append(ids[k])
-                else:
-                    own.extend(byte_ids[b] for b in columns[row, lo:end][::-1].tolist())
-                end = lo
-            out.append(np.array(own[::-1], np.uint16).tobytes())
+        """Ids of each part, from its end to its start, one step at a time for all parts."""
+        v, rows, end, steps = self.v, np.arange(len(ends)), ends.copy(), []
+        while (active := end > 0).any():
+            steps.append(np.where(active, piece[end, rows], -2))
+            end = np.where(active, start[end, rows], 0)
+        path = np.stack(steps[::-1], axis=1)
+        there = path != -2
+        ids = v.ids[path[there]].astype(np.uint16).tobytes()
+        stops = np.cumsum(2 * there.sum(axis=1)).tolist()
+        out = [ids[lo:hi] for lo, hi in zip([0, *stops], stops)]
+        for row in np.flatnonzero((path == -1).any(axis=1)).tolist():
+            out[row] = self._with_bytes(text[:, row], int(ends[row]), piece[:, row].tolist(), start[:, row].tolist())
         return out
 
+    def _with_bytes(self, text, end: int, piece: list[int], start: list[int]) -> bytes:
+        """Ids of one part with characters that are no pieces."""
+        own: list[int] = []
+        while end > 0:
+            lo = start[end]
+            if piece[end] >= 0:
+                own.append(int(self.v.ids[piece[end]]))
+            else:
+                own.extend(self.v.byte_ids[text[lo:end]][::-1].tolist())
+            end = lo
+        return np.array(own[::-1], np.uint16).tobytes()
+
     def encode(self, text: bytes) -> bytes:
         """Ids of a text as 16-bit numbers. Long texts are read a megabyte at a time, cut before a run of spaces."""
         if not text:
