@@ -1,7 +1,7 @@
 """License scan: ordered signature rules behind a keyword prefilter, resolved by containment. Built-in functions only.
 
 A text becomes its words (lower case; ASCII letters, digits and all non-ASCII characters) joined by single spaces. Rules
-whose keyword is in it are matched; all their matches are detections (rank, label, start, end in characters of that form).
+whose gate and keyword are in it are matched (a gate is looked for once for all its rules); all their matches are detections (rank, label, start, end in characters of that form).
 Sorted by start, then longest, then rank, a detection is suppressed if an earlier one contains it; of equal intervals
 the one of the first rule stays.
 
@@ -13,6 +13,7 @@ Each text is handled in its own row: no exchange, and repeated rows are repeated
 from __future__ import annotations
 
 import json
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from barloom.llm.license_rules import STEMS, rules
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 BASE_WEIGHT = 0.6
 
-_RULE = "array<struct<rank:int,label:string,keyword:string,pattern:string,weight:double>>"
+_RULES = "array<struct<gate:string,rules:array<struct<rank:int,label:string,keyword:string,pattern:string,weight:double>>>>"
 _FOUND = "array<struct<start:int,stop:int,rank:int,label:string,weight:double>>"
 
 
@@ -73,7 +74,8 @@ def _unsuppressed(found: Column) -> Column:
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections."""
-    table = F.from_json(F.lit(json.dumps([r._asdict() for r in rules()])), _RULE)
+    gates = groupby(sorted(rules(), key=lambda r: r.gate), key=lambda r: r.gate)
+    table = F.from_json(F.lit(json.dumps([{"gate": g, "rules": [r._asdict() for r in own]} for g, own in gates])), _RULES)
     form = F.col("_form")
     given = canonical(docs, F.col(f"`{text_col}`"), F.col(f"`{id_col}`").alias("_id"))
     touched = F.lit(False)
@@ -86,7 +88,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     firsts = [F.when(F.contains(form, F.lit(f" {p} ")), _spaces(F.substring_index(form, f" {p} ", 1))) for p in BASE]
     lasts = [F.when(F.contains(form, F.lit(f" {p} ")), _spaces(form) - 1 - F.lit(p.count(" ") + 1) -
                     _spaces(F.substring_index(form, f" {p} ", -1))) for p in BASE]
-    gated = F.filter(table, lambda r: F.contains(form, r["keyword"]))
+    opened = F.flatten(F.transform(F.filter(table, lambda g: F.contains(form, g["gate"])), lambda g: g["rules"]))
+    gated = F.filter(opened, lambda r: F.contains(form, r["keyword"]))
     found = F.flatten(F.transform(gated, lambda r: _matches(form, r)))
     scanned = sized.select(
         "_id", "n_words",
