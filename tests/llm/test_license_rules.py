@@ -1,6 +1,10 @@
-"""The rules as such: SPDX tags and written sentences, by a matcher that runs every rule."""
+"""The rules as such: SPDX tags and written sentences, by a matcher that runs every rule, and what stands before the rules
+(stems, gates, keywords) loses none of their matches."""
 
+import random
 import re
+from re import _constants as C
+from re import _parser
 
 from barloom.llm import license_rules as R
 from barloom.llm.license_scan import BASE, license_scan
@@ -61,3 +65,55 @@ def test_every_short_id():
         name, _, label = ident.partition("=")
         labels, score = ungated(f"SPDX-License-Identifier: {name}")
         assert score == 1.0 and set(labels.split(",")) - {"cc-by"} == {label or name.lower()}, ident
+
+
+def draw(tree, rng):
+    """A random text of a pattern; what is looked for around it is left out."""
+    out = ""
+    for op, arg in tree:
+        if op is C.LITERAL:
+            out += chr(arg)
+        elif op is C.NOT_LITERAL:
+            out += "x"
+        elif op is C.IN:
+            kind, value = rng.choice(arg)
+            out += chr(value) if kind is C.LITERAL else chr(rng.randint(*value)) if kind is C.RANGE else \
+                {C.CATEGORY_DIGIT: "3", C.CATEGORY_WORD: "w"}.get(value, "x") if kind is C.CATEGORY else "x"
+        elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
+            low, high, inner = arg
+            out += "".join(draw(inner, rng) for _ in range(rng.randint(low, min(high, low + 2))))
+        elif op is C.SUBPATTERN:
+            out += draw(arg[3], rng)
+        elif op is C.BRANCH:
+            out += draw(rng.choice(arg[1]), rng)
+        else:
+            assert op in (C.ASSERT, C.ASSERT_NOT), op
+    return out
+
+
+def draws(rule, rng, n):
+    """Forms in which the rule matches, and the match with a space at both ends."""
+    tree = _parser.parse(rule.pattern)
+    for _ in range(n):
+        head = "spdx " if "(?<= spdx )" in rule.pattern else "spdx license " if "(?<= spdx license )" in rule.pattern else ""
+        form = f" {head}{draw(tree, rng)} "
+        m = re.search(rule.pattern, form)
+        assert m, (rule, form)
+        yield form
+
+
+def test_stems_gates_and_keywords_are_in_every_match():
+    rng = random.Random(3)
+    lost = {(r.label, r.keyword, form) for r, _ in RULES for form in draws(r, rng, 25)
+            if r.keyword not in form or r.gate not in form or not any(s in form for s in R.STEMS)}
+    assert not lost, sorted(lost)[:20]
+
+
+def test_nothing_is_lost_before_the_rules(spark):
+    rng = random.Random(4)
+    given = ["Licensed under the ASL 2.0", "APL 2.0", "ASL2", "mpl2", "Apache version 2.0", "apache v2", "the Apache people"]
+    given += [form for r, _ in rng.sample(RULES, 150) for form in draws(r, rng, 1)]
+    got = {r[0]: (r.labels, r.score)
+           for r in license_scan(spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")).collect()}
+    assert got == {k: ungated(t) for k, t in enumerate(given)}
+    assert [got[k][0] for k in range(7)] == ["apache-2.0", "apache-2.0", "apache-2.0", "mpl-2.0", "apache-2.0", "apache-2.0", ""]
