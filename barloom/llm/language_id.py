@@ -185,7 +185,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of ``docs`` whose language is known with at least ``min_score``, as they are."""
+    """The rows of ``docs`` that have a letter and whose language has at least the score ``min_score``, as they are.
+
+    A model without languages (nothing to learn from) can't tell any language apart: all rows with a letter stay.
+    """
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -194,7 +197,11 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", min_s
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = shared.value.reader()
         for batch in batches:
-            languages, scores = reader.predict(batch.column(at).to_pylist())
+            texts = batch.column(at).to_pylist()
+            if not reader.model.languages:
+                yield batch.filter(pa.array([bool(words_of(t)) for t in texts], pa.bool_()))
+                continue
+            languages, scores = reader.predict(texts)
             yield batch.filter(pa.array([x != UNKNOWN and s >= min_score for x, s in zip(languages, scores)], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -18,7 +18,8 @@ from barloom.llm.suffix_dedup import suffix_dedup
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose language is unclear, go; the model learns from the labelled rows given."""
+    """Documents without a letter go. The model learns from the labelled rows given; any score will do (MIN_SCORE is 0), and
+    without a labelled row to learn from no language is told apart."""
     return keep_identified(docs, fit(docs))
 
 

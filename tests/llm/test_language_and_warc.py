@@ -89,3 +89,15 @@ def test_archive(spark, tmp_path):
         bad.write.parquet(str(tmp_path / "b" / "payloads"))
         W.read_payloads(spark, str(tmp_path / "b")).collect()
     assert W.archive_round_trip(pages.limit(0)).count() == 0
+
+
+def test_nothing_to_learn_from_keeps_what_has_a_letter(spark, odd_docs):
+    from pyspark.sql import functions as F
+    no_lang = odd_docs.withColumn("lang", F.lit(None).cast("string"))
+    only_held_out = odd_docs.withColumn("lang", F.when(L.held_out(F.col("doc_id")), F.col("lang")))
+    want = sorted(repr((r.doc_id, r.text)) for r in odd_docs.collect() if L.words_of(r.text))
+    for docs in (no_lang, only_held_out):
+        model = L.fit(docs)
+        assert model.languages == []
+        kept = L.keep_identified(docs, model)
+        assert sorted(repr((r.doc_id, r.text)) for r in kept.collect()) == want and len(want) > 50
