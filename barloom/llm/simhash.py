@@ -135,18 +135,37 @@ def _tables(blocks: int, radius: int) -> list[int]:
     return masks
 
 
+def near_pairs(queries: DataFrame, prints: DataFrame, column: str = "fingerprint", radius: int = RADIUS,
+               blocks: int = BLOCKS) -> DataFrame:
+    """(asked, found, distance, n_rows): each distinct fingerprint of ``queries`` with each distinct one of ``prints`` within
+    ``radius`` bits, once, and the rows of ``prints`` that have it. Null fingerprints find and are nothing."""
+    masks = F.array(*[F.lit(m).cast("long") for m in _tables(blocks, radius)])
+    keyed = lambda df, name: df.select("*", F.posexplode(masks).alias("_table", "_mask")).select(
+        *df.columns, "_table", F.col(name).bitwiseAND(F.col("_mask")).alias("_key"))
+    many = prints.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("found")).agg(F.count(F.lit(1)).alias("n_rows"))
+    asked = queries.where(F.col(column).isNotNull()).select(F.col(column).alias("asked")).distinct()
+    near = F.bit_count(F.col("asked").bitwiseXOR(F.col("found")))
+    pairs = keyed(many, "found").join(keyed(asked, "asked"), ["_table", "_key"]).where(near <= radius)
+    return pairs.groupBy("asked", "found").agg(F.first("n_rows").alias("n_rows")) \
+        .select("asked", "found", near.alias("distance"), "n_rows")
+
+
+def near_documents(queries: DataFrame, prints: DataFrame, query_id: str = "doc_id", found_id: str = "doc_id",
+                   column: str = "fingerprint", radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """(query_id, found_id, distance): each row of ``queries`` with each row of ``prints`` within ``radius`` bits.
+
+    All of them, so copies make their product; ``near_pairs`` has one row for each pair of fingerprints."""
+    pairs = near_pairs(queries, prints, column, radius, blocks).drop("n_rows")
+    asking = queries.select(F.col(f"`{query_id}`").alias("query_id"), F.col(column).alias("asked"))
+    members = prints.select(F.col(f"`{found_id}`").alias("found_id"), F.col(column).alias("found"))
+    return pairs.join(asking, "asked").join(members, "found").select("query_id", "found_id", "distance")
+
+
 def neighbours(queries: DataFrame, prints: DataFrame, query_id: str = "doc_id", column: str = "fingerprint",
                radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """(query_id, n_near, n_exact): the rows of ``prints`` within ``radius`` bits of the fingerprint of each row of ``queries``,
     and those of equal fingerprint. A query that is in ``prints`` finds itself. Null fingerprints find and are nothing."""
-    masks = F.array(*[F.lit(m).cast("long") for m in _tables(blocks, radius)])
-    keyed = lambda df, name: df.select("*", F.posexplode(masks).alias("_table", "_mask")).select(
-        *df.columns, "_table", F.col(name).bitwiseAND(F.col("_mask")).alias("_key"))
-    many = prints.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_other")).agg(F.count(F.lit(1)).alias("_rows"))
-    asked = queries.where(F.col(column).isNotNull()).select(F.col(column).alias("_asked")).distinct()
-    near = F.bit_count(F.col("_asked").bitwiseXOR(F.col("_other")))
-    pairs = keyed(many, "_other").join(keyed(asked, "_asked"), ["_table", "_key"]).where(near <= radius)
-    found = pairs.groupBy("_asked", "_other").agg(F.first("_rows").alias("_rows")).groupBy("_asked").agg(
-        F.sum("_rows").alias("n_near"), F.sum(F.when(F.col("_asked") == F.col("_other"), F.col("_rows")).otherwise(0)).alias("n_exact"))
+    found = near_pairs(queries, prints, column, radius, blocks).groupBy(F.col("asked").alias("_asked")).agg(
+        F.sum("n_rows").alias("n_near"), F.sum(F.when(F.col("distance") == 0, F.col("n_rows")).otherwise(0)).alias("n_exact"))
     return queries.select(F.col(f"`{query_id}`").alias(query_id), F.col(column).alias("_asked")).join(found, "_asked") \
         .select(query_id, "n_near", "n_exact")

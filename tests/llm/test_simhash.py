@@ -52,3 +52,27 @@ def test_search_finds_all_within_the_radius(spark):
     got = {r.doc_id: (r.n_near, r.n_exact) for r in S.neighbours(df.where(F.col("doc_id") % 7 == 0), df).collect()}
     want = {k: (sum((p ^ q).bit_count() <= 3 for q in prints), prints.count(p)) for k, p in enumerate(prints) if k % 7 == 0}
     assert got == want
+
+
+def test_near_pairs_and_documents_are_brute_force(spark):
+    rng = np.random.default_rng(11)
+    prints = rng.integers(-2**63, 2**63 - 1, 40).tolist()
+    for k in range(160):  # neighbours at 0 to 5 bits, whichever
+        bits = rng.choice(64, k % 6, replace=False)
+        changed = (prints[k % 40] % 2**64) ^ sum(1 << int(b) for b in bits)
+        prints.append(changed - 2**64 if changed >= 2**63 else changed)
+    rows = [(k, p) for k, p in enumerate(prints)] + [(900, None), (901, prints[3]), (901, prints[3])]
+    df = spark.createDataFrame(rows, "doc_id long, fingerprint long")
+    asked = df.where("doc_id % 3 = 0")
+    apart = lambda a, b: ((a ^ b) % 2**64).bit_count()
+    have = [(i, p) for i, p in rows if p is not None]
+    ask = [(i, p) for i, p in have if i % 3 == 0]
+    times = Counter(p for _, p in have)
+    pairs = {(a, b, apart(a, b), times[b]) for _, a in ask for b in times if apart(a, b) <= 3}
+    got = S.near_pairs(asked, df).collect()
+    assert len(got) == len(pairs) and {tuple(r) for r in got} == pairs
+    want = sorted((i, j, apart(a, b)) for i, a in ask for j, b in have if apart(a, b) <= 3)
+    assert sorted(map(tuple, S.near_documents(asked, df).collect())) == want
+    counts = Counter(i for i, _, _ in want)
+    exact = Counter(i for i, _, d in want if d == 0)
+    assert {tuple(r) for r in S.neighbours(asked, df).collect()} == {(i, counts[i], exact[i]) for i in counts}
