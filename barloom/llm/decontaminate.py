@@ -158,10 +158,11 @@ def _item_groups(items: DataFrame, id_col: str, text_col: str, block_words: int)
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_id: str = "item_id", item_text: str = "text", size: int = SIZE, coverage: float = COVERAGE,
-                  block_words: int = BLOCK_WORDS, keep_columns: bool = False) -> DataFrame:
+                  block_words: int = BLOCK_WORDS, keep_columns: bool = False, span_words: int | None = None) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_hit, item_ids (as strings, sorted), spans (hit word intervals),
     contaminated (n_hit > 0 and n_hit >= coverage * n_words) and clean_text (its words without the hit spans if
-    contaminated, else the text itself).
+    contaminated, else the text itself). With span_words, clean_text also loses every hit span of at least so many words in documents
+    that aren't contaminated; the flag is by coverage alone.
 
     With keep_columns: the rows of ``docs`` that aren't contaminated, as they are.
     """
@@ -195,6 +196,14 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         masks = [np.cumsum(steps[:-1]) > 0 for steps in hits]
         return words, masks, found
 
+    def long_runs(mask: np.ndarray) -> np.ndarray:
+        """The hit spans of at least span_words words; none without that limit."""
+        out = np.zeros(len(mask), bool)
+        if span_words is not None and mask.any():
+            for start, end in zip(*H.runs(mask)):
+                out[start:end] = end - start >= span_words
+        return out
+
     ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     if keep_columns:
         names = docs.columns
@@ -213,8 +222,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
             words, masks, found = judge(texts)
             n_hit = [int(m.sum()) for m in masks]
             bad = [n > 0 and share * n >= len(w) for n, w in zip(n_hit, words)]
-            clean = [b" ".join(w[i] for i in np.flatnonzero(~m)) if b else t
-                     for t, w, m, b in zip(texts, words, masks, bad)]
+            cuts = [m if b else long_runs(m) for m, b in zip(masks, bad)]
+            clean = [b" ".join(w[i] for i in np.flatnonzero(~c)) if b or c.any() else t
+                     for t, w, c, b in zip(texts, words, cuts, bad)]
             spans = [[{"start": s, "end": e} for s, e in zip(*map(np.ndarray.tolist, H.runs(m)))] if n else []
                      for m, n in zip(masks, n_hit)]
             yield pa.RecordBatch.from_arrays([

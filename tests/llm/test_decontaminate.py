@@ -61,3 +61,19 @@ def test_clean_text(spark):
     rows = {r.doc_id: r for r in contamination(docs, items).collect()}
     assert rows[1].clean_text == "keep this here and that" and [tuple(s) for s in rows[1].spans] == [(2, 6)]
     assert rows[2].clean_text == "the secret" and not rows[2].contaminated
+
+
+def test_long_spans_go_from_documents_below_the_coverage(spark):
+    quoted = " ".join(f"q{k}" for k in range(90))
+    short = " ".join(f"q{k}" for k in range(200, 220))
+    filler = " ".join(f"w{k}" for k in range(3000))
+    items = spark.createDataFrame([(1, quoted), (2, short)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"{filler} {quoted} tail {short} end"), (2, f"{filler} {short}"), (3, "no hit, Here!"), (4, None)],
+                                 "doc_id long, text string")
+    plain = {r.doc_id: r for r in contamination(docs, items).collect()}
+    cut = {r.doc_id: r for r in contamination(docs, items, span_words=50).collect()}
+    assert all(not r.contaminated for r in plain.values()) and [plain[k].clean_text for k in (1, 2, 3, 4)] == \
+        [r.text for r in docs.orderBy("doc_id").collect()]
+    assert cut[1].clean_text == f"{filler} tail {short} end" and cut[1].n_hit == 110
+    assert all(cut[k] == plain[k] for k in (2, 3, 4)) and cut[1][:-1] == plain[1][:-1]
+    assert {r.doc_id: r.clean_text for r in contamination(docs, items, span_words=20).collect()}[2] == filler
