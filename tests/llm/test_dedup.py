@@ -1,5 +1,6 @@
 """Substring and suffix dedup and near duplicates against plain loops."""
 
+import random
 import re
 from collections import Counter
 
@@ -167,3 +168,20 @@ def test_components(spark):
     pairs = [(k, k + 1) for k in range(0, 40)] + [(50, 60), (60, 70), (70, 50), (90, 80)]
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(41)}, 50: 50, 60: 50, 70: 50, 80: 80, 90: 80}
+
+
+def test_components_of_a_long_chain_take_logarithmic_rounds(spark):
+    n = 2000
+    order = list(range(n))
+    random.Random(4).shuffle(order)
+    for ids in (list(range(n)), order):
+        rounds = []
+        pairs = [(ids[k], ids[k + 1]) for k in range(n - 1)]
+        got = components(spark.createDataFrame(pairs, "a long, b long"), rounds).collect()
+        assert len(got) == n and {r.root for r in got} == {0}
+        assert len(rounds) <= 2 * 11 + 3
+
+
+def test_components_without_links(spark):
+    assert components(spark.createDataFrame([], "a binary, b binary")).count() == 0
+    assert components(spark.createDataFrame([(b"x", b"x")], "a binary, b binary")).count() == 0
