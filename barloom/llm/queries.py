@@ -16,6 +16,8 @@ from barloom.llm.substring_dedup import substring_dedup
 from barloom.llm.suffix_dedup import suffix_dedup
 from barloom.llm.token_shards import in_training_order
 from barloom.llm.warc import archive_round_trip
+from barloom.llm.whitening import fit as fit_whitening
+from barloom.llm.whitening import whiten
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -89,9 +91,15 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("tokens_sha256", F.sha2("tokens", 256)).drop("tokens")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return whiten(vectors, fit_whitening(vectors))
+
+
 QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_sentencepiece": op2_sentencepiece, "op3_decontaminate": op3_decontaminate,
            "op4_license_scan": op4_license_scan,
            "op5_simhash": op5_simhash,
            "op6_language_id": op6_language_id,
            "op7_minhash_dedup": op7_minhash_dedup,
-           "op8_suffix_dedup": op8_suffix_dedup, "op9_warc": op9_warc, "op10_token_shards": op10_token_shards}
+           "op8_suffix_dedup": op8_suffix_dedup, "op9_warc": op9_warc, "op10_token_shards": op10_token_shards,
+           "op11_embedding_whitening": op11_embedding_whitening}
