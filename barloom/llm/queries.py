@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.cluster import cut
+from barloom.llm.conversation_repair import damage, repair, repaired_digests
 from barloom.llm.decontaminate import contamination
 from barloom.llm.language_id import fit, identify
 from barloom.llm.license_scan import license_scan
@@ -96,10 +97,22 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(vectors, fit_whitening(vectors))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    report, repaired = repair(damage(rows))
+    out = rows.select("conv_id").distinct()
+    for part in (report, repaired_digests(repaired)):
+        part = part.withColumnRenamed("conv_id", "_own")
+        out = out.join(part, F.col("conv_id").eqNullSafe(F.col("_own")), "left").drop("_own")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return out.fillna(0, counts).fillna("", ["audit"]).select(
+        "conv_id", *counts, "audit", F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_sentencepiece": op2_sentencepiece, "op3_decontaminate": op3_decontaminate,
            "op4_license_scan": op4_license_scan,
            "op5_simhash": op5_simhash,
            "op6_language_id": op6_language_id,
            "op7_minhash_dedup": op7_minhash_dedup,
            "op8_suffix_dedup": op8_suffix_dedup, "op9_warc": op9_warc, "op10_token_shards": op10_token_shards,
-           "op11_embedding_whitening": op11_embedding_whitening}
+           "op11_embedding_whitening": op11_embedding_whitening, "op13_conversation_repair": op13_conversation_repair}
