@@ -11,6 +11,8 @@ from barloom.llm.decontaminate import contamination
 from barloom.llm.language_id import fit, identify
 from barloom.llm.license_scan import license_scan
 from barloom.llm.minhash_dedup import near_duplicates
+from barloom.llm.quality import fit as fit_quality
+from barloom.llm.quality import score
 from barloom.llm.sentencepiece import Vocabulary, decode, encode
 from barloom.llm.simhash import fingerprint_edits, likeness, neighbours
 from barloom.llm.substring_dedup import substring_dedup
@@ -97,6 +99,11 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(vectors, fit_whitening(vectors))
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    return score(docs, fit_quality(docs, _read(spark, sf_dir, "labels", "doc_id", "quality")))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     report, repaired = repair(damage(rows))
@@ -115,4 +122,5 @@ QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_sentencepiece": op2_
            "op6_language_id": op6_language_id,
            "op7_minhash_dedup": op7_minhash_dedup,
            "op8_suffix_dedup": op8_suffix_dedup, "op9_warc": op9_warc, "op10_token_shards": op10_token_shards,
-           "op11_embedding_whitening": op11_embedding_whitening, "op13_conversation_repair": op13_conversation_repair}
+           "op11_embedding_whitening": op11_embedding_whitening,
+           "op12_quality_classifier": op12_quality_classifier, "op13_conversation_repair": op13_conversation_repair}

@@ -10,7 +10,7 @@ from barloom.llm import oracles, queries
 
 def test_names():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES)
-    assert numbers == [*range(1, 12), 13] and "pipeline" in entry_point.queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in entry_point.queries()
     assert set(oracles.SQL) <= set(queries.QUERIES)
 
 
@@ -27,6 +27,7 @@ COLUMNS = {
     "op4_license_scan": {"doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"},
     "op5_simhash": {"doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"},
     "op6_language_id": {"doc_id", "held_out", "lang_pred", "score"},
+    "op12_quality_classifier": {"doc_id", "held_out", "score", "predicted"},
     "op7_minhash_dedup": {"doc_id", "group_id", "group_size", "keep"},
 }
 
