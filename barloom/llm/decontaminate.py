@@ -15,6 +15,7 @@ items with a null id are named "null"; rows of equal ids are judged on their own
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.llm import hashing as H
+from barloom.llm.batches import by_bytes
 from barloom.llm.cluster import ship
 
 SIZE = 13
@@ -168,7 +170,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """
     spark = docs.sparkSession
     ship(spark)
-    share = round(1 / coverage)
+    share = Fraction(str(coverage))  # the number as written: 0.4 is two fifths
     automata = []
     for group in _item_groups(items, item_id, item_text, block_words):
         rows = [(r["name"], bytes(r["text"] or b"")) for r in group.collect()]  # at most about block_words words
@@ -210,18 +212,18 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         at = names.index(text_col)
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in by_bytes(batches, at):
                 _, masks, _ = judge(batch.column(at).cast(pa.binary()).to_pylist())
-                yield batch.filter(pa.array([not (m.any() and share * int(m.sum()) >= len(m)) for m in masks], pa.bool_()))
+                yield batch.filter(pa.array([not (m.any() and int(m.sum()) >= share * len(m)) for m in masks], pa.bool_()))
 
         return docs.mapInArrow(keep, docs.schema)
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, "text"):
             texts = batch["text"].cast(pa.binary()).to_pylist()
             words, masks, found = judge(texts)
             n_hit = [int(m.sum()) for m in masks]
-            bad = [n > 0 and share * n >= len(w) for n, w in zip(n_hit, words)]
+            bad = [n > 0 and n >= share * len(w) for n, w in zip(n_hit, words)]
             cuts = [m if b else long_runs(m) for m, b in zip(masks, bad)]
             clean = [b" ".join(w[i] for i in np.flatnonzero(~c)) if b or c.any() else t
                      for t, w, c, b in zip(texts, words, cuts, bad)]

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.batches import by_bytes
 from barloom.llm.cluster import cut, ship
 
 SAMPLE_ROWS = 2000
@@ -33,7 +34,7 @@ MIN_SCORE = 0.0
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE_WORDS = 200_000
+_CACHE_WORDS = 100_000
 
 
 def held_out(ident: Column) -> Column:
@@ -66,10 +67,15 @@ class Reader:
 
     def __init__(self, model: Model):
         self.model = model
-        self.known = dict(model.words)
+        self.known = model.words  # the cache is kept in the one dictionary of this worker, apart by its row numbers
         self.fixed = len(model.logs)
         self.rows = np.zeros((self.fixed + _CACHE_WORDS, len(model.languages)), np.float32)
         self.rows[:self.fixed] = model.logs
+        self.forget()
+
+    def forget(self) -> None:
+        for word in [w for w, k in self.known.items() if k >= self.fixed]:
+            del self.known[word]
         self.used = self.fixed
 
     def _unseen(self, word: str) -> int:
@@ -96,7 +102,7 @@ class Reader:
             for k in range(0, len(words), _CACHE_WORDS):
                 part = words[k:k + _CACHE_WORDS]
                 if self.used + len(part) > len(self.rows):
-                    self.known, self.used = dict(self.model.words), self.fixed
+                    self.forget()
                 rows = list(map(self.known.get, part))
                 if None in rows:
                     rows = [self.known[w] if w in self.known else self._unseen(w) for w in part]
@@ -129,7 +135,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 pa.array(list(counts.values()), pa.int64())], names=["lang", "n", "gram", "times"])
 
         counts: Counter = Counter()
-        for batch in batches:
+        for batch in by_bytes(batches, "text"):
             seen: dict[str, Counter] = {}
             for own, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
                 seen.setdefault(own, Counter()).update(words_of(text))
@@ -139,7 +145,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     for n in range(1, MAX_N + 1):
                         for gram in grams_of(word, n):
                             counts[own, n, gram] += times
-            if len(counts) > 500_000:
+            if len(counts) > 150_000:
                 yield rows(counts)
                 counts = Counter()
         yield rows(counts)
@@ -174,7 +180,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = shared.value.reader()
-        for batch in batches:
+        for batch in by_bytes(batches, "text"):
             languages, scores = reader.predict(batch["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([batch["id"], batch["held_out"], pa.array(languages, pa.string()),
                                               pa.array(scores, pa.float64())], names=["id", "held_out", "lang_pred", "score"])
@@ -196,7 +202,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", min_s
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = shared.value.reader()
-        for batch in batches:
+        for batch in by_bytes(batches, at):
             texts = batch.column(at).to_pylist()
             if not reader.model.languages:
                 yield batch.filter(pa.array([bool(words_of(t)) for t in texts], pa.bool_()))

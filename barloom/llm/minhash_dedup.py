@@ -258,6 +258,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rows whose group keeps another id."""
-    gone = near_duplicates(docs, id_col, text_col, **options).where("NOT keep") \
-        .select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    name = max(docs.columns, key=len) + "_gone"  # no column of docs has it
+    gone = near_duplicates(docs.select(id_col, text_col), id_col, text_col, **options).where("NOT keep") \
+        .select(F.col(f"`{id_col}`").alias(name)).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col(f"`{name}`"), "left_anti")

@@ -77,3 +77,11 @@ def test_long_spans_go_from_documents_below_the_coverage(spark):
     assert cut[1].clean_text == f"{filler} tail {short} end" and cut[1].n_hit == 110
     assert all(cut[k] == plain[k] for k in (2, 3, 4)) and cut[1][:-1] == plain[1][:-1]
     assert {r.doc_id: r.clean_text for r in contamination(docs, items, span_words=20).collect()}[2] == filler
+
+
+def test_coverage_that_is_no_unit_fraction(spark):
+    docs = spark.createDataFrame([(1, "a b x y z")], "doc_id long, text string")
+    items = spark.createDataFrame([("i", "a b")], "item_id string, text string")
+    for coverage, bad in ((0.4, True), (0.39, True), (0.41, False), (0.05, True), (1.0, False)):
+        assert contamination(docs, items, coverage=coverage).first().contaminated is bad
+        assert contamination(docs, items, coverage=coverage, keep_columns=True).count() == (0 if bad else 1)

@@ -150,6 +150,9 @@ def test_near_duplicates_of_odd_rows(odd_docs):
     assert by[102].keep and by[103].keep and by[104].group_id == 104
     assert all(r.keep and r.group_id is None for r in rows if r.doc_id is None)
     assert M.drop_near_duplicates(odd_docs).schema == odd_docs.schema
+    clash = odd_docs.selectExpr("*", "1 AS _gone", "2 AS _id", "3 AS _text", "4 AS node", "5 AS root", "6 AS group_id")
+    left = M.drop_near_duplicates(clash)
+    assert left.schema == clash.schema and left.count() == M.drop_near_duplicates(odd_docs).count()
 
 
 def test_signature_agreement_is_the_similarity():
