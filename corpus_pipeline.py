@@ -32,7 +32,10 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Text that also starts earlier in the corpus, 100 bytes or more, is cut out (whole characters only);
     n_chars counts the text that is left."""
     out = suffix_dedup(docs, keep_columns=True)
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    kinds = {f.name: f.dataType for f in docs.schema.fields}
+    if "n_chars" in kinds:
+        out = out.withColumn("n_chars", F.char_length("text").cast(kinds["n_chars"]))
+    return out.withColumn("doc_id", F.col("doc_id").cast(kinds["doc_id"])).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
