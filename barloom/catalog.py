@@ -30,7 +30,7 @@ from barloom.plans import holdout as HO
 from barloom.plans import report as L
 from barloom.plans import setups as N
 from barloom.plans import spreads as SP
-from barloom.plans.inference import NullSpec, enrich_summary, null_means
+from barloom.plans.inference import NullSpec, enrich_summary, null_vectors
 from barloom.plans.load import clean_bars
 from barloom.session import cut
 from barloom.sources.bars import only_configured_rolls, roll_tag
@@ -42,10 +42,10 @@ from barloom.sources.views import (
 # Parameters of the registered queries, sized for sparse tables.
 MIN_N = 10
 HOLDOUT = "2000-01-01"
-DRAWS = 1000
 CI_DRAWS = 1000
 IID_DRAWS = 10_000
-SPEC = NullSpec(draws=DRAWS, sample_days=60, min_days=100)
+SPEC = NullSpec()
+ROW_SPEC = NullSpec(draws=1000)  # for the two queries whose rows are the draws themselves
 SAMPLE_TARGET = 200
 
 QUERIES: dict = {}
@@ -113,16 +113,16 @@ def _fired_days(spark, d):
     return _pool_days(spark, d).join(traded, ["instrument", "session", "date"])
 
 
-def _order_means(spark, d, summary=None):
+def _order_vectors(spark, d, summary=None, spec=SPEC):
     s = summary if summary is not None else _summary(spark, d)
-    return null_means(s, _pool_days(spark, d), POOL, SPEC, "joint-bootstrap")
+    return null_vectors(s, _pool_days(spark, d), POOL, spec, "joint-bootstrap")
 
 
 def _with_p(spark, d):
     """Summary with a Monte-Carlo p-value column."""
     s = _summary(spark, d)
-    p = R.mc_p_value(_order_means(spark, d, s), s, VARIANT, "expectancy_net_r", "null_p_value")
-    return s.join(p, VARIANT, "left")
+    p = R.vector_stats(_order_vectors(spark, d, s), VARIANT, s, "expectancy_net_r")
+    return s.join(p.select(*VARIANT, F.col("p_value").alias("null_p_value")), VARIANT, "left")
 
 
 def _enriched(spark, d):
@@ -130,10 +130,10 @@ def _enriched(spark, d):
                           POOL, [*FAMILY, "rr"])
 
 
-def _null_t(spark, d):
+def _null_t(spark, d, spec=SPEC):
     s = cut(_summary(spark, d))
-    null_t, obs = MT.studentise(cut(_order_means(spark, d, s)), s, VARIANT, "expectancy_net_r")
-    return null_t, obs
+    vectors = cut(_order_vectors(spark, d, s, spec))
+    return MT.studentise(vectors, R.vector_stats(vectors, VARIANT), s, VARIANT, "expectancy_net_r")
 
 
 # --- A, B: sources and calendar --------------------------------------------------------------
@@ -821,8 +821,8 @@ def _survivors(spark, d):
     s = J.variant_summary(ins)
     pool = ins.filter("eligible").groupBy(*POOL, "date").agg(
         F.count(F.lit(1)).alias("n"), F.sum("net_r").alias("total"))
-    means = null_means(s, pool, POOL, SPEC, "joint-bootstrap")
-    p = R.mc_p_value(means, s, VARIANT, "expectancy_net_r", "null_p_value")
+    vectors = null_vectors(s, pool, POOL, SPEC, "joint-bootstrap")
+    p = R.vector_stats(vectors, VARIANT, s, "expectancy_net_r").select(*VARIANT, F.col("p_value").alias("null_p_value"))
     return HO.survivors(s.join(p, VARIANT, "left"), min_trades=3, alpha=0.5), s
 
 
@@ -991,18 +991,20 @@ def regime_interval(spark, d):
 
 @query
 def null_draw_means(spark, d):
-    return _order_means(spark, d)
+    vectors = _order_vectors(spark, d, spec=ROW_SPEC)
+    return vectors.select(*VARIANT, "chunk", F.posexplode("means").alias("at", "mean_r")).select(
+        *VARIANT, (F.col("chunk") * R.CHUNK + F.col("at")).alias("draw"), "mean_r")
 
 
 @query
 def mc_pvalues(spark, d):
     s = _summary(spark, d)
-    return R.mc_p_value(_order_means(spark, d, s), s, VARIANT, "expectancy_net_r")
+    return R.vector_stats(_order_vectors(spark, d, s), VARIANT, s, "expectancy_net_r").select(*VARIANT, "p_value")
 
 
 @query
 def null_summaries(spark, d):
-    return R.null_summary(_order_means(spark, d), VARIANT)
+    return R.vector_stats(_order_vectors(spark, d), VARIANT).drop("p_value")
 
 
 @query
@@ -1023,8 +1025,9 @@ def studentised_observed(spark, d):
 
 @query
 def family_maxima(spark, d):
-    null_t, obs = _null_t(spark, d)
-    return MT.family_rollup(null_t, obs, FAMILY)[0]
+    null_t, obs = _null_t(spark, d, ROW_SPEC)
+    return MT.family_rollup(null_t, obs, FAMILY)[0].select(*FAMILY, "chunk", F.posexplode("t").alias("at", "t")).select(
+        *FAMILY, (F.col("chunk") * R.CHUNK + F.col("at")).alias("draw"), "t")
 
 
 @query

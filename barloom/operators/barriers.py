@@ -1,7 +1,7 @@
 """First-touch labelling of events against a stop and a ladder of targets.
 
-An event row carries its day's bars, so the held bars are a slice of that array, the touch of
-each target is the first matching element, and the excursions are extremes of a shorter slice.
+An event row carries its day's bars, so the held bars are a slice of that array. Its running extremes are made
+once for an event; the touches and the excursions of all levels are looked up in them.
 Labelling is therefore a projection: it adds no exchange and no join to the day's stage.
 """
 
@@ -28,83 +28,89 @@ def validity(events: DataFrame) -> DataFrame:
     })
 
 
-def _signed_hold(start: Column) -> Column:
-    """Held bars with prices signed so that up is favourable."""
-    held = F.slice("bars", start + 1, F.greatest(F.col("last_idx") - start + 1, F.lit(0)))
-    is_long = F.col("direction") == "long"
-
-    def signed(b: Column) -> Column:
-        return F.when(is_long, F.struct(
-            b["idx"].alias("idx"), b["ts"].alias("ts"), b["o"].alias("o"), b["h"].alias("hi"),
-            b["l"].alias("lo"), b["c"].alias("c"))).otherwise(F.struct(
-                b["idx"].alias("idx"), b["ts"].alias("ts"), (-b["o"]).alias("o"), (-b["l"]).alias("hi"),
-                (-b["h"]).alias("lo"), (-b["c"]).alias("c")))
-
-    return F.transform(held, signed)
-
-
 def label_barriers(events: DataFrame, grid: GridSpec) -> DataFrame:
     """One row per event and reward:risk level with exit, returns and excursions.
 
     On one bar the precedence is: open beyond the stop, open beyond the target, stop, target.
     Opens fill at the open, levels at the level, and a target needs one tick of trade-through.
     Events that cannot be held stay, with null outcomes and their reason.
+
+    The stop's first touch is the same for all levels, so the bars end there. Of what is left one array of plain numbers is made, the
+    highest target that each bar fills, and each level looks up its first touch in it. The rows of the levels carry scalars only.
     """
     x = validity(events)
     ok = F.col("invalid_reason").isNull()
     sign = sign_of(F.col("direction"))
-    x = x.withColumns({
-        "_hold": F.when(ok, _signed_hold(F.col("start_idx"))),
-        "_e": sign * F.col("fill_t"),
-        "_sl": sign * F.col("sl_t"),
-    }).drop("bars")
-
-    def open_counts(b: Column) -> Column:
-        return F.lit(True) if grid.entry_bar_open else b["idx"] > F.col("entry_idx")
-
-    def touch(rr: Column) -> Column:
+    is_long = F.col("direction") == "long"
+    opens = F.lit(bool(grid.entry_bar_open))
+
+    def counts(b: Column) -> Column:
+        return opens | (b["idx"] > F.col("entry_idx"))
+
+    def stopped(b: Column) -> Column:
+        beyond = F.when(is_long, b["l"] <= F.col("sl_t")).otherwise(b["h"] >= F.col("sl_t"))
+        return beyond | (counts(b) & F.when(is_long, b["o"] <= F.col("sl_t")).otherwise(b["o"] >= F.col("sl_t")))
+
+    n = F.greatest(F.col("last_idx") - F.col("start_idx") + 1, F.lit(0))
+    x = x.withColumn("_held", F.when(ok, F.slice("bars", F.col("start_idx") + 1, n)))
+    x = x.withColumn("_stop", F.get(F.filter("_held", stopped), F.lit(0))["idx"]).withColumn(
+        "_n", F.when(F.col("_stop").isNull(), F.size("_held")).otherwise(F.col("_stop") - F.col("start_idx") + 1)).withColumn(
+        "_seen", F.when(F.col("_stop").isNull(), F.col("_held")).otherwise(F.slice("_held", 1, F.greatest(F.col("_n"), F.lit(0)))))
+    s = F.col("_sign")
+
+    def reach(b: Column) -> Column:
+        """An open fills at the open, a level needs one tick of trade-through."""
+        high = F.when(is_long, b["h"]).otherwise(-b["l"]) - 1
+        return F.when(counts(b), F.greatest(s * b["o"], high)).otherwise(high)
+
+    x = x.withColumn("_sign", sign).withColumns({
+        "_reach": F.transform("_seen", reach), "_e": sign * F.col("fill_t"), "_sl": sign * F.col("sl_t"),
+        "_lows": F.when(is_long, F.col("_seen.l")).otherwise(F.col("_seen.h")),
+        "_highs": F.when(is_long, F.col("_seen.h")).otherwise(F.col("_seen.l")),
+    }).drop("bars", "_held")
+
+    def level(rr: Column) -> Column:
         target = F.col("_e") + rr * F.col("r_ticks")
-
-        def hits(b: Column) -> Column:
-            at_open = open_counts(b) & ((b["o"] <= F.col("_sl")) | (b["o"] >= target))
-            return at_open | (b["lo"] <= F.col("_sl")) | (b["hi"] >= target + 1)
-
-        return F.struct(rr.alias("rr"), F.get(F.filter("_hold", hits), F.lit(0)).alias("bar"))
+        at = F.array_position(F.transform("_reach", lambda v: v >= target), F.lit(True)).cast("int")
+        n = F.when(at > 0, at).otherwise(F.col("_n"))
+        lows, highs = F.slice("_lows", 1, F.greatest(n, F.lit(0))), F.slice("_highs", 1, F.greatest(n, F.lit(0)))
+        return F.struct(rr.alias("rr"), (at > 0).alias("touched"), F.get("_seen", n - 1).alias("bar"),
+                        F.when(is_long, F.array_min(lows)).otherwise(-F.array_max(lows)).alias("low"),
+                        F.when(is_long, F.array_max(highs)).otherwise(-F.array_min(highs)).alias("high"))
 
     ladder = F.array(*[F.lit(float(r)) for r in grid.rr_levels])
-    x = x.withColumn("_t", F.explode(F.transform(ladder, touch))).withColumns({
-        "rr": F.col("_t.rr"), "_bar": F.col("_t.bar")}).drop("_t")
+    x = x.withColumn("_t", F.explode(F.transform(ladder, level))).drop("_seen", "_reach", "_lows", "_highs").withColumns({
+        "rr": F.col("_t.rr"), "_touched": F.col("_t.touched"), "_bar": F.col("_t.bar"), "_low": F.col("_t.low"),
+        "_high": F.col("_t.high")}).drop("_t")
 
-    target = F.col("_e") + F.col("rr") * F.col("r_ticks")
-    bar_o, bar_hi, bar_lo = F.col("_bar.o"), F.col("_bar.hi"), F.col("_bar.lo")
+    touched = F.col("_touched")
+    exit_idx = F.col("_bar.idx")
     x = x.withColumns({
-        "exit_idx": F.when(ok, F.coalesce(F.col("_bar.idx"), F.col("last_idx"))),
-        "_target": F.when(ok, target),
-        "_opens": F.coalesce(open_counts(F.col("_bar")), F.lit(False)),
+        "exit_idx": F.when(ok, exit_idx),
+        "_target": F.when(ok, F.col("_e") + F.col("rr") * F.col("r_ticks")),
+        "_bar_o": s * F.col("_bar.o"), "_bar_c": s * F.col("_bar.c"), "_bar_ts": F.col("_bar.ts"),
+        "_bar_hi": F.when(is_long, F.col("_bar.h")).otherwise(-F.col("_bar.l")),
+        "_opens": opens | (exit_idx > F.col("entry_idx")),
+        "_at_stop": F.coalesce(exit_idx == F.col("_stop"), F.lit(False)),
     })
     x = x.withColumn("_kind", (
-        F.when(F.col("_opens") & (bar_o <= F.col("_sl")), "gap_stop")
-        .when(F.col("_opens") & (bar_o >= F.col("_target")), "gap_target")
-        .when(bar_lo <= F.col("_sl"), "stop")
-        .when(bar_hi >= F.col("_target") + 1, "target")
-        .otherwise("time")))
+        F.when(F.col("_at_stop") & F.col("_opens") & (F.col("_bar_o") <= F.col("_sl")), "gap_stop")
+        .when(touched & F.col("_opens") & (F.col("_bar_o") >= F.col("_target")), "gap_target")
+        .when(F.col("_at_stop"), "stop").when(touched, "target").otherwise("time")))
     kind = F.col("_kind")
-    x = x.withColumns({
-        "_until": F.slice("_hold", 1, F.greatest(F.col("exit_idx") - F.col("start_idx") + 1, F.lit(0))),
-        "_exit": F.when(kind.isin("gap_stop", "gap_target"), bar_o.cast("double"))
+    x = x.withColumn("_exit", (
+        F.when(kind.isin("gap_stop", "gap_target"), F.col("_bar_o").cast("double"))
         .when(kind == "stop", F.col("_sl").cast("double"))
         .when(kind == "target", F.col("_target"))
-        .otherwise(F.element_at("_hold", -1)["c"].cast("double")),
-    })
+        .otherwise(F.col("_bar_c").cast("double"))))
     r = F.col("r_ticks")
-    adverse = F.col("_e") - F.array_min(F.col("_until.lo"))
-    favorable = F.array_max(F.col("_until.hi")) - F.col("_e")
-    ambiguous = F.coalesce((kind == "stop") & (bar_hi >= F.col("_target") + 1), F.lit(False))
+    adverse, favorable = F.col("_e") - F.col("_low"), F.col("_high") - F.col("_e")
+    ambiguous = F.coalesce((kind == "stop") & (F.col("_bar_hi") >= F.col("_target") + 1), F.lit(False))
     x = x.withColumns({
         "exit_reason": F.when(~ok, F.col("invalid_reason"))
         .when(kind.isin("gap_stop", "stop"), "SL")
         .when(kind.isin("gap_target", "target"), "TP").otherwise("TIME"),
-        "exit_ts": F.when(ok, F.coalesce(F.col("_bar.ts"), F.element_at("_hold", -1)["ts"])),
+        "exit_ts": F.when(ok, F.col("_bar_ts")),
         "tp_t": sign * F.col("_target"),
         "exit_t": F.when(ok, sign * F.col("_exit")),
         "bars_held": F.when(ok, F.col("exit_idx") - F.col("start_idx") + 1).otherwise(0),
@@ -117,8 +123,8 @@ def label_barriers(events: DataFrame, grid: GridSpec) -> DataFrame:
     return x.withColumns({
         "gross_r_optimistic": F.when(ambiguous, F.col("rr")).otherwise(F.col("gross_r")),
         "tp_unfillable": F.coalesce(F.col("tp_ticks") < MIN_TP_TICKS, F.lit(False)),
-    }).drop("_hold", "_e", "_sl", "_bar", "_target", "_opens", "_kind", "_until", "_exit",
-            "invalid_reason", "start_idx")
+    }).drop("_e", "_sl", "_sign", "_stop", "_n", "_touched", "_bar", "_low", "_high", "_target", "_bar_o", "_bar_c", "_bar_ts", "_bar_hi",
+            "_opens", "_at_stop", "_kind", "_exit", "invalid_reason", "start_idx")
 
 
 def with_returns(outcomes: DataFrame, grid: GridSpec) -> DataFrame:

@@ -1,8 +1,8 @@
 """Block bootstrap over days, Monte-Carlo p-values and jackknife errors.
 
 A group enters as one row with prefix sums of its days (at most one entry per calendar day), so
-one draw is a fold of a few differences. Draws are split into chunks of rows before they are
-computed, which spreads one large group over many tasks.
+one draw adds up a few differences. Draws are split into chunks before they are computed, which spreads one large group over
+many tasks, and travel packed: one array for each (group, chunk).
 """
 
 from __future__ import annotations
@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import ratio
-from barloom.functions.rng import draw_below, stable_seed
+from barloom.functions.rng import PRIME, STEP, stable_seed
 from barloom.params import BLOCK_DAYS, MASTER_SEED
 
+CHUNK = 1000
+STRIDE = 1 << 20  # random numbers a draw may use
+
 
 def day_prefixes(daily: DataFrame, keys: list[str], n: str = "n", total: str = "total",
                  order: str = "date") -> DataFrame:
@@ -43,37 +46,80 @@ def observed_size_blocks(n_obs: Column, block_days: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.ceil(n_obs / per_day) / width))
 
 
-def block_bootstrap(prefixes: DataFrame, keys: list[str], draws: int, n_blocks: Column,
-                    seed: Column, block_days: int = BLOCK_DAYS, chunk: int = 2500) -> DataFrame:
-    """One row per (keys, draw): the mean over blocks of consecutive days.
+def draw_vectors(prefixes: DataFrame, keys: list[str], draws: int, n_blocks: Column,
+                 seed: Column, block_days: int = BLOCK_DAYS, chunk: int = CHUNK) -> DataFrame:
+    """One row per (keys, chunk): ``means``, an array of the draws chunk * CHUNK and on, in order.
 
-    Block starts are uniform over the days at which a whole block fits.
+    A draw is the mean over blocks of consecutive days whose starts are uniform over the days at which a whole block fits. The
+    sums of all blocks of a group are made once, so a draw adds up a few of them. Block j of draw b takes the random number
+    b * STRIDE + j whatever the number of blocks, so under one seed groups of equal days share their resamples.
+    The arithmetic is NumPy's, vector by vector; rows stay packed.
     """
-    x = prefixes.withColumns({"_k": n_blocks.cast("bigint"), "_seed": seed})
-    x = x.withColumn("_w", F.greatest(F.lit(1), F.least(F.lit(block_days), F.col("nd"))).cast("int"))
+    x = prefixes.withColumns({"_k": n_blocks.cast("bigint"), "_seed": seed.cast("bigint")})
+    x = x.withColumn("_w", F.greatest(F.lit(1), F.least(F.lit(block_days), F.col("nd"))).cast("bigint"))
     # The rows are few and small but each stands for much arithmetic, so they are spread over a
     # fixed number of tasks; sizing by bytes would pack them into one.
     tasks = 2 * prefixes.sparkSession.sparkContext.defaultParallelism
-    x = x.withColumn("_from", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(chunk)))).repartition(
-        tasks, *keys, "_from")
+    x = x.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // chunk)))).repartition(tasks, *keys, "chunk")
+    prime, step, stride, cells = PRIME, STEP, STRIDE, 1 << 20
+
+    def means(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for r in batch.select(["chunk", "prefix_n", "prefix_sum", "nd", "_k", "_w", "_seed"]).to_pylist():
+                n, total, w = np.array(r["prefix_n"], np.int64), np.array(r["prefix_sum"]), r["_w"]
+                n, total = n[w:] - n[:-w], total[w:] - total[:-w]
+                first = r["chunk"] * chunk
+                of = np.arange(first, min(first + chunk, draws), dtype=np.int64)
+                sums, counts = np.zeros(len(of)), np.zeros(len(of), np.int64)
+                width = max(1, cells // len(of))
+                for j in range(0, r["_k"], width):
+                    blocks = np.arange(j, min(j + width, r["_k"]), dtype=np.int64)
+                    v = (r["_seed"] + (of[:, None] * stride + blocks) * step) % prime
+                    square = v * v % prime
+                    start = square * square % prime * v % prime % (r["nd"] - w + 1)
+                    sums += total[start].sum(axis=1)
+                    counts += n[start].sum(axis=1)
+                out.append(sums / counts)
+            yield pa.RecordBatch.from_arrays([*[batch[k] for k in keys], batch["chunk"], pa.array(out, pa.list_(pa.float64()))],
+                                             names=[*keys, "chunk", "means"])
+
+    kinds = dict(x.select(*keys).dtypes)
+    return x.select(*keys, "chunk", "prefix_n", "prefix_sum", "nd", "_k", "_w", "_seed").mapInArrow(
+        means, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", chunk int, means array<double>")
+
+
+def block_bootstrap(prefixes: DataFrame, keys: list[str], draws: int, n_blocks: Column,
+                    seed: Column, block_days: int = BLOCK_DAYS, chunk: int = CHUNK) -> DataFrame:
+    """One row per (keys, draw): the draws of draw_vectors, unpacked."""
+    vectors = draw_vectors(prefixes, keys, draws, n_blocks, seed, block_days, chunk)
+    return vectors.select(*keys, "chunk", F.posexplode("means").alias("_at", "mean_r")).select(
+        *keys, (F.col("chunk") * chunk + F.col("_at")).alias("draw"), "mean_r")
+
+
+def vector_stats(vectors: DataFrame, keys: list[str], observed: DataFrame | None = None, obs: str | None = None) -> DataFrame:
+    """Per key: null_mean, null_p95, null_std, null_draws and, given an observed value, p_value: (1 + draws above + half the
+    ties) / (1 + draws), ties judged at 1e-12. A group is the packed draws of one key, so its size is fixed by their number."""
+    kinds = dict(vectors.dtypes)
+    x = vectors.withColumn("_obs", F.lit(None).cast("double")) if observed is None else \
+        vectors.join(observed.select(*keys, F.col(obs).cast("double").alias("_obs")), keys)
 
-    def mean_of(b: Column) -> Column:
-        def add(acc: Column, k: Column) -> Column:
-            start = draw_below(F.col("_seed"), b * F.col("_k") + k, F.col("nd") - F.col("_w") + 1)
-            lo, hi = start.cast("int"), (start + F.col("_w")).cast("int")
-            return F.struct(
-                (acc["s"] + F.get("prefix_sum", hi) - F.get("prefix_sum", lo)).alias("s"),
-                (acc["n"] + F.get("prefix_n", hi) - F.get("prefix_n", lo)).alias("n"))
+    def stats(table):
+        import numpy as np
+        import pyarrow as pa
 
-        zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("bigint").alias("n"))
-        return F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.col("_k") - 1), zero, add,
-                           lambda acc: acc["s"] / acc["n"])
+        v = np.concatenate([np.asarray(m, np.float64) for m in table["means"].to_pylist()])
+        at = table["_obs"][0].as_py()
+        p = None if at is None else float((1 + (v - at > 1e-12).sum() + 0.5 * (np.abs(v - at) <= 1e-12).sum()) / (1 + len(v)))
+        return pa.table([*[table[k].slice(0, 1) for k in keys], pa.array([v.mean()]), pa.array([np.quantile(v, 0.95)]),
+                         pa.array([v.std()]), pa.array([len(v)], pa.int64()), pa.array([p], pa.float64())],
+                        names=[*keys, "null_mean", "null_p95", "null_std", "null_draws", "p_value"])
 
-    last = F.least(F.col("_from") + chunk - 1, F.lit(draws - 1))
-    means = F.transform(
-        F.sequence(F.col("_from"), last),
-        lambda b: F.struct(b.alias("draw"), mean_of(b.cast("bigint")).alias("mean_r")))
-    return x.select(*keys, F.explode(means).alias("d")).select(*keys, "d.draw", "d.mean_r")
+    return x.groupBy(*keys).applyInArrow(stats, ", ".join(f"`{k}` {kinds[k]}" for k in keys) +
+                                         ", null_mean double, null_p95 double, null_std double, null_draws long, p_value double")
 
 
 def bootstrap_ci(trades: DataFrame, keys: list[str], draws: int, value: str = "gross_r",
@@ -101,22 +147,6 @@ def iid_bootstrap_ci(values: DataFrame, value: str, order: list[str], draws: int
                      F.percentile("mean_r", F.lit(1 - alpha / 2)).alias("ci_hi"))
 
 
-def mc_p_value(means: DataFrame, observed: DataFrame, keys: list[str], obs: str,
-               name: str = "p_value") -> DataFrame:
-    """(1 + draws above + half the ties) / (1 + draws) per key; ties are judged at 1e-12."""
-    x = means.join(observed.select(*keys, obs), keys)
-    gap = F.col("mean_r") - F.col(obs)
-    above, tie = F.count_if(gap > 1e-12), F.count_if(F.abs(gap) <= 1e-12)
-    return x.groupBy(*keys).agg(
-        ((1 + above + 0.5 * tie) / (1 + F.count(F.lit(1)))).alias(name))
-
-
-def null_summary(means: DataFrame, keys: list[str]) -> DataFrame:
-    return means.groupBy(*keys).agg(
-        F.avg("mean_r").alias("null_mean"), F.percentile("mean_r", F.lit(0.95)).alias("null_p95"),
-        F.stddev_pop("mean_r").alias("null_std"), F.count("mean_r").alias("null_draws"))
-
-
 def jackknife_se(daily: DataFrame, keys: list[str], n: str = "n", total: str = "total") -> DataFrame:
     """Standard error of the pooled mean from leaving out one day at a time."""
     w = Window.partitionBy(*keys)

@@ -13,7 +13,7 @@ from barloom.operators.controls import (
 )
 from barloom.operators.multiplicity import attach_multiplicity, studentise
 from barloom.operators.resample import (
-    block_bootstrap, day_prefixes, jackknife_se, mc_p_value, null_summary, observed_size_blocks,
+    day_prefixes, draw_vectors, jackknife_se, observed_size_blocks, vector_stats,
 )
 from barloom.params import (
     BLOCK_DAYS, FAMILY, MASTER_SEED, NULL_DRAWS, NULL_ENTRIES_PER_DAY, NULL_MIN_DAYS,
@@ -35,19 +35,18 @@ class NullSpec:
     seed: int = MASTER_SEED
 
 
-def null_means(summary: DataFrame, pool_days: DataFrame, pool_keys: list[str], spec: NullSpec,
-               label: str, variant: list[str] = VARIANT) -> DataFrame:
-    """Draws of each variant's null mean at its own sample size.
+def null_vectors(summary: DataFrame, pool_days: DataFrame, pool_keys: list[str], spec: NullSpec,
+                 label: str, variant: list[str] = VARIANT) -> DataFrame:
+    """Packed draws of each variant's null mean at its own sample size.
 
-    One seed serves all variants, so draw b is the same resample for all of them.
+    One seed serves all variants, so draw b is the same resample for all pools of equal days, cut at their numbers of blocks.
     Pools are summarised once per pool key and joined to their variants.
     """
     prefixes = day_prefixes(pool_days, pool_keys)
     x = summary.select(*variant, "trade_count").join(prefixes, pool_keys)
     seed = stable_seed(F.lit(label), master=spec.seed)
-    return block_bootstrap(x, variant, spec.draws,
-                           observed_size_blocks(F.col("trade_count"), spec.block_days),
-                           seed, spec.block_days)
+    return draw_vectors(x, variant, spec.draws, observed_size_blocks(F.col("trade_count"), spec.block_days),
+                        seed, spec.block_days)
 
 
 def enrich_summary(summary: DataFrame, broad: DataFrame, fired: DataFrame, spec: NullSpec,
@@ -60,19 +59,19 @@ def enrich_summary(summary: DataFrame, broad: DataFrame, fired: DataFrame, spec:
     unknown. The draws feed many consumers, so they are cut to the checkpoint folder once.
     """
     summary = cut(summary)
-    b_means = cut(null_means(summary, broad, broad_keys, spec, "joint-bootstrap"))
-    f_means = null_means(summary, fired, fired_keys, spec, "joint-bootstrap-fired")
-    stats = null_summary(b_means, VARIANT).select(
+    b_means = cut(null_vectors(summary, broad, broad_keys, spec, "joint-bootstrap"))
+    f_means = null_vectors(summary, fired, fired_keys, spec, "joint-bootstrap-fired")
+    b_stats = cut(vector_stats(b_means, VARIANT, summary, obs))
+    stats = b_stats.select(
         *VARIANT, F.col("null_mean").alias("null_exp_mean"), F.col("null_p95").alias("null_exp_p95"),
-        F.col("null_draws").alias("null_bootstrap_k"))
+        F.col("null_draws").alias("null_bootstrap_k"), F.col("p_value").alias("null_p_broad"))
     pool = broad.groupBy(*broad_keys).agg(
         F.sum("n").alias("null_pool_trades"), F.count(F.lit(1)).alias("null_effective_n")).join(
         jackknife_se(broad, broad_keys).select(
             *broad_keys, F.col("jackknife_se").alias("null_mean_jackknife_se")), broad_keys)
     out = (
         summary.join(stats, VARIANT, "left")
-        .join(mc_p_value(b_means, summary, VARIANT, obs, "null_p_broad"), VARIANT, "left")
-        .join(mc_p_value(f_means, summary, VARIANT, obs, "null_p_matched"), VARIANT, "left")
+        .join(vector_stats(f_means, VARIANT, summary, obs).select(*VARIANT, F.col("p_value").alias("null_p_matched")), VARIANT, "left")
         .join(pool, broad_keys, "left")
         .withColumn("null_p_value", F.col("null_p_broad"))
         .withColumn("null_unreliable", F.coalesce("null_effective_n", F.lit(0)) < spec.min_days)
@@ -80,13 +79,12 @@ def enrich_summary(summary: DataFrame, broad: DataFrame, fired: DataFrame, spec:
     if designs is None:
         traded = fired.groupBy(*fired_keys).agg(F.count(F.lit(1)).alias("null_matched_days_used"))
         out = out.join(traded, fired_keys, "left").withColumns({
-            "null_days_used": F.col("null_effective_n"), "null_days_requested": F.lit(spec.sample_days),
-            **{n: F.lit(None).cast(t) for n, t in (("null_design", "string"), ("null_days_exhausted", "boolean"),
+            "null_days_used": F.col("null_effective_n"), **{n: F.lit(None).cast(t) for n, t in (("null_days_requested", "int"), ("null_design", "string"), ("null_days_exhausted", "boolean"),
                                                    ("null_day_sampling", "string"), ("null_seed", "bigint"))}})
     else:
         out = out.join(designs, FAMILY, "left")
     out = out.withColumn("multiplicity_stat", F.lit("bootstrap_studentized_net_mean"))
-    null_t, obs_t = studentise(b_means, summary, VARIANT, obs)
+    null_t, obs_t = studentise(b_means, b_stats, summary, VARIANT, obs)
     null_t = cut(null_t)
     return attach_multiplicity(out, null_t, obs_t, VARIANT, FAMILY), null_t
 

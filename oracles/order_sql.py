@@ -416,23 +416,31 @@ SELECT {SET}, trades, a1 AS total_pnl_usd FROM pa WHERE trades >= {MIN_N} ORDER
 
 # --- resampling --------------------------------------------------------------------------------
 
-DRAWS = 1000
+DRAWS = 20_000
+ROW_DRAWS = 1000
 CI_DRAWS = 1000
 IID_DRAWS = 10_000
 
 
 def boot_ctes(p: str, days: str, keys: str, groups: str, n_blocks: str, seed_sql: str, draws: int, block: int = 5) -> None:
-    """``{p}b``: (group keys, draw, mean_r). ``days`` has keys, date, n, total; ``groups`` has the group
-    rows with ``keys`` and whatever ``n_blocks`` needs besides nd and n_trades."""
-    cte(f"{p}l", f"""
-SELECT {keys}, list_concat([0::BIGINT], list(pn ORDER BY date)) AS pn, list_concat([0.0::DOUBLE], list(ps ORDER BY date)) AS ps,
-  count(*) AS nd, max(pn) AS n_trades FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY {keys} ORDER BY date) AS BIGINT) AS pn,
-    sum(total) OVER (PARTITION BY {keys} ORDER BY date) AS ps FROM {days}) GROUP BY ALL""")
+    """``{p}k``: the group rows with a number gid; ``{p}m``: (gid, draw, mean_r). ``days`` has keys, date, n, total; ``groups`` has
+    the group rows with ``keys`` and whatever ``n_blocks`` needs besides nd and n_trades."""
+    cte(f"{p}s", f"""
+SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY date) - 1 AS st, count(*) OVER (PARTITION BY {keys}) AS nd,
+  sum(n) OVER (PARTITION BY {keys}) AS n_trades,
+  sum(n) OVER (PARTITION BY {keys} ORDER BY date ROWS BETWEEN CURRENT ROW AND {block - 1} FOLLOWING) AS bn,
+  sum(total) OVER (PARTITION BY {keys} ORDER BY date ROWS BETWEEN CURRENT ROW AND {block - 1} FOLLOWING) AS bs FROM {days}""")
+    cte(f"{p}p", f"SELECT *, row_number() OVER () AS pid FROM (SELECT DISTINCT {keys}, nd, n_trades FROM {p}s)")
+    cte(f"{p}b", f"SELECT pid, st, bn, bs FROM {p}s JOIN (SELECT {keys}, pid FROM {p}p) USING ({keys})")
     cte(f"{p}k", f"""
-SELECT *, least({block}, nd) AS w, CAST({n_blocks} AS BIGINT) AS k, {seed_sql} AS sd FROM {groups} JOIN {p}l USING ({keys})""")
-    cte(f"{p}g", f"""
-SELECT *, CAST({draw("sd", "d * k + blk")} % (nd - w + 1) AS BIGINT) AS st FROM (
-  SELECT *, unnest(range(k)) AS blk FROM (SELECT *, unnest(range({draws})) AS d FROM {p}k))""")
+SELECT *, least({block}, nd) AS w, CAST({n_blocks} AS BIGINT) AS k, {seed_sql} AS sd, row_number() OVER () AS gid
+FROM {groups} JOIN {p}p USING ({keys})""")
+    cte(f"{p}m", f"""
+SELECT gid, CAST(d AS INTEGER) AS draw, sum(bs) / sum(bn) AS mean_r FROM (
+  SELECT gid, d, pid, CAST({draw("sd", f"d * {1 << 20} + blk")} % (nd - w + 1) AS BIGINT) AS st FROM (
+    SELECT gid, pid, nd, w, sd, d, unnest(range(k)) AS blk FROM (
+      SELECT gid, pid, nd, w, sd, k, unnest(range({draws})) AS d FROM {p}k)))
+JOIN {p}b USING (pid, st) GROUP BY gid, d""")
 
 
 POOL = "instrument, session, rr"
@@ -441,17 +449,23 @@ NB_OBS = "greatest(1, ceil(ceil(trade_count / greatest(1.0::DOUBLE, n_trades / n
 NB_OWN = "ceil(nd / least(5, nd))"
 cte("jseed", f"SELECT {seed(chr(39) + 'joint-bootstrap' + chr(39), SEED)} AS sd0")
 boot_ctes("nm", "pd", POOL, f"(SELECT {V}, trade_count FROM vs)", NB_OBS, "(SELECT sd0 FROM jseed)", DRAWS)
-cte("nmm", f"""
-SELECT {V}, CAST(d AS INTEGER) AS draw, sum(ps[st + w + 1] - ps[st + 1]) / sum(pn[st + w + 1] - pn[st + 1]) AS mean_r
-FROM nmg GROUP BY {V}, d""")
-add("null_draw_means", f"SELECT {V}, draw, mean_r FROM nmm", "rr mean_r")
-cte("npv", f"""
-SELECT {V}, (1 + count(*) FILTER (mean_r - expectancy_net_r > 1e-12) + 0.5 * count(*) FILTER (abs(mean_r - expectancy_net_r) <= 1e-12)) / (1 + count(*)) AS p
-FROM nmm JOIN vs USING ({V}) GROUP BY {V}""")
+boot_ctes("n1", "pd", POOL, f"(SELECT {V}, trade_count FROM vs)", NB_OBS, "(SELECT sd0 FROM jseed)", ROW_DRAWS)
+add("null_draw_means", f"SELECT {V}, draw, mean_r FROM n1m JOIN n1k USING (gid)", "rr mean_r")
+P_VALUE = "(1 + count(*) FILTER (mean_r - expectancy_net_r > 1e-12) + 0.5 * count(*) FILTER (abs(mean_r - expectancy_net_r) <= 1e-12)) / (1 + count(*))"
+
+
+def p_cte(name: str, p: str, summary: str, out: str) -> None:
+    cte(name, f"""
+SELECT {V}, {out} FROM {p}k JOIN (SELECT gid, {P_VALUE} AS {out} FROM {p}m JOIN (
+  SELECT gid, expectancy_net_r FROM {p}k JOIN (SELECT {V}, expectancy_net_r FROM {summary}) USING ({V})) USING (gid) GROUP BY gid) USING (gid)""")
+
+
+p_cte("npv", "nm", "vs", "p")
 add("mc_pvalues", f"SELECT {V}, p AS p_value FROM npv", "rr p_value")
 add("null_summaries", f"""
-SELECT {V}, avg(mean_r) AS null_mean, quantile_cont(mean_r, 0.95) AS null_p95, stddev_pop(mean_r) AS null_std,
-  count(mean_r) AS null_draws FROM nmm GROUP BY {V}""", "rr null_mean null_p95 null_std")
+SELECT {V}, null_mean, null_p95, null_std, null_draws FROM nmk JOIN (SELECT gid, avg(mean_r) AS null_mean,
+  quantile_cont(mean_r, 0.95) AS null_p95, stddev_pop(mean_r) AS null_std, count(mean_r) AS null_draws FROM nmm GROUP BY gid)
+USING (gid)""", "rr null_mean null_p95 null_std")
 cte("ci0", f"SELECT {POOL}, date, count(*) AS n, sum(gross_r) AS total FROM el GROUP BY ALL")
 boot_ctes("ci", "ci0", POOL, f"(SELECT DISTINCT {POOL} FROM el)", NB_OWN,
           seed("instrument || '|' || session || '|' || CAST(rr AS VARCHAR)", SEED), CI_DRAWS)
@@ -460,13 +474,11 @@ for _p, _name, _keys in (("cv", "variant_interval", V), ("cr", "regime_interval"
     boot_ctes(_p, f"{_p}0", _keys, f"(SELECT DISTINCT {_keys} FROM el)", NB_OWN,
               seed("concat_ws('|', " + ", ".join(f"CAST({k} AS VARCHAR)" for k in _keys.split(", ")) + ")", SEED), CI_DRAWS)
     add(_name, f"""
-SELECT {_keys}, quantile_cont(m, 0.025) AS ci_lo, quantile_cont(m, 0.975) AS ci_hi FROM (
-  SELECT {_keys}, d, sum(ps[st + w + 1] - ps[st + 1]) / sum(pn[st + w + 1] - pn[st + 1]) AS m FROM {_p}g GROUP BY {_keys}, d)
-GROUP BY ALL""", "rr ci_lo ci_hi")
+SELECT {_keys}, ci_lo, ci_hi FROM {_p}k JOIN (SELECT gid, quantile_cont(mean_r, 0.025) AS ci_lo,
+  quantile_cont(mean_r, 0.975) AS ci_hi FROM {_p}m GROUP BY gid) USING (gid)""", "rr ci_lo ci_hi")
 add("bootstrap_interval", f"""
-SELECT {POOL}, quantile_cont(m, 0.025) AS ci_lo, quantile_cont(m, 0.975) AS ci_hi FROM (
-  SELECT {POOL}, d, sum(ps[st + w + 1] - ps[st + 1]) / sum(pn[st + w + 1] - pn[st + 1]) AS m FROM cig GROUP BY {POOL}, d)
-GROUP BY {POOL}""", "rr ci_lo ci_hi")
+SELECT {POOL}, ci_lo, ci_hi FROM cik JOIN (SELECT gid, quantile_cont(mean_r, 0.025) AS ci_lo,
+  quantile_cont(mean_r, 0.975) AS ci_hi FROM cim GROUP BY gid) USING (gid)""", "rr ci_lo ci_hi")
 cte("jk", f"""
 SELECT {POOL}, count(*) AS days, CASE WHEN count(*) >= 2 THEN sqrt((count(*) - 1) / count(*) * sum((est - m) ** 2)) END AS jackknife_se
 FROM (SELECT *, avg(est) OVER (PARTITION BY {POOL}) AS m FROM (SELECT {POOL}, date, (sum(total) OVER w - total) /
@@ -476,27 +488,39 @@ cte("fd", f"""
 SELECT {FAM}, rr, date, n, total FROM pd JOIN (SELECT DISTINCT {FAM}, date FROM el) USING (instrument, session, date)""")
 add("fired_day_pools", f"""
 SELECT {FAM}, rr, count(*) AS days, CAST(sum(n) AS BIGINT) AS trades, sum(total) AS total FROM fd GROUP BY ALL""", "rr total")
-cte("mom", f"SELECT {V}, avg(mean_r) AS m, stddev_pop(mean_r) AS s FROM nmm GROUP BY {V}")
-cte("nt", f"SELECT {V}, draw, (mean_r - m) / nullif(s, 0) AS t FROM nmm JOIN mom USING ({V})")
-cte("ot", f"SELECT {V}, (expectancy_net_r - m) / nullif(s, 0) AS t FROM vs LEFT JOIN mom USING ({V})")
+cte("fid", f"SELECT {FAM}, row_number() OVER () AS fid FROM (SELECT DISTINCT {FAM} FROM vs)")
+cte("gf", f"SELECT {V}, gid, fid FROM nmk JOIN fid USING ({FAM})")
+
+
+def t_ctes(p: str, suffix: str) -> None:
+    """Studentised draws of the variants (gid) and their maxima over families (fid)."""
+    cte(f"mom{suffix}", f"SELECT gid, avg(mean_r) AS m, stddev_pop(mean_r) AS s FROM {p}m GROUP BY gid")
+    cte(f"nt{suffix}", f"SELECT gid, draw, (mean_r - m) / nullif(s, 0) AS t FROM {p}m JOIN mom{suffix} USING (gid)")
+    cte(f"fnt{suffix}", f"SELECT fid, draw, max(t) AS t FROM nt{suffix} JOIN (SELECT gid, fid FROM {p}k JOIN fid USING ({FAM})) USING (gid) GROUP BY ALL")
+
+
+t_ctes("nm", "")
+t_ctes("n1", "1")
+cte("ot", f"SELECT {V}, (expectancy_net_r - m) / nullif(s, 0) AS t FROM vs LEFT JOIN (SELECT {V}, m, s FROM nmk JOIN mom USING (gid)) USING ({V})")
 add("studentised_observed", f"SELECT {V}, t FROM ot", "rr t")
-cte("fnt", f"SELECT {FAM}, draw, max(t) AS t FROM nt GROUP BY ALL")
 cte("fot", f"SELECT {FAM}, max(t) AS t FROM ot GROUP BY ALL")
-add("family_maxima", f"SELECT {FAM}, draw, t FROM fnt", "t")
+add("family_maxima", f"SELECT {FAM}, draw, t FROM fnt1 JOIN fid USING (fid)", "t")
 
 
-def maxt_ctes(p: str, null: str, obs: str, keys: str) -> None:
-    cte(f"{p}1", f"SELECT {keys}, t AS obs, row_number() OVER (ORDER BY t DESC, {keys}) AS rank FROM {obs} WHERE t IS NOT NULL")
+def maxt_ctes(p: str, null: str, obs: str, keys: str, ids: str, number: str) -> None:
+    cte(f"{p}1", f"""
+SELECT {keys}, {number}, obs, rank FROM (SELECT {keys}, t AS obs, row_number() OVER (ORDER BY t DESC, {keys}) AS rank FROM {obs} WHERE t IS NOT NULL)
+JOIN {ids} USING ({keys})""")
     cte(f"{p}2", f"""
-SELECT {keys}, rank, obs, max(t) OVER (PARTITION BY draw ORDER BY rank DESC) AS tail FROM {null} JOIN {p}1 USING ({keys})""")
+SELECT rank, obs, max(t) OVER (PARTITION BY draw ORDER BY rank DESC) AS tail FROM {null} JOIN (SELECT {number}, rank, obs FROM {p}1) USING ({number})""")
     cte(f"{p}", f"""
-SELECT {keys}, CAST(rank AS INTEGER) AS rank, obs AS t, max(p) OVER (ORDER BY rank) AS p_adj FROM (
-  SELECT {keys}, rank, obs, CASE WHEN count(tail) > 0 THEN (1 + count(*) FILTER (tail >= obs)) / (1 + count(tail)) ELSE 1 END AS p
-  FROM {p}2 GROUP BY {keys}, rank, obs)""")
+SELECT {keys}, CAST(rank AS INTEGER) AS rank, obs AS t, max(p) OVER (ORDER BY rank) AS p_adj FROM {p}1 JOIN (
+  SELECT rank, CASE WHEN count(tail) > 0 THEN (1 + count(*) FILTER (tail >= obs)) / (1 + count(tail)) ELSE 1 END AS p
+  FROM {p}2 GROUP BY rank) USING (rank)""")
 
 
-maxt_ctes("fmx", "fnt", "fot", FAM)
-maxt_ctes("vmx", "nt", "ot", V)
+maxt_ctes("fmx", "fnt", "fot", FAM, "fid", "fid")
+maxt_ctes("vmx", "nt", "ot", V, "gf", "gid")
 add("maxt_stepdown", f"SELECT {FAM}, rank, t, p_adj FROM fmx", "t p_adj")
 cte("q0", "SELECT quantile_cont(t, 0.5) AS split FROM fnt")
 cte("q1", "SELECT least(1, greatest(0, (count(*) FILTER (t <= split)) / (0.5 * count(*)))) AS pi0 FROM fot CROSS JOIN q0 WHERE t IS NOT NULL")
@@ -512,14 +536,10 @@ SELECT bin, count(*) AS draws, lo + bin * (hi - lo) / 10 AS bin_low FROM (
   FROM mxn CROSS JOIN (SELECT min(max_t) AS lo, max(max_t) AS hi FROM mxn)) GROUP BY bin, lo, hi""", "bin_low")
 cte("jseedf", f"SELECT {seed(chr(39) + 'joint-bootstrap-fired' + chr(39), SEED)} AS sd0")
 boot_ctes("nf", "fd", V, f"(SELECT {V}, trade_count FROM vs)", NB_OBS, "(SELECT sd0 FROM jseedf)", DRAWS)
-cte("nfm", f"""
-SELECT {V}, d AS draw, sum(ps[st + w + 1] - ps[st + 1]) / sum(pn[st + w + 1] - pn[st + 1]) AS mean_r FROM nfg GROUP BY {V}, d""")
-cte("npf", f"""
-SELECT {V}, (1 + count(*) FILTER (mean_r - expectancy_net_r > 1e-12) + 0.5 * count(*) FILTER (abs(mean_r - expectancy_net_r) <= 1e-12)) / (1 + count(*)) AS pf
-FROM nfm JOIN vs USING ({V}) GROUP BY {V}""")
+p_cte("npf", "nf", "vs", "pf")
 cte("mult", f"""
 SELECT {V}, p AS null_p_broad, pf AS null_p_matched, nx.null_exp_mean, nx.null_exp_p95, pl.null_effective_n, pl.null_pool_trades,
-  jackknife_se AS null_mean_jackknife_se, coalesce(null_effective_n, 0) < 100 AS null_unreliable,
+  jackknife_se AS null_mean_jackknife_se, coalesce(null_effective_n, 0) < 250 AS null_unreliable,
   fx.p_adj AS "p_adj_maxT", q_fdr, vx2.p_adj AS "p_adj_maxT_variant",
   (SELECT quantile_cont(max_t, 0.95) FROM mxn) AS "maxT_hurdle_95",
   (SELECT max(t) FROM fot) - (SELECT avg(max_t) FROM mxn) AS selection_adjusted_best_stat,
@@ -527,11 +547,11 @@ SELECT {V}, p AS null_p_broad, pf AS null_p_matched, nx.null_exp_mean, nx.null_e
   ek AS multiplicity_effective_k, fx.t AS t_family_obs, null_bootstrap_k,
   coalesce(top5pct_day_pnl_share <= 0.4::DOUBLE AND n_windows_positive >= ceil(0.7::DOUBLE * n_windows_observed), false) AS breadth_pass
 FROM vs LEFT JOIN npv USING ({V}) LEFT JOIN npf USING ({V})
-LEFT JOIN (SELECT {V}, avg(mean_r) AS null_exp_mean, quantile_cont(mean_r, 0.95) AS null_exp_p95, count(mean_r) AS null_bootstrap_k
-  FROM nmm GROUP BY {V}) nx USING ({V})
+LEFT JOIN (SELECT {V}, null_exp_mean, null_exp_p95, null_bootstrap_k FROM nmk JOIN (SELECT gid, avg(mean_r) AS null_exp_mean,
+  quantile_cont(mean_r, 0.95) AS null_exp_p95, count(mean_r) AS null_bootstrap_k FROM nmm GROUP BY gid) USING (gid)) nx USING ({V})
 LEFT JOIN (SELECT {POOL}, CAST(sum(n) AS BIGINT) AS null_pool_trades, count(*) AS null_effective_n FROM pd GROUP BY ALL) pl USING ({POOL})
 LEFT JOIN jk USING ({POOL}) LEFT JOIN fmx fx USING ({FAM}) LEFT JOIN (SELECT {FAM}, q_fdr FROM fdr) USING ({FAM})
-LEFT JOIN vmx vx2 USING ({V}) LEFT JOIN (SELECT {FAM}, count(t) AS ek FROM fnt GROUP BY ALL) USING ({FAM})""")
+LEFT JOIN vmx vx2 USING ({V}) LEFT JOIN (SELECT {FAM}, ek FROM fid JOIN (SELECT fid, count(t) AS ek FROM fnt GROUP BY ALL) USING (fid)) USING ({FAM})""")
 cte("mults", """SELECT *, coalesce("p_adj_maxT" <= 0.05, false) AND breadth_pass AS survivor FROM mult""")
 add("multiplicity", "SELECT * EXCLUDE (t_family_obs, null_bootstrap_k) FROM mults",
     'rr null_p_broad null_p_matched null_exp_mean null_exp_p95 null_mean_jackknife_se "p_adj_maxT" q_fdr "p_adj_maxT_variant" '
@@ -605,8 +625,7 @@ SELECT {V}, trade_count FROM (SELECT *, row_number() OVER (PARTITION BY instrume
 cte("ib0", "SELECT 1 AS one, row_number() OVER (ORDER BY instrument, session) AS date, 1 AS n, avg(net_r) AS total FROM el GROUP BY instrument, session")
 boot_ctes("ib", "ib0", "one", "(SELECT 1 AS one)", "nd", "0", IID_DRAWS, block=1)
 add("iid_bootstrap", """
-SELECT quantile_cont(m, 0.025) AS ci_lo, quantile_cont(m, 0.975) AS ci_hi FROM (
-  SELECT d, sum(ps[st + w + 1] - ps[st + 1]) / sum(pn[st + w + 1] - pn[st + 1]) AS m FROM ibg GROUP BY d)""", "ci_lo ci_hi")
+SELECT quantile_cont(mean_r, 0.025) AS ci_lo, quantile_cont(mean_r, 0.975) AS ci_hi FROM ibm""", "ci_lo ci_hi")
 
 # --- holdout -----------------------------------------------------------------------------------
 
@@ -616,11 +635,7 @@ cte("hout", "SELECT * FROM mk WHERE date >= DATE '2000-01-01'")
 metric_ctes("h", V, "hine", "hin")
 cte("hpd", f"SELECT {POOL}, date, count(*) AS n, sum(net_r) AS total FROM hine GROUP BY ALL")
 boot_ctes("hn", "hpd", POOL, f"(SELECT {V}, trade_count FROM hs)", NB_OBS, "(SELECT sd0 FROM jseed)", DRAWS)
-cte("hnm", f"""
-SELECT {V}, d AS draw, sum(ps[st + w + 1] - ps[st + 1]) / sum(pn[st + w + 1] - pn[st + 1]) AS mean_r FROM hng GROUP BY {V}, d""")
-cte("hpv", f"""
-SELECT {V}, (1 + count(*) FILTER (mean_r - expectancy_net_r > 1e-12) + 0.5 * count(*) FILTER (abs(mean_r - expectancy_net_r) <= 1e-12)) / (1 + count(*)) AS null_p_value
-FROM hnm JOIN hs USING ({V}) GROUP BY {V}""")
+p_cte("hpv", "hn", "hs", "null_p_value")
 cte("hsv", f"""
 SELECT {V}, trade_count, expectancy_net_r, null_p_value FROM hs LEFT JOIN hpv USING ({V})
 WHERE trade_count >= 3 AND expectancy_net_r > 0 AND null_p_value < 0.5""")

@@ -27,7 +27,7 @@ def test_block_bootstrap_equals_the_plain_loop(spark):
                                  F.lit(seed).cast("bigint"), 5, chunk=7), "draw")
     k = 3  # ceil(13 / 5)
     for b in range(draws):
-        starts = [draw(seed, b * k + j) % (13 - width + 1) for j in range(k)]
+        starts = [draw(seed, b * R.STRIDE + j) % (13 - width + 1) for j in range(k)]
         sample = np.concatenate([per_day[d] for s in starts for d in range(s, s + width)])
         assert got[b]["mean_r"] == pytest.approx(sample.mean(), rel=1e-12)
 
@@ -45,9 +45,11 @@ def test_single_day_gives_the_point_value(spark):
 
 
 def test_p_value_and_jackknife(spark):
-    means = spark.createDataFrame([("g", i, v) for i, v in enumerate([0.1, 0.2, 0.2, 0.3])], "k string, draw int, mean_r double")
+    means = spark.createDataFrame([("g", 0, [0.1, 0.2]), ("g", 1, [0.2, 0.3])], "k string, chunk int, means array<double>")
     obs = spark.createDataFrame([("g", 0.2)], "k string, obs double")
-    assert R.mc_p_value(means, obs, ["k"], "obs").first().p_value == pytest.approx((1 + 1 + 1) / 5)
+    got = R.vector_stats(means, ["k"], obs, "obs").first()
+    assert got.p_value == pytest.approx((1 + 1 + 1) / 5) and got.null_draws == 4
+    assert got.null_p95 == pytest.approx(np.quantile([0.1, 0.2, 0.2, 0.3], 0.95))
     days = spark.createDataFrame([("g", i, n, s) for i, (n, s) in enumerate([(1, 1.0), (2, 0.5), (3, -2.0)])],
                                  "k string, date int, n long, total double")
     n, s = np.array([1, 2, 3.0]), np.array([1.0, 0.5, -2.0])
@@ -57,8 +59,9 @@ def test_p_value_and_jackknife(spark):
 
 
 def _null(spark, null, obs):
-    n = spark.createDataFrame([(b, i, float(v)) for b, row in enumerate(null) for i, v in enumerate(row)],
-                              "draw int, id int, t double")
+    chunks = [(c, i, [float(v) for v in null[c * 30:(c + 1) * 30, i]]) for c in range(3) for i in range(len(obs))]
+    chunks += [(c, len(obs), None) for c in range(3)]  # a hypothesis without spread
+    n = spark.createDataFrame(chunks, "chunk int, id int, t array<double>").repartition(5)
     o = spark.createDataFrame([(i, float(v)) for i, v in enumerate(obs)], "id int, t double")
     return n, o
 
