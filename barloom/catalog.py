@@ -24,6 +24,7 @@ from barloom.operators.journal import build_journal
 from barloom.operators.session_days import opening_ranges, session_bars, session_quality
 from barloom.operators.sizing import size_by_mode, size_trades
 from barloom.params import FAMILY, INVALID_REASONS, RR_LEVELS, SETUP, VARIANT, inline_table
+from barloom.plans import carry
 from barloom.plans import diagnostics as M
 from barloom.plans import equity as EQ
 from barloom.plans import holdout as HO
@@ -85,6 +86,12 @@ def _marked(spark, d):
     return H.mark_eligibility(order_outcomes(spark, d))
 
 
+def _context_bars(spark, d):
+    """Event bars with volatility, previous close and daily features."""
+    b = event_bars(spark, d)
+    return B.enrich_bars(B.attach_atr(b), B.daily_from_bars(b))
+
+
 def _eligible(spark, d):
     return _marked(spark, d).filter("eligible")
 
@@ -394,6 +401,31 @@ def journal_rows(spark, d):
         "contract_changed_in_session", "contract_changed_since_prev_session", "pct_bars_from_local")
 
 
+@query
+def journal_context(spark, d):
+    """The context columns of the journal: volatility and previous close at the open, and the target against the volatility."""
+    j = build_journal(build_days(_context_bars(spark, d), EVENT_GRID), EVENT_GRID, EVENT_MARKET)
+    return j.select("date", "instrument", "session", "range_minutes", "entry_mode", "closure_tf", "direction", "rr", "atr_4h",
+                    "tp_to_atr_ratio", "atr_exceeds_cap", "prev_close", "gap_ticks", "parkinson_vol_14d", "realized_vol_14d",
+                    "context_bars_available", "gross_usd", "mae_r", "mfe_r", "tp_price", "sl_distance_ticks", "fill_at_bar_close")
+
+
+BAR_HOLDOUT = "2024-01-20"
+
+
+@query
+def holdout_from_bars(spark, d):
+    """Holdout bars to variant results. The run knows the history only from the state that the in-sample run left."""
+    b = event_bars(spark, d)
+    state = {k: cut(v) for k, v in carry.run_state(b, BAR_HOLDOUT, EVENT_GRID).items()}
+    days = carry.later_days(C.holdout(b, BAR_HOLDOUT), state, BAR_HOLDOUT, EVENT_GRID)
+    marked = H.mark_eligibility(_event_journal(spark, d, days), strict=True).filter("eligible")
+    context = marked.groupBy(*VARIANT).agg(
+        F.count_if("atr_exceeds_cap").alias("capped"), F.avg("tp_to_atr_ratio").alias("tp_to_atr"), F.sum("gap_ticks").alias("gap_ticks"),
+        F.avg("realized_vol_14d").alias("realized_vol"), F.avg("parkinson_vol_14d").alias("parkinson_vol"))
+    return HO.holdout_aggregate(marked).join(context, VARIANT)
+
+
 @query
 def event_journal_summary(spark, d):
     """Bars to variant metrics in one plan."""
@@ -784,7 +816,7 @@ def spearman(spark, d):
 
 @query
 def pareto(spark, d):
-    x = _gated(spark, d).withColumn("total_pnl_usd", F.round("total_pnl_usd", 8))
+    x = cut(_gated(spark, d).withColumn("total_pnl_usd", F.round("total_pnl_usd", 8)))
     return N.pareto_frontier(x).select(*SETUP, *N.PARETO_AXES)
 
 
@@ -873,11 +905,14 @@ def leg_summary(spark, d):
     return HO.leg_summary(HO.candidate_legs(H.fillable_trades(ins), H.fillable_trades(out), cand))
 
 
-def _curve(spark, d):
-    x = H.fillable_trades(order_outcomes(spark, d)).withColumn(
+def _curve_trades(spark, d):
+    return H.fillable_trades(order_outcomes(spark, d)).withColumn(
         "entry_ts", F.col("date").cast("timestamp_ntz") + F.make_dt_interval(
             F.lit(0), F.lit(0), F.col("bars_from_open_to_entry").cast("int")))
-    return EQ.equity_curve(x)
+
+
+def _curve(spark, d):
+    return EQ.equity_curve(_curve_trades(spark, d))
 
 
 @query
@@ -885,6 +920,14 @@ def equity_curve(spark, d):
     return _curve(spark, d).select(*SETUP, "signal_id", "seq", "net_r", "cum_r", "cum_usd", "peak_cum_r")
 
 
+@query
+def phased_curve(spark, d):
+    """One curve per setup over both phases, from in-sample trades and holdout trades that come as tables of their own."""
+    trades, start = _curve_trades(spark, d), F.lit(HOLDOUT).cast("date")
+    both = EQ.with_phase(trades.filter(F.col("date") < start), trades.filter(F.col("date") >= start))
+    return EQ.equity_curve(both).select(*SETUP, "phase", "signal_id", "seq", "cum_r", "cum_usd", "peak_cum_usd")
+
+
 @query
 def curve_stats(spark, d):
     return EQ.curve_stats(_curve(spark, d), holdout_start=HOLDOUT)
@@ -974,6 +1017,37 @@ def event_control_mix(spark, d):
     return M.event_mix(H.valid_exits(j), controls, ["instrument", "session", "direction", "rr"])
 
 
+@query
+def event_control_mix_matched(spark, d):
+    """Observed events next to controls whose stops come from the family's own pool."""
+    ev, j = _event_controls(spark, d, "matched")
+    controls = H.valid_exits(K.label_controls(ev, EVENT_GRID, EVENT_MARKET))
+    return M.event_mix(H.valid_exits(j), controls, ["instrument", "session", "direction", "rr"])
+
+
+@query
+def null_rate_comparison(spark, d):
+    """Significance rates of a sample of variants against swing and matched controls on the same drawn bars."""
+    days = cut(_days(spark, d))
+    j = cut(H.mark_eligibility(_event_journal(spark, d, days), strict=True))
+    sample = cut(K.stratified_variants(J.variant_summary(j), ["instrument", "rr"], 2, 60, VARIANT)
+                 .select(*VARIANT, "trade_count", "expectancy_net_r"))
+    pools = K.stop_pools(H.valid_exits(j))
+    picks = cut(j.join(sample.select(*FAMILY).distinct(), FAMILY, "left_semi").select(
+        *FAMILY, F.col("date").alias("local_date")).distinct().join(pools, FAMILY))
+    swing, matched = (K.label_controls(K.control_events(days, picks, EVENT_GRID, design, "fired"), EVENT_GRID, EVENT_MARKET)
+                      for design in ("swing", "matched"))
+    pairs = cut(M.paired_controls(swing, matched).join(sample.select(*VARIANT), VARIANT, "left_semi"))
+    p = []
+    for design in ("swing", "matched"):
+        daily = pairs.groupBy(*VARIANT, F.col("local_date").alias("date")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum(f"net_r_{design}").alias("total"))
+        vectors = null_vectors(sample, daily, VARIANT, SPEC, "joint-bootstrap")
+        p.append(R.vector_stats(vectors, VARIANT, sample, "expectancy_net_r").select(*VARIANT, F.col("p_value").alias(design)))
+    gross = pairs.groupBy(*VARIANT).agg(F.avg("gross_r_swing").alias("gross_swing"), F.avg("gross_r_matched").alias("gross_matched"))
+    return M.design_rates(p[0].join(p[1], VARIANT), gross)
+
+
 @query
 def bootstrap_interval(spark, d):
     return R.bootstrap_ci(_eligible(spark, d), POOL, CI_DRAWS)

@@ -1,9 +1,9 @@
 """Ordered scans over groups of any size.
 
 A plain ``Window.partitionBy(key).orderBy(t)`` puts a whole key into one task, which fails
-when one key holds a large part of the data. These helpers cut each key into consecutive
-chunks (``chunk`` must not decrease along ``order``), scan inside (key, chunk), summarise one
-row per chunk, scan the chunk summaries, and join the carried value back.
+when one key holds a large part of the data. A scan cuts each key into consecutive
+chunks (``chunk`` must not decrease along ``order``), scans inside (key, chunk), summarises one
+row per chunk, scans the chunk summaries, and joins what comes before each chunk back, once for all values.
 """
 
 from __future__ import annotations
@@ -12,59 +12,57 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _carry(df: DataFrame, keys: list[str], chunk: str, summary: DataFrame) -> DataFrame:
-    return df.join(summary, [*keys, chunk], "left")
+def scan(df: DataFrame, keys: list[str], chunk: str, order: list[str], sums: dict[str, Column] | None = None,
+         peaks: dict[str, str] | None = None, lags: dict[str, str] | None = None, known: dict[str, str] | None = None) -> DataFrame:
+    """Adds running ``sums`` {new: expr}, running ``peaks`` {new: name of a sum} of those sums, ``lags`` {new: column} (the row before)
+    and ``known`` {new: column} (the last non-null at or before the row), all along ``order`` within ``keys``.
+
+    A chunk's summary is (sum, greatest prefix sum, last row, last known); two neighbours make (s1 + s2, max(m1, s1 + m2), ...), so
+    the summaries before a chunk fold into the one row that is joined to it.
+    """
+    sums, peaks, lags, known = sums or {}, peaks or {}, lags or {}, known or {}
+    inner = Window.partitionBy(*keys, chunk).orderBy(*order)
+    running = inner.rowsBetween(Window.unboundedPreceding, 0)
+    place = F.struct(*order)
+    x = df.withColumns({
+        **{f"_sum_{n}": F.sum(e).over(running) for n, e in sums.items()},
+        **{f"_known_{n}": F.last(c, ignorenulls=True).over(running) for n, c in known.items()},
+        **{f"_lag_{n}": F.lag(c).over(inner) for n, c in lags.items()},
+        **({"_first": F.row_number().over(inner) == 1} if lags else {}),
+    })
+    x = x.withColumns({f"_peak_{n}": F.max(f"_sum_{s}").over(running) for n, s in peaks.items()})
+    chunks = x.groupBy(*keys, chunk).agg(*[
+        *[F.sum(e).alias(f"_s_{n}") for n, e in sums.items()],
+        *[F.max(f"_peak_{n}").alias(f"_p_{n}") for n in peaks],
+        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), place)).alias(f"_k_{n}") for n, c in known.items()],
+        *([F.max_by(F.struct(*[F.col(c).alias(n) for n, c in lags.items()]), place).alias("_tail")] if lags else []),
+    ])
+    outer = Window.partitionBy(*keys).orderBy(chunk)
+    earlier = outer.rowsBetween(Window.unboundedPreceding, -1)
+    carry = chunks.withColumns({
+        **{f"_before_{n}": F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)) for n in sums},
+        **{f"_last_{n}": F.last(f"_k_{n}", ignorenulls=True).over(earlier) for n in known},
+        **({"_prev": F.lag("_tail").over(outer)} if lags else {}),
+    })
+    carry = carry.withColumns({f"_top_{n}": F.max(F.col(f"_before_{s}") + F.col(f"_p_{n}")).over(earlier) for n, s in peaks.items()})
+    carry = carry.drop(*[c for c in carry.columns if c.startswith(("_s_", "_p_", "_k_", "_tail"))])
+    out = x.join(carry, [*keys, chunk], "left")
+    made = {
+        **{n: F.col(f"_sum_{n}") + F.col(f"_before_{n}") for n in sums},
+        **{n: F.greatest(F.col(f"_peak_{n}") + F.col(f"_before_{s}"), F.col(f"_top_{n}")) for n, s in peaks.items()},
+        **{n: F.coalesce(f"_known_{n}", f"_last_{n}") for n in known},
+        **{n: F.when(F.col("_first"), F.col("_prev")[n]).otherwise(F.col(f"_lag_{n}")) for n in lags},
+    }
+    return out.select(*df.columns, *[c.alias(n) for n, c in made.items()])
 
 
 def scan_lag(df: DataFrame, keys: list[str], chunk: str, order: list[str],
              values: dict[str, str]) -> DataFrame:
     """Add ``{new: previous row's old}`` along ``order`` within ``keys``."""
-    inner = Window.partitionBy(*keys, chunk).orderBy(*order)
-    outer = Window.partitionBy(*keys).orderBy(chunk)
-    key_of = F.struct(*order)
-    tails = df.groupBy(*keys, chunk).agg(
-        F.max_by(F.struct(*values.values()), key_of).alias("_tail"))
-    tails = tails.withColumn("_prev", F.lag("_tail").over(outer)).drop("_tail")
-    out = _carry(df.withColumn("_first", F.row_number().over(inner) == 1), keys, chunk, tails)
-    for new, old in values.items():
-        out = out.withColumn(
-            new, F.when(F.col("_first"), F.col("_prev")[old]).otherwise(F.lag(old).over(inner)))
-    return out.drop("_first", "_prev")
+    return scan(df, keys, chunk, order, lags=values)
 
 
 def scan_last_known(df: DataFrame, keys: list[str], chunk: str, order: list[str],
                     value: str, new: str) -> DataFrame:
     """Forward fill: the last non-null ``value`` at or before each row."""
-    inner = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    outer = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    tails = df.groupBy(*keys, chunk).agg(
-        F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_tail"))
-    tails = tails.withColumn("_known", F.last("_tail", ignorenulls=True).over(outer)).drop("_tail")
-    out = df.withColumn("_here", F.last(value, ignorenulls=True).over(inner))
-    out = _carry(out, keys, chunk, tails)
-    return out.withColumn(new, F.coalesce("_here", "_known")).drop("_here", "_known")
-
-
-def scan_sum(df: DataFrame, keys: list[str], chunk: str, order: list[str],
-             values: dict[str, Column]) -> DataFrame:
-    """Add running sums ``{new: running sum of expr}`` along ``order`` within ``keys``."""
-    inner = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    outer = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    sums = df.groupBy(*keys, chunk).agg(*[F.sum(e).alias(f"_s_{n}") for n, e in values.items()])
-    for n in values:
-        sums = sums.withColumn(f"_before_{n}", F.sum(f"_s_{n}").over(outer)).drop(f"_s_{n}")
-    out = _carry(df, keys, chunk, sums)
-    for n, e in values.items():
-        out = out.withColumn(n, F.sum(e).over(inner) + F.coalesce(f"_before_{n}", F.lit(0)))
-    return out.drop(*[f"_before_{n}" for n in values])
-
-
-def scan_max(df: DataFrame, keys: list[str], chunk: str, order: list[str],
-             value: str, new: str) -> DataFrame:
-    """Running maximum of ``value`` along ``order`` within ``keys``."""
-    inner = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    outer = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    tops = df.groupBy(*keys, chunk).agg(F.max(value).alias("_top"))
-    tops = tops.withColumn("_before", F.max("_top").over(outer)).drop("_top")
-    out = _carry(df, keys, chunk, tops)
-    return out.withColumn(new, F.greatest(F.max(value).over(inner), F.col("_before"))).drop("_before")
+    return scan(df, keys, chunk, order, known={new: value})

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import ratio
@@ -136,49 +136,84 @@ def four_hour_bars(bars: DataFrame) -> DataFrame:
 
 
 def true_range(bars: DataFrame, order: str) -> DataFrame:
+    """``tr``; a column ``_close``, if there is one, is the close before an instrument's first bar."""
     prev = F.lag("c").over(Window.partitionBy("instrument").orderBy(order))
+    if "_close" in bars.columns:
+        prev = F.coalesce(prev, F.col("_close"))
     return bars.withColumn("_pc", prev).withColumn(
         "tr", F.when(F.col("_pc").isNotNull(), F.greatest(
             F.col("h") - F.col("l"), F.abs(F.col("h") - F.col("_pc")),
             F.abs(F.col("l") - F.col("_pc"))))).drop("_pc")
 
 
-def wilder_atr(bars4h: DataFrame, order: str = "bin", period: int = ATR_PERIOD) -> DataFrame:
-    """Wilder average of the true range, and its value at the previous bin.
+def _wilder(bars4h: DataFrame, order: str, period: int, start: DataFrame | None) -> DataFrame:
+    """Adds tr, _seen (ranges so far) and _value, the running Wilder average from the first range on.
 
-    Ranges are cut into chunks of EWM_CHUNK. Inside a chunk the recursion is folded as the affine map
-    (factor, offset) of the value before the chunk; the maps of the earlier chunks, one row each, give that value.
+    Ranges are cut into chunks of EWM_CHUNK. Inside a chunk the average is keep**k times (the value before the chunk plus
+    the running sum of tr * keep**-j / period), one window sum. A chunk as a whole is the affine map (factor, offset) of the value
+    before it; the maps of the earlier chunks, one row each, give that value. ``start`` has, per instrument, the value, the
+    number of ranges and the close that an earlier run ended with.
     """
     keep = F.lit((period - 1) / period)
     w = Window.partitionBy("instrument").orderBy(order)
     running = w.rowsBetween(Window.unboundedPreceding, 0)
-    x = true_range(bars4h, order).withColumn("_seen", F.count("tr").over(running)).withColumn(
-        "_chunk", F.floor((F.greatest(F.col("_seen"), F.lit(1)) - 1) / EWM_CHUNK))
-    own = F.collect_list(F.col("tr").cast("double")).over(
-        Window.partitionBy("instrument", "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    x = x.withColumn("_tr", own).withColumn("_map", F.struct(
-        F.pow(keep, F.size("_tr")).alias("factor"),
-        F.aggregate("_tr", F.lit(0.0), lambda acc, r: acc * keep + r / period).alias("offset")))
+    x = bars4h
+    if start is not None:
+        x = x.join(start.select("instrument", F.col("value").alias("_from"), F.col("seen").alias("_earlier"), F.col("close").alias("_close")),
+                   "instrument", "left")
+    else:
+        x = x.withColumns({"_from": F.lit(None).cast("double"), "_earlier": F.lit(0).cast("bigint")})
+    x = true_range(x, order).withColumn("_here", F.count("tr").over(running)).withColumn(
+        "_chunk", F.floor((F.greatest(F.col("_here"), F.lit(1)) - 1) / EWM_CHUNK))
+    k = F.greatest(F.col("_here") - F.col("_chunk") * EWM_CHUNK, F.lit(0))
+    chunk = Window.partitionBy("instrument", "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("_k", k).withColumn("_sum", F.coalesce(F.sum(
+        F.col("tr").cast("double") * F.pow(keep, -F.col("_k")) / period).over(chunk), F.lit(0.0)))
     chunks = x.groupBy("instrument", "_chunk").agg(
-        F.max_by("_map", order).alias("_whole"), F.max_by(F.get("_tr", F.lit(0)), order).alias("_head"))
+        F.max_by(F.struct(F.pow(keep, F.col("_k")).alias("factor"), (F.pow(keep, F.col("_k")) * F.col("_sum")).alias("offset")), order).alias("_whole"),
+        F.min_by(F.col("tr").cast("double"), F.when(F.col("tr").isNotNull(), F.col(order))).alias("_head"), F.first("_from").alias("_start"))
     chain = Window.partitionBy("instrument").orderBy("_chunk")
     earlier = F.collect_list("_whole").over(chain.rowsBetween(Window.unboundedPreceding, -1))
-    start = F.first("_head").over(chain.rowsBetween(Window.unboundedPreceding, 0))
+    first = F.coalesce("_start", F.first("_head").over(chain.rowsBetween(Window.unboundedPreceding, 0)))
     chunks = chunks.withColumn("_before", F.aggregate(
-        earlier, start, lambda acc, m: acc * m["factor"] + m["offset"])).select("instrument", "_chunk", "_before")
-    value = F.col("_map.factor") * F.col("_before") + F.col("_map.offset")
-    out = x.join(chunks, ["instrument", "_chunk"]).withColumn(
-        "atr", F.when(F.col("_seen") >= period, value)).drop("_tr", "_map", "_before", "_seen", "_chunk")
-    return out.withColumn("atr_prev", F.lag("atr").over(w))
+        earlier, first, lambda acc, m: acc * m["factor"] + m["offset"])).select("instrument", "_chunk", "_before")
+    return x.join(chunks, ["instrument", "_chunk"]).withColumns({
+        "_seen": F.col("_here") + F.coalesce("_earlier", F.lit(0)),
+        "_value": F.pow(keep, F.col("_k")) * (F.col("_before") + F.col("_sum")),
+    }).drop("_here", "_chunk", "_k", "_sum", "_before", "_earlier", "_close")
 
 
-def attach_atr(bars: DataFrame) -> DataFrame:
-    """Each bar with the ATR of the last completed 4-hour bin.
+def wilder_atr(bars4h: DataFrame, order: str = "bin", period: int = ATR_PERIOD, start: DataFrame | None = None) -> DataFrame:
+    """Wilder average of the true range, and its value at the previous bin; it goes on from ``start`` if given (see atr_state)."""
+    w = Window.partitionBy("instrument").orderBy(order)
+    out = _wilder(bars4h, order, period, start)
+    out = out.withColumn("atr", F.when(F.col("_seen") >= period, F.col("_value")))
+    before = F.lag("atr").over(w)
+    if start is not None:
+        done = start.select("instrument", F.when(F.col("seen") >= period, F.col("value")).alias("_atr0"))
+        out = out.join(done, "instrument", "left")
+        before = F.when(F.row_number().over(w) == 1, F.col("_atr0")).otherwise(before)
+    return out.withColumn("atr_prev", before).drop("_seen", "_value", "_from", "_atr0")
+
+
+def atr_state(bars4h: DataFrame, order: str = "bin", period: int = ATR_PERIOD, start: DataFrame | None = None) -> DataFrame:
+    """What a later run needs to go on: per instrument the average, the number of ranges and the last close."""
+    x = _wilder(bars4h, order, period, start)
+    last = F.max_by(F.struct(F.when(F.col("_seen") > 0, F.col("_value")).alias("value"), F.col("_seen").alias("seen"),
+                             F.col("c").alias("close")), order)
+    return x.groupBy("instrument").agg(last.alias("_s")).select("instrument", "_s.*")
+
+
+def attach_atr(bars: DataFrame, start: DataFrame | None = None, since: Column | None = None) -> DataFrame:
+    """Each bar with the ATR of the last completed 4-hour bin; with ``start``, only bins from ``since`` on are made and go on from it.
 
     Every bar knows its bin, so the as-of join is an equi-join on (instrument, bin), whose keys hold at most
     a bin's bars each.
     """
-    atr = wilder_atr(four_hour_bars(bars)).select("instrument", "bin", F.col("atr_prev").alias("atr_4h"))
+    bins = four_hour_bars(bars)
+    if since is not None:
+        bins = bins.filter(F.col("bin") >= since.cast("timestamp_ntz"))
+    atr = wilder_atr(bins, start=start).select("instrument", "bin", F.col("atr_prev").alias("atr_4h"))
     return bars.withColumn("bin", four_hour_bin(F.col("ts"))).join(atr, ["instrument", "bin"], "left").drop("bin")
 
 

@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.operators.session_days import day_aggregates, day_keys, finish_days, session_bars
+from barloom.operators.session_days import (
+    contract_changes, contract_ends, day_aggregates, day_keys, finish_days, session_bars,
+)
 from barloom.params import GridSpec
 
 DIRECTIONS = ("long", "short")
@@ -53,9 +55,13 @@ def _first_idx(cond: Column) -> Column:
     return F.min(F.when(cond, F.col("idx")))
 
 
-def build_days(bars: DataFrame, grid: GridSpec, pairs: DataFrame | None = None) -> DataFrame:
-    """One row per session day: quality, ranges, event links and the day's bars."""
-    sb = session_bars(bars, grid, pairs)
+def build_days(bars: DataFrame, grid: GridSpec, pairs: DataFrame | None = None, since: str | None = None,
+               before: DataFrame | None = None) -> DataFrame:
+    """One row per session day: quality, ranges, event links and the day's bars.
+
+    With ``since``, only days from that local date on; ``before`` then has the last contract of each pair until then.
+    """
+    sb = session_bars(bars, grid, pairs, since)
     keys = day_keys(sb)
     day = Window.partitionBy(*keys)
     sides = _sides(grid)
@@ -79,7 +85,7 @@ def build_days(bars: DataFrame, grid: GridSpec, pairs: DataFrame | None = None)
             links += [_first_idx(s.active & s.closes(tf, grid)).alias(f"cc{tf}_{s.tag}"),
                       _first_idx(after & s.closes(tf, grid)).alias(f"rcc{tf}_{s.tag}")]
     days = x.groupBy(*keys).agg(*day_aggregates(x, grid), *links)
-    return finish_days(days, sb)
+    return finish_days(days, contract_changes(contract_ends(bars, grid, pairs, since), before))
 
 
 def detect_signals(days: DataFrame, grid: GridSpec) -> DataFrame:

@@ -23,6 +23,10 @@ def day_keys(df: DataFrame) -> list[str]:
     return DAY + (["regime_window"] if "regime_window" in df.columns else [])
 
 
+def _since(x: DataFrame, since: str | None) -> DataFrame:
+    return x if since is None else x.filter(F.col("local_date") >= F.lit(since).cast("date"))
+
+
 def _in_session() -> Column:
     return F.col("wall") >= F.col("open_min")
 
@@ -31,14 +35,14 @@ def _in_range(rm: int) -> Column:
     return _in_session() & (F.col("wall") < F.col("open_min") + rm)
 
 
-def session_bars(bars: DataFrame, grid: GridSpec, pairs: DataFrame | None = None) -> DataFrame:
-    """Bars of admitted session days, with index and opening ranges.
+def session_bars(bars: DataFrame, grid: GridSpec, pairs: DataFrame | None = None, since: str | None = None) -> DataFrame:
+    """Bars of admitted session days, from local date ``since`` on if given, with index and opening ranges.
 
     A day is admitted when at least one opening range is complete. Context bars before a gap
     wider than ``gap_minutes`` ahead of the open are dropped. ``idx`` counts kept bars from 0.
     All windows share one partitioning and one sort.
     """
-    x = sessionize(bars, grid, pairs)
+    x = _since(sessionize(bars, grid, pairs), since)
     day = Window.partitionBy(*day_keys(x))
     by_ts = day.orderBy("ts")
 
@@ -83,26 +87,38 @@ def opening_ranges(sb: DataFrame, grid: GridSpec) -> DataFrame:
         "range_width_ticks", F.col("range_high") - F.col("range_low"))
 
 
-def _contract_ends(sb: DataFrame) -> list[Column]:
-    known = _in_session() & F.col("contract").isNotNull()
-    return [
-        F.min_by("contract", F.when(known, F.col("ts"))).alias("first_contract"),
-        F.max_by("contract", F.when(known, F.col("ts"))).alias("last_contract"),
-    ]
+def contract_ends(bars: DataFrame, grid: GridSpec, pairs: DataFrame | None = None, since: str | None = None) -> DataFrame:
+    """First and last known contract of the session, for every admitted day.
 
-
-def contract_changes(sb: DataFrame) -> DataFrame:
+    A plain aggregate of three columns of the bars: it is combined before its exchange, so what is shuffled is days, not bars.
+    """
+    window = [c for c in ("regime_window",) if c in bars.columns]
+    x = _since(sessionize(bars.select("instrument", "ts", "contract", *window), grid, pairs), since)
+    known = F.when(_in_session() & F.col("contract").isNotNull(), F.col("ts"))
+    full = [F.count_if(_in_range(rm)) >= rm / grid.bar_minutes for rm in grid.range_minutes]
+    admitted = full[0]
+    for more in full[1:]:
+        admitted = admitted | more
+    return x.groupBy(*day_keys(x)).agg(
+        F.min_by("contract", known).alias("first_contract"), F.max_by("contract", known).alias("last_contract"),
+        admitted.alias("_admitted")).filter("_admitted").drop("_admitted")
+
+
+def contract_changes(ends: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """Per session day: did the contract change since the last admitted day that had one?
 
-    One slim row per day; the window runs over a calendar's worth of rows per pair.
+    ``before`` has, per instrument and session, the last contract of an earlier run. One slim row per day; the window runs over a
+    calendar's worth of rows per pair.
     """
-    keys = day_keys(sb)
-    days = sb.groupBy(*keys).agg(*_contract_ends(sb))
+    keys = day_keys(ends)
     history = Window.partitionBy(*[k for k in keys if k != "local_date"]).orderBy(
         "local_date").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.last("last_contract", ignorenulls=True).over(history)
-    return days.select(*keys, F.coalesce(
-        before != F.col("first_contract"), F.lit(False)).alias("changed_since"))
+    earlier = F.last("last_contract", ignorenulls=True).over(history)
+    x = ends.withColumn("_earlier", earlier)
+    if before is not None:
+        x = x.join(before.select("instrument", "session", F.col("last_contract").alias("_before")), ["instrument", "session"], "left") \
+            .withColumn("_earlier", F.coalesce("_earlier", "_before"))
+    return x.select(*keys, F.coalesce(F.col("_earlier") != F.col("first_contract"), F.lit(False)).alias("changed_since"))
 
 
 def day_aggregates(sb: DataFrame, grid: GridSpec) -> list[Column]:
@@ -131,10 +147,11 @@ def day_aggregates(sb: DataFrame, grid: GridSpec) -> list[Column]:
     ]
 
 
-def finish_days(days: DataFrame, sb: DataFrame) -> DataFrame:
-    """Adds the gap to the previous close and the contract-change flags to day rows."""
+def finish_days(days: DataFrame, changes: DataFrame) -> DataFrame:
+    """Adds the gap to the previous close and the contract-change flags to day rows. The day rows stay where they are; the slim
+    ``changes`` come to them."""
     return (
-        days.join(contract_changes(sb), day_keys(sb))
+        days.join(changes, day_keys(days))
         .withColumn("gap_ticks", F.col("open_tick") - F.col("prev_close"))
         .withColumn("changed_in", F.coalesce("_in", F.lit(False)))
         .drop("_in")

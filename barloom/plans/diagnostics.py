@@ -260,6 +260,28 @@ def event_mix(observed: DataFrame, controls: DataFrame, keys: list[str]) -> Data
         "amb_ratio": ratio(F.col("null_amb_pct"), F.col("obs_amb_pct"))})
 
 
+def paired_controls(swing: DataFrame, matched: DataFrame) -> DataFrame:
+    """Both designs of one drawn bar next to each other: one row per variant, day and draw that is eligible under both.
+
+    The designs draw the same bars, so a pair differs by its stop only.
+    """
+    keys = [*VARIANT, "local_date", "draw"]
+
+    def side(x: DataFrame, tag: str) -> DataFrame:
+        return x.filter("eligible AND net_r IS NOT NULL").select(*keys, *[F.col(c).alias(f"{c}_{tag}") for c in ("gross_r", "net_r", "r_ticks")])
+
+    return side(swing, "swing").join(side(matched, "matched"), keys)
+
+
+def design_rates(pvalues: DataFrame, gross: DataFrame) -> DataFrame:
+    """Per design: variants, share of p below .05 and .10, median p, mean and median of the variants' mean control gross."""
+    rates = comparator_rates(pvalues, ["swing", "matched"])
+    long = gross.select(F.explode(F.array(*[F.struct(F.lit(c).alias("comparator"), F.col(f"gross_{c}").alias("g")) for c in ("swing", "matched")]))
+                        .alias("r")).select("r.*")
+    return rates.join(long.groupBy("comparator").agg(F.avg("g").alias("mean_null_gross"), F.median("g").alias("median_null_gross"),
+                                                     F.count("g").alias("pools")), "comparator")
+
+
 def comparator_rates(pvalues: DataFrame, columns: list[str]) -> DataFrame:
     """Per comparator: variants, share below .05 and .10, median p."""
     long = pvalues.select(F.explode(F.array(*[

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import ratio, share
-from barloom.functions.scans import scan_max, scan_sum
+from barloom.functions.scans import scan
 from barloom.operators.sizing import size_trades
 from barloom.params import MAX_RISK_USD, SETUP
 
@@ -25,11 +25,9 @@ def with_phase(in_sample: DataFrame, holdout: DataFrame) -> DataFrame:
 def equity_curve(trades: DataFrame, keys: list[str] = SETUP) -> DataFrame:
     """Trades in order with cumulative R, cumulative dollars and their running maxima."""
     x = size_trades(trades).withColumn("_day", F.col("date"))
-    x = scan_sum(x, keys, "_day", ORDER, {
-        "seq": F.lit(1).cast("bigint"), "cum_r": F.col("net_r"), "cum_usd": F.col("pnl_usd")})
-    for value in ("cum_r", "cum_usd"):
-        x = scan_max(x, keys, "_day", ORDER, value, f"peak_{value}")
-    return x.drop("_day")
+    return scan(x, keys, "_day", ORDER, sums={
+        "seq": F.lit(1).cast("bigint"), "cum_r": F.col("net_r"), "cum_usd": F.col("pnl_usd")},
+        peaks={"peak_cum_r": "cum_r", "peak_cum_usd": "cum_usd"}).drop("_day")
 
 
 def curve_stats(curve: DataFrame, keys: list[str] = SETUP, holdout_start: str | None = None) -> DataFrame:

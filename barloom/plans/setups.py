@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import mean_rank, mean_rank_pct, ratio, share
+from barloom.functions.quantiles import value_bucket
 from barloom.operators.costs import with_slippage
 from barloom.operators.sizing import reprice, size_by_mode, size_trades
 from barloom.params import (
@@ -118,15 +119,34 @@ def _frontier(points: DataFrame, axes: tuple, group: str) -> DataFrame:
 
 
 def pareto_frontier(setups: DataFrame, axes: tuple[str, str, str] = PARETO_AXES,
-                    buckets: int = 64) -> DataFrame:
+                    cells: int = 8, buckets: int = 16) -> DataFrame:
     """Setups that no other setup matches on all axes and beats on one.
 
-    Local frontiers per hash bucket come first; only their points meet in the final fold.
-    Equal points do not dominate each other, so the work runs on distinct points.
+    The space is cut into cells ** 3 cells. A cell below another non-empty one on all axes is dropped whole. The rest folds to frontiers
+    of hash buckets inside cells, and their points meet only those of cells that aren't below theirs on any axis, pair of cells by
+    pair of cells, so no group gathers all of them. Equal points do not dominate each other, so the work runs on distinct points.
     """
     points = setups.select(*axes).dropna().distinct()
-    local = _frontier(points.withColumn("_g", F.pmod(F.xxhash64(*axes), F.lit(buckets))), axes, "_g")
-    best = _frontier(local.withColumn("_g", F.lit(0)), axes, "_g")
+    span = points.agg(*[f(a).alias(f"_{n}_{a}") for a in axes for n, f in (("lo", F.min), ("hi", F.max))])
+    points = points.crossJoin(F.broadcast(span)).withColumns({
+        f"_c{k}": value_bucket(F.col(a), F.col(f"_lo_{a}"), F.col(f"_hi_{a}"), cells) for k, a in enumerate(axes)})
+    place = ["_c0", "_c1", "_c2"]
+    number = lambda t="": (F.col(f"{t}_c0") * cells + F.col(f"{t}_c1")) * cells + F.col(f"{t}_c2")
+    filled = points.select(*place).distinct()  # at most cells ** 3 rows
+    above = filled.select(*[F.col(c).alias(f"a{c}") for c in place])
+    alive = filled.join(above, (F.col("a_c0") > F.col("_c0")) & (F.col("a_c1") > F.col("_c1")) & (F.col("a_c2") > F.col("_c2")), "left_anti")
+    kept = points.join(alive, place, "left_semi").withColumn(
+        "_g", number() * buckets + F.pmod(F.xxhash64(*axes), F.lit(buckets)))
+    local = _frontier(kept, axes, "_g").join(kept.select(*axes, number().alias("_cell")), list(axes))
+    pairs = alive.join(alive.select(*[F.col(c).alias(f"a{c}") for c in place]),
+                       (F.col("a_c0") >= F.col("_c0")) & (F.col("a_c1") >= F.col("_c1")) & (F.col("a_c2") >= F.col("_c2"))) \
+        .select(number().alias("_cell"), number("a").alias("_above"))
+    other = local.select(F.col("_cell").alias("_above"), *[F.col(a).alias(f"_o_{a}") for a in axes])
+    at_least, beyond = F.lit(True), F.lit(False)
+    for a in axes:
+        at_least, beyond = at_least & (F.col(f"_o_{a}") >= F.col(a)), beyond | (F.col(f"_o_{a}") > F.col(a))
+    beaten = local.join(pairs, "_cell").join(other, "_above").filter(at_least & beyond).select(*axes).distinct()
+    best = local.select(*axes).join(beaten, list(axes), "left_anti")
     return setups.join(best, list(axes), "left_semi")
 
 

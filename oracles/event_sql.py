@@ -398,6 +398,25 @@ SELECT local_date AS date, dayname(local_date) AS day_of_week, instrument, sessi
   changed_in AS contract_changed_in_session, changed_since AS contract_changed_since_prev_session,
   pct_local AS pct_bars_from_local FROM jr""",
     "range_high range_low entry_price sl_price rr exit_price net_r cost_r net_usd session_bar_completeness pct_bars_from_local")
+cte("enr2", """
+SELECT e.*, a.atr_prev AS atr_4h FROM (SELECT *, date_trunc('minute', lt) - to_minutes(CAST(((hour(lt) * 60 + minute(lt) - 1080 + 1440) % 1440) % 240 AS BIGINT)) AS bin
+  FROM (SELECT *, timezone('America/New_York', timezone('UTC', ts)) AS lt FROM enr)) e
+LEFT JOIN atrp a ON a.instrument = e.instrument AND a.bin = e.bin""")
+cte("dctx", f"""
+SELECT {K}, first(x.atr_4h ORDER BY sb.ts) AS atr_4h, first(x.prev_close ORDER BY sb.ts) AS prev_close,
+  first(x.parkinson_vol_14d ORDER BY sb.ts) AS parkinson_vol_14d, first(x.realized_vol_14d ORDER BY sb.ts) AS realized_vol_14d
+FROM sb JOIN (SELECT instrument, ts, atr_4h, prev_close, parkinson_vol_14d, realized_vol_14d FROM enr2) x USING (instrument, ts)
+WHERE wall >= open_min GROUP BY {K}""")
+cte("jctx", f"""
+SELECT j.*, atr_4h, prev_close, parkinson_vol_14d, realized_vol_14d, open_tick - prev_close AS gap_ticks,
+  CASE WHEN atr_4h > 0 AND bad IS NULL THEN rr * r / atr_4h END AS tp_to_atr_ratio
+FROM jr j JOIN dctx USING ({K}) JOIN (SELECT {K}, open_tick FROM dd) USING ({K})""")
+add("journal_context", f"""
+SELECT local_date AS date, instrument, session, {RENAME}, rr, atr_4h, tp_to_atr_ratio, coalesce(tp_to_atr_ratio > 2.5, false) AS atr_exceeds_cap,
+  prev_close, gap_ticks, parkinson_vol_14d, realized_vol_14d, open_idx AS context_bars_available, gross_r * (r * tick_value) AS gross_usd,
+  -adv AS mae_r, fav AS mfe_r, CASE WHEN bad IS NULL THEN sgn * (f + rr * r) END * {T} AS tp_price, r AS sl_distance_ticks,
+  at_close AS fill_at_bar_close FROM jctx""",
+    "rr atr_4h tp_to_atr_ratio parkinson_vol_14d realized_vol_14d gross_usd mae_r mfe_r tp_price")
 FLAGS = """
   (reason IN ('INVALID', 'SL_WRONG_SIDE', 'DEGENERATE_R', 'NO_HOLD_BARS')) AS x1,
   (bad IS NULL AND rr * r < 1) AS x2, coalesce(CASE WHEN bad IS NULL THEN rr * r END < 4, true) AS x3, (r < 8) AS x4,
@@ -423,6 +442,14 @@ SELECT instrument, session, {RENAME}, rr, trade_count, win_rate, expectancy_gros
     "excluded_high_friction", "excluded_unaffordable", "excluded_roll_day", "excluded_incomplete_session"))}
 FROM m JOIN dd2 USING ({EV}) JOIN x USING ({EV})""",
     "rr win_rate expectancy_gross_r expectancy_net_r max_drawdown_r avg_mae_r avg_mfe_r")
+add("holdout_from_bars", f"""
+WITH m AS (SELECT *, {FLAGS} FROM jctx WHERE local_date >= DATE '2024-01-20')
+SELECT instrument, session, {RENAME}, rr, count(*) AS ho_trades, avg(gross_r) AS ho_gross, avg(net_r) AS ho_net,
+  (count(*) FILTER (gross_r > 0)) / count(*) AS ho_win, count(*) FILTER (tp_to_atr_ratio > 2.5) AS capped,
+  avg(tp_to_atr_ratio) AS tp_to_atr, CAST(sum(gap_ticks) AS BIGINT) AS gap_ticks, avg(realized_vol_14d) AS realized_vol,
+  avg(parkinson_vol_14d) AS parkinson_vol
+FROM m WHERE NOT (x1 OR x2 OR x3 OR x4 OR x5 OR x6 OR x7 OR x8) GROUP BY ALL""",
+    "rr ho_gross ho_net ho_win tp_to_atr realized_vol parkinson_vol")
 add("event_exit_mix", """
 SELECT instrument, count(*) FILTER (reason = 'TP') * 100.0 / count(*) AS tp, count(*) FILTER (reason = 'SL') * 100.0 / count(*) AS sl,
   count(*) FILTER (reason = 'TIME') * 100.0 / count(*) AS time,
@@ -516,3 +543,53 @@ SELECT o.instrument, o.session, o.dir AS direction, o.rr, o.n AS obs_n, o.r_med
   c.a AS null_amb_pct, c.r_med / nullif(o.r_med, 0) AS r_ratio, c.a / nullif(o.a, 0) AS amb_ratio
 FROM o JOIN c ON o.instrument = c.instrument AND o.session = c.session AND o.dir = c.dir AND o.rr = c.rr""",
     "rr obs_r obs_time_pct obs_gross obs_amb_pct null_r null_time_pct null_gross null_amb_pct r_ratio amb_ratio")
+add("event_control_mix_matched", f"""
+WITH o AS ({MIX.format(src="boo")}), c AS ({MIX.format(src="cmo")})
+SELECT o.instrument, o.session, o.dir AS direction, o.rr, o.n AS obs_n, o.r_med AS obs_r, o.tp AS obs_time_pct,
+  o.g AS obs_gross, o.a AS obs_amb_pct, c.n AS null_n, c.r_med AS null_r, c.tp AS null_time_pct, c.g AS null_gross,
+  c.a AS null_amb_pct, c.r_med / nullif(o.r_med, 0) AS r_ratio, c.a / nullif(o.a, 0) AS amb_ratio
+FROM o JOIN c ON o.instrument = c.instrument AND o.session = c.session AND o.dir = c.dir AND o.rr = c.rr""",
+    "rr obs_r obs_time_pct obs_gross obs_amb_pct null_r null_time_pct null_gross null_amb_pct r_ratio amb_ratio")
+
+# --- both control designs on the same bars -----------------------------------------------------
+
+SEED = 20260806
+journal_cte("cwj", "cwo")
+cte("evs", f"SELECT {EV}, count(*) AS trade_count, avg(net_r) AS obs FROM jm WHERE eligible GROUP BY ALL")
+cte("esm", f"""
+SELECT {EV}, trade_count, obs, row_number() OVER () AS gid FROM (SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY instrument, rr ORDER BY h, {EV}) AS rk FROM (
+    SELECT *, {draw("sd", "1")} AS h FROM (SELECT *, {seed(
+        "concat_ws('|', " + ", ".join(f"CAST({k.strip()} AS VARCHAR)" for k in EV.split(",")) + ")", SEED)} AS sd FROM evs)))
+  WHERE rk <= 2 ORDER BY h, {EV} LIMIT 60)""")
+cte("cpw", f"SELECT {EV}, local_date, draw, gross_r, net_r FROM (SELECT *, {FLAGS} FROM cwj) WHERE NOT (x1 OR x2 OR x3 OR x4 OR x5 OR x6 OR x7 OR x8)")
+cte("cpm", f"SELECT {EV}, local_date, draw, gross_r, net_r FROM (SELECT *, {FLAGS} FROM cmj) WHERE NOT (x1 OR x2 OR x3 OR x4 OR x5 OR x6 OR x7 OR x8)")
+cte("cpair", f"""
+SELECT gid, trade_count, obs, local_date, w.gross_r AS gw, w.net_r AS nw, m.gross_r AS gm, m.net_r AS nm
+FROM esm JOIN cpw w USING ({EV}) JOIN cpm m USING ({EV}, local_date, draw)""")
+cte("npseed", f"SELECT {seed(chr(39) + 'joint-bootstrap' + chr(39), SEED)} AS sd0")
+for _d, _c in (("w", "nw"), ("m", "nm")):
+    cte(f"np{_d}d", f"SELECT gid, local_date AS date, count(*) AS n, sum({_c}) AS total FROM cpair GROUP BY ALL")
+    cte(f"np{_d}s", f"""
+SELECT gid, row_number() OVER (PARTITION BY gid ORDER BY date) - 1 AS st, count(*) OVER (PARTITION BY gid) AS nd,
+  sum(n) OVER (PARTITION BY gid) AS n_trades,
+  sum(n) OVER (PARTITION BY gid ORDER BY date ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS bn,
+  sum(total) OVER (PARTITION BY gid ORDER BY date ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS bs FROM np{_d}d""")
+    cte(f"np{_d}k", f"""
+SELECT gid, obs, nd, least(5, nd) AS w, (SELECT sd0 FROM npseed) AS sd,
+  CAST(greatest(1, ceil(ceil(trade_count / greatest(1.0::DOUBLE, n_trades / nd)) / least(5, nd))) AS BIGINT) AS k
+FROM (SELECT DISTINCT gid, nd, n_trades FROM np{_d}s) JOIN esm USING (gid)""")
+    cte(f"np{_d}m", f"""
+SELECT gid, d, any_value(obs) AS obs, sum(bs) / sum(bn) AS mean_r FROM (
+  SELECT gid, obs, d, CAST({draw("sd", f"d * {1 << 20} + blk")} % (nd - w + 1) AS BIGINT) AS st FROM (
+    SELECT *, unnest(range(k)) AS blk FROM (SELECT *, unnest(range(20000)) AS d FROM np{_d}k)))
+JOIN np{_d}s USING (gid, st) GROUP BY gid, d""")
+    cte(f"np{_d}", f"""
+SELECT gid, (1 + count(*) FILTER (mean_r - obs > 1e-12) + 0.5 * count(*) FILTER (abs(mean_r - obs) <= 1e-12)) / (1 + count(*)) AS p
+FROM np{_d}m GROUP BY gid""")
+cte("npg", "SELECT gid, avg(gw) AS gw, avg(gm) AS gm FROM cpair GROUP BY gid")
+add("null_rate_comparison", " UNION ALL ".join(f"""
+SELECT '{name}' AS comparator, (SELECT count(*) FROM np{d}) AS variants, (SELECT (count(*) FILTER (p < 0.05)) / count(*) * 100 FROM np{d}) AS pct_below_05,
+  (SELECT (count(*) FILTER (p < 0.1)) / count(*) * 100 FROM np{d}) AS pct_below_10, (SELECT quantile_cont(p, 0.5) FROM np{d}) AS median_p,
+  avg(g{d}) AS mean_null_gross, quantile_cont(g{d}, 0.5) AS median_null_gross, count(g{d}) AS pools FROM npg""" for name, d in (("swing", "w"), ("matched", "m"))),
+    "pct_below_05 pct_below_10 median_p mean_null_gross median_null_gross")

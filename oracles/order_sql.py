@@ -700,6 +700,9 @@ SELECT *, row_number() OVER {W} AS seq, sum(net_r) OVER {W} AS cum_r, sum(pnl) O
 cte("eq", f"SELECT *, max(cum_r) OVER {W} AS peak_cum_r, max(cum_usd) OVER {W} AS peak_usd, contracts > 0 AS ex FROM eq1")
 add("equity_curve", f"SELECT {SET}, signal_id, seq, net_r, cum_r, cum_usd, peak_cum_r FROM eq",
     "rr net_r cum_r cum_usd peak_cum_r")
+add("phased_curve", f"""
+SELECT {SET}, CASE WHEN date >= DATE '2000-01-01' THEN 'holdout' ELSE 'in_sample' END AS phase, signal_id, seq, cum_r, cum_usd,
+  peak_usd AS peak_cum_usd FROM eq""", "rr cum_r cum_usd peak_cum_usd")
 add("curve_stats", f"""
 SELECT {SET}, count(*) AS trades, count(*) FILTER (ex) AS trades_executable, (count(*) FILTER (ex)) / count(*) AS executable_pct,
   (count(*) FILTER (net_r > 0)) / count(*) AS win_rate, avg(net_r) AS exp_net_r, sum(net_r) AS total_net_r, sum(pnl) AS total_usd,
