@@ -257,8 +257,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows whose group keeps another id."""
+    """``docs`` without the rows whose group keeps another id.
+
+    The ids that go are written first: Spark then knows their size before it plans the join, and moves the texts only if the ids are
+    too many for its own broadcast limit.
+    """
     name = max(docs.columns, key=len) + "_gone"  # no column of docs has it
-    gone = near_duplicates(docs.select(id_col, text_col), id_col, text_col, **options).where("NOT keep") \
-        .select(F.col(f"`{id_col}`").alias(name)).distinct()
+    gone = stored(near_duplicates(docs.select(id_col, text_col), id_col, text_col, **options).where("NOT keep")
+                  .select(F.col(f"`{id_col}`").alias(name)).distinct(), "gone")
     return docs.join(gone, F.col(f"`{id_col}`") == F.col(f"`{name}`"), "left_anti")
