@@ -1,13 +1,14 @@
 """Token ids in training order: a keyed Feistel permutation gives every sequence a global slot; shards have a fixed stride.
 
-Documents are turned into token ids (an end-of-text id after each), packed in order of id inside blocks of ids into sequences of
-``length`` tokens (the last of a block is filled up with the end-of-text id), and numbered through all blocks. Sequence k of n goes
+Documents are turned into token ids (an end-of-text id after each) and read as one stream in order of id. Sequence k has the tokens from
+k * ``length`` on (the last one is filled up with the end-of-text id); a block of documents knows its place in the stream from the
+counts of the blocks before it, so sequences go across blocks and don't depend on how the documents were parted. Sequence k of n goes
 to slot P(k), where P is a balanced Feistel network over the next power of four, walked along its cycle until it is below n: a
 permutation of 0 .. n - 1 that needs no sort, no table and no other sequence. Each partition takes a range of slots and writes shards of
 ``per_shard`` sequences: little-endian 16-bit ids, so that slot s is at byte (s mod per_shard) * 2 * length of shard s // per_shard.
 A reader can start at any slot and goes through its shards from there in order.
 
-Null texts have no tokens; an empty text is an end-of-text id. Rows of equal ids are in order of their tokens, null ids come last.
+Null texts have no tokens; an empty text is an end-of-text id. Rows of equal ids are in order of their tokens, null ids come last, by a hash of their text.
 """
 
 from __future__ import annotations
@@ -114,63 +115,75 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
                 part = batch.slice(lo, 500)
                 ids = [np.append(np.array(encode(t), np.uint16), np.uint16(END_OF_TEXT)) for t in part["_text"].to_pylist()]
                 yield pa.RecordBatch.from_arrays([
-                    part["_block"], part["_id"], pa.array(list(map(len, ids)), pa.int32()),
-                    pa.array(list(map(_zipped, ids)), pa.binary())], names=["_block", "_id", "_n", "_tokens"])
+                    part["_block"], part["_id"], part["_hash"], pa.array(list(map(len, ids)), pa.int32()),
+                    pa.array(list(map(_zipped, ids)), pa.binary())], names=["_block", "_id", "_hash", "_n", "_tokens"])
 
+    # Blocks of null ids are ranges of the hash, as blocks of ids are ranges of ids.
+    hashed = F.when(F.col("_id").isNull(), F.shiftrightunsigned(F.xxhash64("_text"), 33)).otherwise(F.lit(0).cast("long"))
+    spare = max(1, blocks.count // 2)
+    block = F.when(F.col("_id").isNull(), (blocks.count + F.floor(F.col("_hash") * spare / (1 << 31))).cast("int")).otherwise(F.col("_block"))
     # One exchange by block; the counts and the packing both read it.
-    tokens = blocks.frame.where(F.col("_text").isNotNull()).select("_block", "_id", "_text") \
-        .mapInArrow(tokenise, "_block int, _id long, _n int, _tokens binary").repartition(parts, "_block")
+    tokens = blocks.frame.where(F.col("_text").isNotNull()).withColumn("_hash", hashed).withColumn("_block", block) \
+        .select("_block", "_id", "_hash", "_text") \
+        .mapInArrow(tokenise, "_block int, _id long, _hash long, _n int, _tokens binary").repartition(parts, "_block")
 
     def count(table: pa.Table) -> pa.Table:
-        total = sum(table["_n"].to_pylist())
-        return pa.table({"_block": table["_block"][:1], "_sequences": pa.array([-(-total // length)], pa.int64())})
+        return pa.table({"_block": table["_block"][:1], "_count": pa.array([sum(table["_n"].to_pylist())], pa.int64())})
 
-    sizes = tokens.groupBy("_block").applyInArrow(count, "_block int, _sequences long")
+    sizes = tokens.groupBy("_block").applyInArrow(count, "_block int, _count long")
     order = Window.orderBy("_block")  # one row a block
-    offsets = sizes.select("_block", (F.sum("_sequences").over(order) - F.col("_sequences")).alias("_first"),
-                           F.sum("_sequences").over(Window.partitionBy(F.lit(0))).alias("_total"))
+    offsets = sizes.select("_block", (F.sum("_count").over(order) - F.col("_count")).alias("_first"),
+                           F.sum("_count").over(Window.partitionBy(F.lit(0))).alias("_total"))
 
     def pack(table: pa.Table, offset: pa.Table) -> pa.Table:
-        first, total = offset["_first"][0].as_py(), offset["_total"][0].as_py()
-        rows = sorted(table.to_pylist(), key=lambda r: (r["_id"] is None, r["_id"] or 0, r["_tokens"]))
+        """The parts of sequences that the block holds; only its first and last one go on in another block."""
+        first, total = offset["_first"][0].as_py(), -(-offset["_total"][0].as_py() // length)
+        rows = sorted(table.to_pylist(), key=lambda r: (r["_id"] is None, r["_id"] or 0, r["_hash"], r["_tokens"]))
         ids = [_unzipped(r["_tokens"]) for r in rows]
         stream = np.concatenate(ids)
-        n = -(-len(stream) // length)
         ends = np.cumsum([len(x) for x in ids])
         starts = ends - [len(x) for x in ids]
-        own = np.minimum(len(stream) - length * np.arange(n), length)
-        stream = np.append(stream, np.full(n * length - len(stream), END_OF_TEXT, np.uint16))
-        lo = np.searchsorted(ends, length * np.arange(n), "right")
-        hi = np.searchsorted(starts, length * np.arange(n) + own, "left")
+        sequences = np.arange(first // length, (first + len(stream) - 1) // length + 1)
+        lo = np.maximum(sequences * length - first, 0)
+        hi = np.minimum((sequences + 1) * length - first, len(stream))
+        from_doc, to_doc = np.searchsorted(ends, lo, "right"), np.searchsorted(starts, hi, "left")
         numbers = [r["_id"] for r in rows]
-        slots = slots_of(np.arange(first, first + n), total, key)
         return pa.table({
-            "slot": slots, "total": np.full(n, total), "n_tokens": own.astype(np.int32),
-            "doc_ids": pa.array([numbers[a:b] for a, b in B.rows_between(lo, hi)], pa.list_(pa.int64())),
-            "tokens": pa.array([_zipped(stream[k * length:(k + 1) * length]) for k in range(n)], pa.binary())})
+            "slot": slots_of(sequences, total, key), "total": np.full(len(sequences), total), "start": first + lo - sequences * length,
+            "n_tokens": (hi - lo).astype(np.int32),
+            "doc_ids": pa.array([numbers[a:b] for a, b in B.rows_between(from_doc, to_doc)], pa.list_(pa.int64())),
+            "tokens": pa.array([_zipped(stream[a:b]) for a, b in B.rows_between(lo, hi)], pa.binary())})
 
     rows = tokens.groupBy("_block").cogroup(offsets.groupBy("_block")).applyInArrow(
-        pack, "slot long, total long, n_tokens int, doc_ids array<long>, tokens binary")
+        pack, "slot long, total long, start long, n_tokens int, doc_ids array<long>, tokens binary")
     shard = F.expr(f"slot div {per_shard}")
     target = F.expr(f"cast((slot div {per_shard}) * {parts} div ((total - 1) div {per_shard} + 1) as int)")
-    ranged = rows.withColumn("shard", shard).repartitionById(parts, target).sortWithinPartitions("slot")
+    ranged = rows.withColumn("shard", shard).repartitionById(parts, target).sortWithinPartitions("slot", "start")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row(number: int, own: list[dict]) -> pa.RecordBatch:
+            """A shard of sequences, each a list of parts in order."""
+            data = [np.concatenate([_unzipped(r["tokens"]) for r in parts]) for parts in own]
+            data = [np.append(x, np.full(length - len(x), END_OF_TEXT, np.uint16)).tobytes() for x in data]
             return pa.RecordBatch.from_pylist([{
-                "shard": number, "first_slot": number * per_shard, "stride": 2 * length, "n_tokens": [r["n_tokens"] for r in own],
-                "doc_ids": [r["doc_ids"] for r in own], "data": b"".join(_unzipped(r["tokens"]).tobytes() for r in own)}], schema=shape)
+                "shard": number, "first_slot": number * per_shard, "stride": 2 * length,
+                "n_tokens": [sum(r["n_tokens"] for r in parts) for parts in own],
+                "doc_ids": [[i for r in parts for i in r["doc_ids"]] for parts in own], "data": b"".join(data)}], schema=shape)
 
         shape = pa.schema([("shard", pa.int64()), ("first_slot", pa.int64()), ("stride", pa.int32()), ("n_tokens", pa.list_(pa.int32())),
                            ("doc_ids", pa.list_(pa.list_(pa.int64()))), ("data", pa.binary())])
-        at, own = -1, []
+        at: int = -1
+        own: list[list[dict]] = []
         for batch in batches:
             for r in batch.to_pylist():
                 if r["shard"] != at and own:
                     yield row(at, own)
                     own = []
                 at = r["shard"]
-                own.append(r)
+                if own and own[-1][0]["slot"] == r["slot"]:
+                    own[-1].append(r)
+                else:
+                    own.append([r])
         if own:
             yield row(at, own)
 
@@ -178,10 +191,13 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     return folder
 
 
-def read_sequences(spark: SparkSession, folder: str, first_slot: int = 0, per_shard: int = PER_SHARD) -> DataFrame:
+def read_sequences(spark: SparkSession, folder: str, first_slot: int = 0) -> DataFrame:
     """(slot, shard, byte_offset, n_tokens, doc_ids, tokens) from ``first_slot`` on; tokens are the stride's bytes.
-    Shards before it are not read."""
+    Shards before it are not read; how many sequences a shard has is taken from the shards."""
     ship(spark)
+    shards = spark.read.schema(SHARDS).parquet(folder)
+    later = shards.where("shard > 0").select(F.expr("first_slot div shard").alias("per_shard")).first() if first_slot > 0 else None
+    first_shard = first_slot // later["per_shard"] if later else 0
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,7 +211,7 @@ def read_sequences(spark: SparkSession, folder: str, first_slot: int = 0, per_sh
                     "doc_ids": pa.array([r["doc_ids"][k] for k in rows], pa.list_(pa.int64())),
                     "tokens": pa.array([r["data"][k * stride:(k + 1) * stride] for k in rows], pa.binary())})
 
-    return spark.read.schema(SHARDS).parquet(folder).where(F.col("shard") >= first_slot // per_shard).mapInArrow(
+    return shards.where(F.col("shard") >= first_shard).mapInArrow(
         split, "slot long, shard long, byte_offset long, n_tokens int, doc_ids array<long>, tokens binary")
 
 
