@@ -14,7 +14,7 @@ from barloom.llm.minhash_dedup import near_duplicates
 from barloom.llm.quality import fit as fit_quality
 from barloom.llm.quality import score
 from barloom.llm.sentencepiece import Vocabulary, decode, encode
-from barloom.llm.simhash import fingerprint_edits, likeness, neighbours
+from barloom.llm.simhash import fingerprint_edits, likeness, near_pairs
 from barloom.llm.substring_dedup import substring_dedup
 from barloom.llm.suffix_dedup import suffix_dedup
 from barloom.llm.token_shards import in_training_order
@@ -64,10 +64,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Also, for the documents whose id is divisible by 50, how many rows the block tables find within the radius."""
     out = fingerprint_edits(_read(spark, sf_dir, "documents", "doc_id", "text"))
     out = cut(out.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited"))
-    asked = out.where(F.col("doc_id") % 50 == 0).select("doc_id", "fingerprint")
-    near = neighbours(asked, out, "doc_id").select("doc_id", "n_near", "n_exact").distinct()
+    asks = F.when(F.col("doc_id") % 50 == 0, F.col("fingerprint"))
+    near = near_pairs(out.select(asks.alias("asked")), out, asked_column="asked").groupBy("asked").agg(
+        F.sum("n_rows").alias("n_near"), F.sum(F.when(F.col("distance") == 0, F.col("n_rows")).otherwise(0)).alias("n_exact"))
     text = lambda c: F.lower(F.lpad(F.hex(c), 16, "0")).alias(c)
-    return out.join(near, "doc_id", "left").select(
+    return out.join(near, asks == F.col("asked"), "left").select(
         "doc_id", "n_chars", "edited_sha256", text("fingerprint"), text("edited_fingerprint"),
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"), "n_near", "n_exact")

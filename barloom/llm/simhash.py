@@ -136,14 +136,15 @@ def _tables(blocks: int, radius: int) -> list[int]:
 
 
 def near_pairs(queries: DataFrame, prints: DataFrame, column: str = "fingerprint", radius: int = RADIUS,
-               blocks: int = BLOCKS) -> DataFrame:
+               blocks: int = BLOCKS, asked_column: str | None = None) -> DataFrame:
     """(asked, found, distance, n_rows): each distinct fingerprint of ``queries`` with each distinct one of ``prints`` within
     ``radius`` bits, once, and the rows of ``prints`` that have it. Null fingerprints find and are nothing."""
     masks = F.array(*[F.lit(m).cast("long") for m in _tables(blocks, radius)])
     keyed = lambda df, name: df.select("*", F.posexplode(masks).alias("_table", "_mask")).select(
         *df.columns, "_table", F.col(name).bitwiseAND(F.col("_mask")).alias("_key"))
     many = prints.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("found")).agg(F.count(F.lit(1)).alias("n_rows"))
-    asked = queries.where(F.col(column).isNotNull()).select(F.col(column).alias("asked")).distinct()
+    name = asked_column or column
+    asked = queries.where(F.col(name).isNotNull()).select(F.col(name).alias("asked")).distinct()
     near = F.bit_count(F.col("asked").bitwiseXOR(F.col("found")))
     pairs = keyed(many, "found").join(keyed(asked, "asked"), ["_table", "_key"]).where(near <= radius)
     return pairs.groupBy("asked", "found").agg(F.first("n_rows").alias("n_rows")) \

@@ -45,3 +45,12 @@ def test_edits_are_nearer_than_other_documents(spark, sf):
     assert sum(r.near_edited for r in rows) / len(rows) > sum(r.near_next for r in rows) / len(rows) + 0.08
     asked = [r for r in rows if r.doc_id % 50 == 0]
     assert asked and all(r.n_near >= r.n_exact >= 1 for r in asked)
+
+
+def test_simhash_keeps_one_row_a_row_for_repeated_ids(spark, tmp_path):
+    rows = [(50, "one text here"), (50, "another text of the same id"), (50, "a third one"), (51, "one text here"), (None, "x"), (100, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = queries.QUERIES["op5_simhash"](spark, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in out) == sorted(str(i) for i, _ in rows)
+    assert all((r.n_near is not None) == (r.doc_id is not None and r.doc_id % 50 == 0) for r in out)
+    assert max(r.n_exact for r in out if r.n_exact) == 2
