@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.batches import by_bytes
-from barloom.llm.cluster import cut, ship
+from barloom.llm.cluster import cut, ship, small_batches
 
 SAMPLE_ROWS = 2000
 WORDS = 200_000
@@ -117,6 +117,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         sample_rows: int = SAMPLE_ROWS, words: int = WORDS, grams: int = GRAMS) -> Model:
     """Counts are made in the tasks and summed in Spark; the most frequent entries come to the driver."""
     ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
     lang, ident = F.col(f"`{lang_col}`"), F.col(f"`{id_col}`")
     learn = docs.where(lang.isNotNull() & ~held_out(ident))
     per_lang = {r[0]: r[1] for r in learn.groupBy(lang).count().collect()}

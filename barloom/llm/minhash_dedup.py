@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm import blocks as B
 from barloom.llm import hashing as H
-from barloom.llm.cluster import cut, stored
+from barloom.llm.cluster import cut, small_batches, stored
 from barloom.llm.components import components
 
 SIZE = 5
@@ -159,6 +159,7 @@ def _similarities(pairs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE,
                     threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs``: id, group_id (the least id of its group), group_size, keep (is it that one)."""
+    small_batches(docs.sparkSession)
     blocks = B.Blocks(docs, id_col, text_col)
     buckets, n_docs = blocks.count, max(blocks.rows, 1)
     shift = max(0, 64 - max(32, blocks.bytes.bit_length() + 10))  # a shingle meets a wrong one at odds of 1 in 1,000 at most
