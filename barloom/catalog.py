@@ -31,7 +31,7 @@ from barloom.plans import holdout as HO
 from barloom.plans import report as L
 from barloom.plans import setups as N
 from barloom.plans import spreads as SP
-from barloom.plans.inference import NullSpec, enrich_summary, null_vectors
+from barloom.plans.inference import NullSpec, control_pools, enrich_summary, null_vectors
 from barloom.plans.load import clean_bars
 from barloom.session import cut
 from barloom.sources.bars import only_configured_rolls, roll_tag
@@ -48,6 +48,7 @@ IID_DRAWS = 10_000
 SPEC = NullSpec()
 ROW_SPEC = NullSpec(draws=1000)  # for the two queries whose rows are the draws themselves
 SAMPLE_TARGET = 200
+POOL_DAYS = 20  # of the days of an event pair, so that the sample is stratified and not exhausted
 
 QUERIES: dict = {}
 
@@ -1010,6 +1011,39 @@ def control_pool_days(spark, d):
     return K.control_days(K.label_controls(ev, EVENT_GRID, EVENT_MARKET))
 
 
+def _event_windows(spark, d):
+    """Two windows of events: the first half of the history and the second."""
+    span = event_bars(spark, d).groupBy("instrument").agg(F.to_date(F.min("ts")).alias("first"), F.to_date(F.max("ts")).alias("last"))
+    half = F.date_add("first", F.floor(F.datediff("last", "first") / 2).cast("int"))
+    return span.select("instrument", F.inline(F.array(
+        F.struct(F.lit(0).alias("regime_window"), F.col("first").alias("window_start"), half.alias("window_end")),
+        F.struct(F.lit(1).alias("regime_window"), F.date_add(half, 1).alias("window_start"), F.col("last").alias("window_end")))))
+
+
+def _windowed_days(spark, d):
+    return build_days(C.in_windows(_context_bars(spark, d), _event_windows(spark, d)), EVENT_GRID)
+
+
+@query
+def windowed_days(spark, d):
+    """Day rows of histories cut into windows: a window starts without the days before it, and its context is the whole history's."""
+    return _windowed_days(spark, d).select(
+        "instrument", "session", "local_date", "regime_window", "open_idx", "last_idx", "completeness", "changed_in", "changed_since",
+        "atr_4h", "prev_close", "gap_ticks", "parkinson_vol_14d", "realized_vol_14d")
+
+
+@query
+def event_control_pools(spark, d):
+    """Days and sums of the broad pools (stratified day samples) and of the fired ones, with stops matched where the family has any."""
+    days = cut(_windowed_days(spark, d))
+    marked = cut(H.mark_eligibility(_event_journal(spark, d, days), strict=True))
+    pools = control_pools(marked, days, EVENT_GRID, EVENT_MARKET, NullSpec(sample_days=POOL_DAYS))
+    keys = ["instrument", "session", "range_minutes", "direction", "rr"]
+    total = [F.count(F.lit(1)).alias("days"), F.sum("n").alias("trades"), F.sum("total").alias("total_r")]
+    return pools["broad"].groupBy(*keys).agg(*total).withColumn("pool", F.lit("broad")).unionByName(
+        pools["fired"].groupBy(*keys).agg(*total).withColumn("pool", F.lit("fired")))
+
+
 @query
 def event_control_mix(spark, d):
     ev, j = _event_controls(spark, d, "swing")

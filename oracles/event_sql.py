@@ -593,3 +593,40 @@ SELECT '{name}' AS comparator, (SELECT count(*) FROM np{d}) AS variants, (SELECT
   (SELECT (count(*) FILTER (p < 0.1)) / count(*) * 100 FROM np{d}) AS pct_below_10, (SELECT quantile_cont(p, 0.5) FROM np{d}) AS median_p,
   avg(g{d}) AS mean_null_gross, quantile_cont(g{d}, 0.5) AS median_null_gross, count(g{d}) AS pools FROM npg""" for name, d in (("swing", "w"), ("matched", "m"))),
     "pct_below_05 pct_below_10 median_p mean_null_gross median_null_gross")
+
+# --- windows -----------------------------------------------------------------------------------
+
+cte("ewin", """
+SELECT instrument, w AS regime_window, CASE WHEN w = 0 THEN a ELSE h + 1 END AS ws, CASE WHEN w = 0 THEN h ELSE b END AS we FROM (
+  SELECT instrument, a, b, a + CAST(floor((b - a) / 2) AS INTEGER) AS h FROM (
+    SELECT instrument, CAST(min(ts) AS DATE) AS a, CAST(max(ts) AS DATE) AS b FROM bars GROUP BY 1)) CROSS JOIN (VALUES (0), (1)) t(w)""")
+KW = f"{K}, regime_window"
+cte("wsx", "SELECT sx.*, regime_window FROM sx JOIN ewin ON sx.instrument = ewin.instrument AND CAST(sx.ts AS DATE) BETWEEN ws AND we")
+cte("wpos", f"""
+SELECT *, row_number() OVER (PARTITION BY {KW} ORDER BY ts) - 1 AS p,
+  ts - lag(ts) OVER (PARTITION BY {KW} ORDER BY ts) > INTERVAL {EVENT_GRID.gap_minutes} MINUTE AS gap FROM wsx""")
+cte("wdq", f"""
+SELECT {KW}, count(*) FILTER (wall >= open_min) AS in_bars, min(ts) FILTER (wall >= open_min) AS open_ts,
+  {", ".join(f"count(*) FILTER (wall >= open_min AND wall < open_min + {r}) AS n{r}" for r in EVENT_GRID.range_minutes)}
+FROM wsx GROUP BY {KW}""")
+cte("wcut", f"SELECT {KW}, max(p) AS cut_at FROM wpos JOIN wdq USING ({KW}) WHERE gap AND ts <= open_ts GROUP BY {KW}")
+cte("wsb", f"""
+SELECT wpos.* EXCLUDE (p, gap), CAST(p - coalesce(cut_at, 0) AS INTEGER) AS idx, in_bars,
+  least(1.0, in_bars * {EVENT_GRID.bar_minutes} / greatest(1, exit_min - open_min))::DOUBLE AS completeness
+FROM wpos JOIN wdq USING ({KW}) LEFT JOIN wcut USING ({KW})
+WHERE ({" OR ".join(f"n{r} >= {r // EVENT_GRID.bar_minutes}" for r in EVENT_GRID.range_minutes)})
+  AND p >= coalesce(cut_at, 0)""")
+cte("wdd", f"""
+SELECT {KW}, min(idx) FILTER (wall >= open_min) AS open_idx, max(idx) AS last_idx, any_value(completeness) AS completeness,
+  first(o ORDER BY b.ts) FILTER (wall >= open_min) AS open_tick, count(DISTINCT contract) FILTER (wall >= open_min) > 1 AS changed_in,
+  first(contract ORDER BY b.ts) FILTER (wall >= open_min) AS first_contract, last(contract ORDER BY b.ts) FILTER (wall >= open_min) AS last_contract,
+  first(x.atr_4h ORDER BY b.ts) FILTER (wall >= open_min) AS atr_4h, first(x.prev_close ORDER BY b.ts) FILTER (wall >= open_min) AS prev_close,
+  first(x.parkinson_vol_14d ORDER BY b.ts) FILTER (wall >= open_min) AS parkinson_vol_14d,
+  first(x.realized_vol_14d ORDER BY b.ts) FILTER (wall >= open_min) AS realized_vol_14d
+FROM wsb b JOIN (SELECT instrument, ts, atr_4h, prev_close, parkinson_vol_14d, realized_vol_14d FROM enr2) x
+  ON b.instrument = x.instrument AND b.ts = x.ts GROUP BY ALL""".replace(f"SELECT {KW}, min(idx)", "SELECT b.instrument, session, local_date, regime_window, min(idx)"))
+add("windowed_days", f"""
+SELECT {KW}, open_idx, last_idx, completeness, changed_in, coalesce(lag(last_contract) OVER (
+    PARTITION BY instrument, session, regime_window ORDER BY local_date) <> first_contract, false) AS changed_since,
+  atr_4h, prev_close, open_tick - prev_close AS gap_ticks, parkinson_vol_14d, realized_vol_14d FROM wdd""",
+    "completeness atr_4h parkinson_vol_14d realized_vol_14d")
