@@ -36,7 +36,7 @@ def small_batches(spark: SparkSession) -> None:
     """Arrow batches of at most 4 MB for this session, unless it has a limit of its own: rows are whole texts or vectors here, and a batch
     is held by the JVM and by Python at once. Spark's default limit is 64 MB and 10,000 rows."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if str(spark.conf.get(key, "")).rstrip("b") == str(64 << 20):
+    if spark.conf.get(key).rstrip("b") == str(64 << 20):
         spark.conf.set(key, str(4 << 20))
 
 
