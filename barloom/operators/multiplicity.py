@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.columns import ratio
 from barloom.functions.quantiles import exact_quantile, value_bucket
+from barloom.session import cut
 
 # Gate limits.
 MAX_TOP_DAY_SHARE = 0.40
@@ -32,12 +33,11 @@ def studentise(vectors: DataFrame, stats: DataFrame, observed: DataFrame, keys:
     moments = stats.select(*keys, F.col("null_mean").alias("_m"), F.when(F.col("null_std") != 0, F.col("null_std")).alias("_s"))
 
     def scaled(batches):
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            t = [None if s is None else (np.asarray(v) - m) / s
-                 for v, m, s in zip(batch["means"].to_pylist(), batch["_m"].to_pylist(), batch["_s"].to_pylist())]
+            t = [None if s is None else (v.values.to_numpy() - m) / s
+                 for v, m, s in zip(batch["means"], batch["_m"].to_pylist(), batch["_s"].to_pylist())]
             yield pa.RecordBatch.from_arrays([*[batch[k] for k in keys], batch["chunk"], pa.array(t, pa.list_(pa.float64()))],
                                              names=[*keys, "chunk", "t"])
 
@@ -54,7 +54,7 @@ def _greatest(null_t: DataFrame, keys: list[str]) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        rows = [np.asarray(t) for t in table["t"].to_pylist() if t is not None]
+        rows = [t.values.to_numpy() for t in table["t"] if t.is_valid]
         best = np.maximum.reduce(rows) if rows else None
         return pa.table([*[table[k].slice(0, 1) for k in keys], table["chunk"].slice(0, 1), pa.array([best], pa.list_(pa.float64()))],
                         names=[*keys, "chunk", "t"])
@@ -171,6 +171,7 @@ def attach_multiplicity(summary: DataFrame, null_t: DataFrame, obs_t: DataFrame,
                         variant: list[str], family: list[str]) -> DataFrame:
     """Family-primary and variant-supplementary corrections joined to the summary. ``null_t`` feeds several branches: pass a stored table."""
     fam_null, fam_obs = family_rollup(null_t, obs_t, family)
+    fam_null = cut(fam_null)
     fam_p = step_down_maxt(fam_null, fam_obs, family).select(
         *family, F.col("t").alias("t_family_obs"), F.col("p_adj").alias("p_adj_maxT"))
     fam_q = permutation_fdr(fam_null, fam_obs, family).select(*family, "q_fdr")

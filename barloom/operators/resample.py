@@ -69,8 +69,9 @@ def draw_vectors(prefixes: DataFrame, keys: list[str], draws: int, n_blocks: Col
 
         for batch in batches:
             out = []
-            for r in batch.select(["chunk", "prefix_n", "prefix_sum", "nd", "_k", "_w", "_seed"]).to_pylist():
-                n, total, w = np.array(r["prefix_n"], np.int64), np.array(r["prefix_sum"]), r["_w"]
+            for i, r in enumerate(batch.select(["chunk", "nd", "_k", "_w", "_seed"]).to_pylist()):
+                n, total = batch["prefix_n"][i].values.to_numpy(), batch["prefix_sum"][i].values.to_numpy()
+                w = r["_w"]
                 n, total = n[w:] - n[:-w], total[w:] - total[:-w]
                 first = r["chunk"] * chunk
                 of = np.arange(first, min(first + chunk, draws), dtype=np.int64)
@@ -111,7 +112,7 @@ def vector_stats(vectors: DataFrame, keys: list[str], observed: DataFrame | None
         import numpy as np
         import pyarrow as pa
 
-        v = np.concatenate([np.asarray(m, np.float64) for m in table["means"].to_pylist()])
+        v = table["means"].combine_chunks().flatten().to_numpy()
         at = table["_obs"][0].as_py()
         p = None if at is None else float((1 + (v - at > 1e-12).sum() + 0.5 * (np.abs(v - at) <= 1e-12).sum()) / (1 + len(v)))
         return pa.table([*[table[k].slice(0, 1) for k in keys], pa.array([v.mean()]), pa.array([np.quantile(v, 0.95)]),
