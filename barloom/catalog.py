@@ -1032,7 +1032,6 @@ def windowed_days(spark, d):
         "atr_4h", "prev_close", "gap_ticks", "parkinson_vol_14d", "realized_vol_14d")
 
 
-@query
 def event_control_pools(spark, d):
     """Days and sums of the broad pools (stratified day samples) and of the fired ones, with stops matched where the family has any."""
     days = cut(_windowed_days(spark, d))
