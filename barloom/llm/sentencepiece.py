@@ -7,7 +7,8 @@ pieces. A marker character of the text itself is such a character, so decoding g
 
 No piece has a space after another character or a line feed, so a text is cut before each run of spaces and at line feeds, and the parts
 are segmented on their own. Each task keeps the parts it has met (emptied when full) and segments the new ones of about a
-megabyte of text together, one trie step for all of them at a time.
+megabyte of text together, one trie step for all of them at a time. A part that has few of its length beside it, such as a long one without
+spaces, is segmented on its own: the pieces in a window of its bytes are found together, and the best sums go over them byte by byte.
 
 A null text has null ids and no tokens; an empty text has no tokens.
 """
@@ -31,6 +32,9 @@ UNKNOWN_COST = 10.0
 _PART = re.compile(rb" *[^ \n]+| +|\n")
 _CACHE_PARTS = 200_000
 _GROUP_BYTES = 1 << 20
+_WINDOW = 1 << 14
+#: A byte of all parts together takes the time of about so many bytes of a part alone, and a part alone at least that of so many bytes.
+_ALONE_BYTES, _ALONE_LEAST = 50, 100
 
 
 class DoubleArray:
@@ -137,7 +141,9 @@ class Encoder:
             stop = int(np.searchsorted(lengths[order], most, "right"))
             stop = max(k + 1, min(stop, k + max(1, (1 << 21) // most)))
             group = order[k:stop]
-            for place, ids in zip(group.tolist(), self._together([parts[i] for i in group])):
+            chosen = [parts[i] for i in group]
+            alone = len(group) * (most + _ALONE_LEAST) < _ALONE_BYTES * most
+            for place, ids in zip(group.tolist(), map(self._alone, chosen) if alone else self._together(chosen)):
                 out[place] = ids
             k = stop
         return out
@@ -176,6 +182,57 @@ class Encoder:
                     self._offer(best, piece, start, pick, i, i + w, np.full(len(pick), -1, np.int32), v.unknown)
         return self._walk_back(text, ends, piece, start)
 
+    def _matches(self, text: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and numbers of all pieces that start at lo..hi, in order of start, then of end."""
+        trie, found = self.v.trie, []
+        at, state = np.arange(lo, hi), np.zeros(hi - lo, np.int64)
+        reach = 0
+        while len(at):
+            to = trie.base[state] + text[at + reach] + 1
+            good = trie.check[to] == state
+            at, state, reach = at[good], to[good].astype(np.int64), reach + 1
+            value = trie.value[state]
+            hit = value >= 0
+            found.append((at[hit], at[hit] + reach, value[hit]))
+            inside = at + reach < len(text)
+            at, state = at[inside], state[inside]
+        starts, ends, values = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(starts, kind="stable")
+        return starts[order], ends[order], values[order]
+
+    def _alone(self, part: bytes) -> bytes:
+        """Ids of one part. Besides the text a task keeps 8 bytes for each of its bytes, and the sums of one window."""
+        v, n = self.v, len(part)
+        text = np.frombuffer(part, np.uint8)
+        piece, start = np.full(n + 1, -1, np.int32), np.zeros(n + 1, np.int32)
+        best, last, origin = [0.0], [-1], [0]  # from the window's first byte on
+        for lo in range(0, n, _WINDOW):
+            hi = min(lo + _WINDOW, n)
+            starts, ends, values = self._matches(text, lo, hi)
+            first = np.searchsorted(starts, np.arange(lo, hi + 1)).tolist()
+            scores, stops, values = v.scores[values].tolist(), (ends - lo).tolist(), values.tolist()
+            lead = text[lo:hi]
+            widths = (1 + (lead >= 0xC0) + (lead >= 0xE0).astype(np.int64) + (lead >= 0xF0)).tolist()
+            room = max(hi - lo + 4, max(stops, default=0)) + 1 - len(best)
+            best, last, origin = best + [-math.inf] * room, last + [-1] * room, origin + [0] * room
+            for i, width in enumerate(widths):
+                total = best[i]
+                if total == -math.inf:
+                    continue
+                lone = True
+                for k in range(first[i], first[i + 1]):
+                    end = stops[k]
+                    if end - i == width:
+                        lone = False
+                    if total + scores[k] > best[end]:
+                        best[end], last[end], origin[end] = total + scores[k], values[k], lo + i
+                if lone and total + v.unknown > best[i + width]:
+                    best[i + width], last[i + width], origin[i + width] = total + v.unknown, -1, lo + i
+            done = hi - lo
+            piece[lo + 1:hi + 1], start[lo + 1:hi + 1] = last[1:done + 1], origin[1:done + 1]
+            best, last, origin = best[done:], last[done:], origin[done:]
+        return self._with_bytes(text, n, piece, start)
+
     @staticmethod
     def _offer(best, piece, start, rows, i, end, value, score) -> None:
         total = best[i, rows] + score
@@ -198,7 +255,7 @@ class Encoder:
             out[row] = self._with_bytes(text[:, row], int(ends[row]), piece[:, row].tolist(), start[:, row].tolist())
         return out
 
-    def _with_bytes(self, text, end: int, piece: list[int], start: list[int]) -> bytes:
+    def _with_bytes(self, text, end: int, piece, start) -> bytes:
         """Ids of one part with characters that are no pieces."""
         own: list[int] = []
         while end > 0:

@@ -1,6 +1,7 @@
 """Encoding against an all-segmentations search and the public library, decoding as an exact round trip."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -89,6 +90,28 @@ def test_round_trip_of_tables(spark, sf, odd_docs, no_docs, vocabulary):
     assert again.columns == ["doc_id", "text", "lang", "_block", "token_ids"]
 
 
+def test_a_part_alone_is_segmented_like_many_together(vocabulary, monkeypatch):
+    monkeypatch.setattr(S, "_WINDOW", 64)
+    rng, encoder = random.Random(5), S.Encoder(vocabulary)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFXYZ0123456789+/=é漢字日本語😀▁-_."
+    parts = [b"", b"x", " ".encode() * 90, ("ab" * 400).encode(), ("a" * 700).encode()]
+    parts += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 400))).encode() for _ in range(60)]
+    parts = [p for p in parts if p]
+    assert [encoder._alone(p) for p in parts] == encoder._together(parts)
+    small_ = S.Encoder(small())
+    parts = ["".join(rng.choice("aabbé z漢▁😀") for _ in range(rng.randint(1, 200))).encode() for _ in range(40)]
+    assert [small_._alone(p) for p in parts] == small_._together(parts)
+
+
+def test_a_long_text_without_spaces_takes_seconds(vocabulary):
+    rng = random.Random(6)
+    text = "".join(rng.choice("ABCDEFGHabcdefghijklmnop0123456789+/") for _ in range(200_000)).encode()
+    began = time.process_time()
+    ids = np.frombuffer(S.Encoder(vocabulary).encode(text), np.uint16).tolist()
+    assert time.process_time() - began < 10  # 28 s when stepped byte by byte in NumPy
+    assert S.decode_ids(vocabulary.keys, ids).encode() == text
+
+
 def test_long_text(vocabulary):
     text = ("some words  and\nlines " * 120_000).encode()
     ids = np.frombuffer(S.Encoder(vocabulary).encode(text), np.uint16).tolist()
