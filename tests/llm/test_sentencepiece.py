@@ -108,7 +108,7 @@ def test_a_long_text_without_spaces_takes_seconds(vocabulary):
     text = "".join(rng.choice("ABCDEFGHabcdefghijklmnop0123456789+/") for _ in range(200_000)).encode()
     began = time.process_time()
     ids = np.frombuffer(S.Encoder(vocabulary).encode(text), np.uint16).tolist()
-    assert time.process_time() - began < 10  # 28 s when stepped byte by byte in NumPy
+    assert time.process_time() - began < 10  # stepped byte by byte in NumPy, 20,000 bytes alone took about 3
     assert S.decode_ids(vocabulary.keys, ids).encode() == text
 
 
