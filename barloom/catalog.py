@@ -1133,7 +1133,10 @@ def studentised_observed(spark, d):
 @query
 def family_maxima(spark, d):
     null_t, obs = _null_t(spark, d, ROW_SPEC)
-    return MT.family_rollup(null_t, obs, FAMILY)[0].select(*FAMILY, "chunk", F.posexplode("t").alias("at", "t")).select(
+    # A family whose draws don't vary has a row for each draw too, with a null.
+    size = F.least(F.lit(R.CHUNK), F.lit(ROW_SPEC.draws) - F.col("chunk") * R.CHUNK)
+    t = F.coalesce("t", F.array_repeat(F.lit(None).cast("double"), size))
+    return MT.family_rollup(null_t, obs, FAMILY)[0].select(*FAMILY, "chunk", F.posexplode(t).alias("at", "t")).select(
         *FAMILY, (F.col("chunk") * R.CHUNK + F.col("at")).alias("draw"), "t")
 
 

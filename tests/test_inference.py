@@ -66,6 +66,19 @@ def _null(spark, null, obs):
     return n, o
 
 
+def test_equal_draws_have_no_deviation(spark):
+    # ten times 0.3: NumPy's std is 5.6e-17, by rounding of the mean
+    means = spark.createDataFrame([("same", c, [0.3] * 5) for c in (0, 1)] + [("varies", c, [0.1, 0.2, 0.3, 0.4, 0.5]) for c in (0, 1)],
+                                  "k string, chunk int, means array<double>").repartition(1)
+    obs = spark.createDataFrame([("same", 0.4), ("varies", 0.4)], "k string, obs double")
+    stats = R.vector_stats(means, ["k"], obs, "obs")
+    got = {r.k: r for r in stats.collect()}
+    assert got["same"].null_std == 0.0 and got["varies"].null_std == pytest.approx(np.std([0.1, 0.2, 0.3, 0.4, 0.5]))
+    null_t, obs_t = MT.studentise(means, stats, obs, ["k"], "obs")
+    assert {r.k: r.t is None for r in obs_t.collect()} == {"same": True, "varies": False}
+    assert [r.k for r in MT.step_down_maxt(null_t, obs_t, ["k"]).collect()] == ["varies"]
+
+
 def test_step_down_and_fdr_against_direct_counts(spark):
     rng = np.random.default_rng(8)
     null, obs = rng.normal(size=(80, 12)), np.sort(rng.normal(size=12) + 0.8)[::-1]
