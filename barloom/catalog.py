@@ -849,14 +849,15 @@ def _split(spark, d):
 
 
 def _survivors(spark, d):
-    """Survivors of the in-sample part at a loose level, so that sparse tables have some."""
+    """Survivors of the in-sample part at a loose level, so that sparse tables have some. The rows, at most one a variant, have
+    several readers, so they are written once instead of planned again for each."""
     ins, _ = _split(spark, d)
-    s = J.variant_summary(ins)
+    s = cut(J.variant_summary(ins))
     pool = ins.filter("eligible").groupBy(*POOL, "date").agg(
         F.count(F.lit(1)).alias("n"), F.sum("net_r").alias("total"))
     vectors = null_vectors(s, pool, POOL, SPEC, "joint-bootstrap")
     p = R.vector_stats(vectors, VARIANT, s, "expectancy_net_r").select(*VARIANT, F.col("p_value").alias("null_p_value"))
-    return HO.survivors(s.join(p, VARIANT, "left"), min_trades=3, alpha=0.5), s
+    return cut(HO.survivors(s.join(p, VARIANT, "left"), min_trades=3, alpha=0.5)), s
 
 
 def _compared(spark, d):
@@ -885,7 +886,7 @@ def pooled_holdout_test(spark, d):
 @query
 def holdout_verdict(spark, d):
     compared, surv, s = _compared(spark, d)
-    fam = HO.best_per_family(compared)
+    fam = cut(HO.best_per_family(compared))
     ci = R.iid_bootstrap_ci(fam, "ho_net", FAMILY, IID_DRAWS)
     ranked = s.filter(F.col("trade_count") >= 3).select(*FAMILY).distinct()
     return L.verdict(fam, HO.survivor_families(surv), ranked, surv, ci, HOLDOUT)

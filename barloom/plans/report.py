@@ -81,7 +81,7 @@ def null_section(enriched: DataFrame) -> DataFrame:
 
 def verdict(comparison: DataFrame, families: DataFrame, rankable_families: DataFrame,
             survivors: DataFrame, ci: DataFrame, holdout_start: str) -> DataFrame:
-    """The holdout verdict as one row."""
+    """The holdout verdict as one row; shares of no families are null."""
     fam = comparison.agg(
         F.count(F.lit(1)).alias("holdout_families_tested"),
         F.count_if(F.col("ho_net") > 0).alias("holdout_net_positive"),
@@ -95,8 +95,8 @@ def verdict(comparison: DataFrame, families: DataFrame, rankable_families: DataF
     x = fam.crossJoin(n_rank).crossJoin(n_fam).crossJoin(n_var).crossJoin(ci)
     x = x.withColumns({
         "expected_fp_at_5pct": F.floor(F.col("families_rankable") * 5 / 100),
-        "survivor_pct_of_families": F.col("survivor_families") * 100.0 / F.col("families_rankable"),
-        "holdout_net_positive_pct": F.col("holdout_net_positive") * 100.0 / F.col("holdout_families_tested"),
+        "survivor_pct_of_families": ratio(F.col("survivor_families") * 100.0, F.col("families_rankable")),
+        "holdout_net_positive_pct": ratio(F.col("holdout_net_positive") * 100.0, F.col("holdout_families_tested")),
         "ci_includes_zero": (F.col("ci_lo") <= 0) & (F.col("ci_hi") >= 0),
         "holdout_start": F.lit(holdout_start),
     })

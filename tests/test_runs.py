@@ -203,6 +203,19 @@ def test_pools_of_equal_draws_have_null_statistics(spark, sf, name):
     assert want.t.isna().any() and compare(got, want) == ""
 
 
+@pytest.mark.parametrize("rows_kept, rankable", [("o_orderdate < DATE '2000-01-01'", True), ("false", False)])
+def test_verdict_of_no_tested_families(spark, sf, tmp_path, rows_kept, rankable):
+    spark.read.parquet(f"{sf}/orders.parquet").filter(rows_kept).write.parquet(str(tmp_path / "orders.parquet"))
+    r = entry_point.queries()["holdout_verdict"](spark, str(tmp_path)).collect()
+    assert len(r) == 1 and r[0].holdout_families_tested == 0 and (r[0].families_rankable > 0) == rankable
+    assert r[0].holdout_net_positive_pct is None and (r[0].survivor_pct_of_families is None) == (not rankable)
+
+
+def test_verdict_reads_its_orders_once_for_all_readers(spark, sf):
+    plan = entry_point.queries()["holdout_verdict"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Scan ExistingRDD" in plan and "FileScan" not in plan
+
+
 def test_entry_has_rows(spark):
     assert entry_point.entry(spark).count() > 0
 
